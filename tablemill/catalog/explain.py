@@ -65,14 +65,14 @@ def shap_expected(spark, sf_dir):
 
 
 @query("shap_mean_abs",
-       f"WITH {PHI_SQL} SELECT class, feature, round(avg(abs(phi)), 6) AS mean_abs FROM phi GROUP BY 1, 2")
+       f"WITH {PHI_SQL} SELECT class, feature, round(avg(abs(phi)), 10) AS mean_abs FROM phi GROUP BY 1, 2")
 def shap_mean_abs(spark, sf_dir):
-    return explain.mean_abs(linear_values(spark, sf_dir)).withColumn("mean_abs", r("mean_abs"))
+    return explain.mean_abs(linear_values(spark, sf_dir)).withColumn("mean_abs", r("mean_abs", 10))
 
 
 @query("shap_macro_rank",
        f"WITH {PHI_SQL}, m AS (SELECT class, feature, avg(abs(phi)) AS v FROM phi GROUP BY 1, 2), k AS (SELECT feature, avg(v) AS v FROM m GROUP BY 1) "
-       "SELECT feature, round(v, 6) AS macro_mean_abs, row_number() OVER (ORDER BY v DESC, feature) AS rank FROM k")
+       "SELECT feature, round(v, 10) AS macro_mean_abs, row_number() OVER (ORDER BY v DESC, feature) AS rank FROM k")
 def shap_macro_rank(spark, sf_dir):
     found = explain.macro_rank(explain.mean_abs(linear_values(spark, sf_dir)))
-    return found.withColumn("macro_mean_abs", r("macro_mean_abs")).withColumn("rank", F.col("rank").cast("long"))
+    return found.withColumn("macro_mean_abs", r("macro_mean_abs", 10)).withColumn("rank", F.col("rank").cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog.base import FEAT_SQL, FEATURES, feature_table, query, r, table
 from tablemill.functions.numeric import bad_value_to_zero
-from tablemill.functions.text import atoms_list, equation_parts, formula_elements, valence_d_count
+from tablemill.functions.text import atoms_list, formula_elements, parse_equations, valence_d_count
 from tablemill.operators import compose
 
 
@@ -324,7 +324,7 @@ def _equations(spark, sf_dir):
     "FROM lineitem GROUP BY ALL",
 )
 def equation_parse(spark, sf_dir):
-    parts = _equations(spark, sf_dir).select(equation_parts(F.col("equation")).alias("p")).select("p.*")
+    parts = parse_equations(_equations(spark, sf_dir).select("equation"), "equation").drop("equation")
     return parts.groupBy(*parts.columns).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -52,7 +52,7 @@ def train_rf(spark, sf_dir):
 def train_gb(spark, sf_dir):
     """Boosted trees on order features: one binary model per class."""
     features = ["qty_soma", "price_media", "disc_media", "tax_soma"]
-    wide = feature_table(spark, sf_dir, ["qty", "price", "disc", "tax"])
+    wide = materialize(feature_table(spark, sf_dir, ["qty", "price", "disc", "tax"]), "wide")
     pre = prep.fit_preprocessing(wide, features, threshold=0.99)
     rows = materialize(prep.apply_preprocessing(wide, pre, ["row_id", "y"]), "gb")
     model = models.fit_model("GradientBoosting", rows, "y", 3, {"n_estimators": 3, "max_depth": 3})
@@ -76,7 +76,7 @@ _B = [0.25 * i - 0.25 for i in range(_UNITS)]
 _BETA = [[((5 * i + 2 * c) % 7 - 3) / 2 for c in range(4)] for i in range(_UNITS)]
 
 _HIDDEN_SQL = "hid AS (SELECT vec_id, label, " + ", ".join(
-    f"tanh(list_sum(list_transform(range(1, {_DIMS + 1}), i -> embedding[i]::DOUBLE * ({w}::DOUBLE[])[i])) + {b}::DOUBLE) AS h{i}"
+    f"tanh(list_dot_product(embedding::DOUBLE[], {w}::DOUBLE[]) + {b}::DOUBLE) AS h{i}"
     for i, (w, b) in enumerate(zip(_W, _B))
 ) + " FROM embeddings)"
 

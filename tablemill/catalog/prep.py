@@ -9,7 +9,9 @@ from tablemill.functions.labels import CLASS_ENGLISH, SUFFIX_WORD, to_known_clas
 from tablemill.functions.text import compact_name, fold_name, squeeze_spaces, underscore_name
 from tablemill.functions.vectors import one_hot
 from tablemill.operators import prep
+from tablemill.operators.quantiles import narrowed_medians
 from tablemill.operators.splitting import encode_labels, label_codes, row_names
+from tablemill.session import materialize
 
 # Columns of the feature table the queries below work on, and digits to compare.
 COLS = {"qty_soma": 4, "qty_media": 6, "disc_media": 8, "tax_desvio": 8, "size_minimo": 2, "retail_maximo": 2}
@@ -190,15 +192,15 @@ def row_id_fallback(spark, sf_dir):
     return row_names(rows, ["c_custkey"])
 
 
-def _medians(spark, sf_dir):
-    return prep.exact_medians(_features(spark, sf_dir), NAMES)
+def _stored(spark, sf_dir):
+    return materialize(_features(spark, sf_dir), "wide")
 
 
 @query("median_impute_fit",
        f"WITH {FEAT_SQL} " + " UNION ALL ".join(
            f"SELECT '{c}' AS feature, round(median({c}), 8) AS median FROM feat" for c in NAMES))
 def median_impute_fit(spark, sf_dir):
-    rows = [(c, m) for c, m in _medians(spark, sf_dir).items()]
+    rows = [(c, m) for c, m in prep.exact_medians(_stored(spark, sf_dir), NAMES).items()]
     return spark.createDataFrame(rows, "feature string, median double").select("feature", r("median", 8).alias("median"))
 
 
@@ -208,8 +210,6 @@ def median_impute_fit(spark, sf_dir):
        "UNION ALL SELECT 'l_tax', median(l_tax) FROM lineitem")
 def median_impute_fit_narrowing(spark, sf_dir):
     """The large-data route: value ranges narrowed pass by pass."""
-    from tablemill.operators.quantiles import narrowed_medians
-
     found = narrowed_medians(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity", "l_tax"])
     return spark.createDataFrame(list(found.items()), "feature string, median double").select(
         "feature", r("median").alias("median")
@@ -221,7 +221,8 @@ def median_impute_fit_narrowing(spark, sf_dir):
            f"round(coalesce({c}, (SELECT median({c}) FROM feat)), {n}) AS {c}" for c, n in COLS.items())
        + " FROM feat")
 def median_impute_apply(spark, sf_dir):
-    filled = prep.impute(_features(spark, sf_dir), _medians(spark, sf_dir))
+    wide = _stored(spark, sf_dir)
+    filled = prep.impute(wide, prep.exact_medians(wide, NAMES))
     return filled.select("row_id", *[r(c, n).alias(c) for c, n in COLS.items()])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog.base import FEAT_SQL, FEATURES, feature_table, query, r, table
 from tablemill.operators import prep, selection
+from tablemill.session import materialize
 
 FEW = ["qty_soma", "price_soma", "disc_media", "tax_maximo", "size_minimo", "retail_media"]
 
@@ -43,7 +44,8 @@ def pearson_matrix(spark, sf_dir):
 @query("pearson_matrix_wide", f"WITH {FEAT_SQL} {_pairs_sql(FEATURES, 'feat', 5)}")
 def pearson_matrix_wide(spark, sf_dir):
     """All pairs of a wide table from matrix products per partition."""
-    return selection.pearson_pairs(feature_table(spark, sf_dir), FEATURES).withColumn("r", r("r", 5))
+    wide = materialize(feature_table(spark, sf_dir), "wide")
+    return selection.pearson_pairs(wide, FEATURES).withColumn("r", r("r", 5))
 
 
 _FILLED = "filled AS (SELECT " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM feat)) AS {c}" for c in FEATURES) + " FROM feat)"
@@ -56,7 +58,7 @@ _FILLED = "filled AS (SELECT " + ", ".join(f"coalesce({c}, (SELECT median({c}) F
        + "]) AS feature) SELECT feature, position::INTEGER AS position FROM names WHERE feature NOT IN "
        "(SELECT feature_j FROM p WHERE r > 0.59)")
 def pearson_filter(spark, sf_dir):
-    wide = feature_table(spark, sf_dir)
+    wide = materialize(feature_table(spark, sf_dir), "wide")
     filled = prep.impute(wide, prep.exact_medians(wide, FEATURES))
     pairs = selection.pearson_pairs(filled, FEATURES)
     names = spark.createDataFrame(

@@ -28,7 +28,7 @@ from tablemill.catalog.metrics import (
     oof_metrics,
 )
 from tablemill.operators import explain, metrics, prep
-from tablemill.session import new_path
+from tablemill.session import materialize, new_path
 from tablemill.sources import sinks, tables
 
 
@@ -61,7 +61,7 @@ _BUNDLE_COLS = ["qty_soma", "qty_media", "disc_media", "tax_desvio"]
        f"WITH {FEAT_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(median({c}), 8) AS median FROM feat" for c in _BUNDLE_COLS))
 def src_bundle(spark, sf_dir):
     """Fit a bundle, write it as JSON, read it back and list its medians."""
-    wide = feature_table(spark, sf_dir, ["qty", "disc", "tax"])
+    wide = materialize(feature_table(spark, sf_dir, ["qty", "disc", "tax"]), "wide")
     pre = prep.fit_preprocessing(wide, _BUNDLE_COLS)
     path = new_path(spark, "bundle")
     spark.createDataFrame([(pre.to_json(),)], "value string").coalesce(1).write.text(path)
@@ -166,8 +166,8 @@ def src_shap(spark, sf_dir):
 
 @query("sink_shap",
        f"WITH {PHI_SQL}, m AS (SELECT class, feature, avg(abs(phi)) AS v FROM phi GROUP BY 1, 2), k AS (SELECT feature, avg(v) AS v FROM m GROUP BY 1) "
-       "SELECT feature, round(v, 6) AS macro_mean_abs, row_number() OVER (ORDER BY v DESC, feature) AS rank FROM k")
+       "SELECT feature, round(v, 10) AS macro_mean_abs, row_number() OVER (ORDER BY v DESC, feature) AS rank FROM k")
 def sink_shap(spark, sf_dir):
     """Attributions written by class, ranked from the stored table."""
     found = explain.macro_rank(explain.mean_abs(_stored_values(spark, sf_dir)))
-    return _rounded(found, ["macro_mean_abs"], 6).withColumn("rank", F.col("rank").cast("long"))
+    return _rounded(found, ["macro_mean_abs"], 10).withColumn("rank", F.col("rank").cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.numeric import text_to_double
@@ -85,33 +85,35 @@ def valence_d_count(c: Column) -> Column:
     return F.coalesce(F.nullif(after_d, F.lit("")).try_cast("double"), F.lit(0.0))
 
 
-def equation_parts(c: Column) -> Column:
-    """``"4Al + 3O2 -> 2Al2O3"`` to its moles, subscripts and product as one struct."""
-    sides = F.split(c, " -> ")
-    left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+def parse_equations(df: DataFrame, column: str) -> DataFrame:
+    """Adds moles, subscripts and product of ``"4Al + 3O2 -> 2Al2O3"`` style equations.
+
+    Three projections, so that each match is made once and read by name afterwards.
+    """
+    left, right = F.split_part(column, F.lit(" -> "), F.lit(1)), F.split_part(column, F.lit(" -> "), F.lit(2))
     term = F.lit(r"([0-9]*)\s*([A-Za-z]+[0-9]*)")
-    terms = F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(left, term, F.lit(1)).alias("n"),
-            F.regexp_extract_all(left, term, F.lit(2)).alias("s"),
-        ),
-        lambda t: F.struct(
-            _int_or(t["n"], 1).alias("moles"),
-            t["s"].alias("species"),
-        ),
+    terms = F.arrays_zip(
+        F.regexp_extract_all(left, term, F.lit(1)).alias("moles"),
+        F.regexp_extract_all(left, term, F.lit(2)).alias("species"),
+    )
+    matched = df.select("*", terms.alias("_terms"), right.alias("_right"))
+    sides = matched.select(
+        *df.columns,
+        "_right",
+        F.try_element_at(F.filter("_terms", lambda t: t["species"] != "O2"), F.lit(-1)).alias("_cation"),
+        F.try_element_at(F.filter("_terms", lambda t: t["species"] == "O2"), F.lit(-1)).alias("_oxygen"),
     )
-    oxygen = F.try_element_at(F.filter(terms, lambda t: t["species"] == "O2"), F.lit(-1))
-    cation = F.try_element_at(F.filter(terms, lambda t: t["species"] != "O2"), F.lit(-1))
     product = r"^([0-9]*)\s*([A-Za-z0-9]+)"
-    return F.struct(
-        F.coalesce(cation["moles"], F.lit(0)).alias("mols_cation"),
-        F.coalesce(oxygen["moles"], F.lit(0)).alias("mols_oxygen"),
-        F.when(cation["species"].isNull(), 0)
-        .otherwise(_int_or(F.regexp_extract(cation["species"], r"([0-9]+)$", 1), 1))
-        .alias("coef_cation"),
-        F.when(oxygen["species"].isNull(), 0).otherwise(2).alias("coef_oxygen"),
-        F.regexp_extract(right, product, 2).alias("product"),
-        _int_or(F.regexp_extract(right, product, 1), 1).alias("mols_product"),
+    cation, oxygen = F.col("_cation"), F.col("_oxygen")
+    subscript = F.regexp_extract(cation["species"], r"([0-9]+)$", 1)
+    return sides.select(
+        *df.columns,
+        F.when(cation.isNull(), 0).otherwise(_int_or(cation["moles"], 1)).alias("mols_cation"),
+        F.when(oxygen.isNull(), 0).otherwise(_int_or(oxygen["moles"], 1)).alias("mols_oxygen"),
+        F.when(cation.isNull(), 0).otherwise(_int_or(subscript, 1)).alias("coef_cation"),
+        F.when(oxygen.isNull(), 0).otherwise(2).alias("coef_oxygen"),
+        F.regexp_extract("_right", product, 2).alias("product"),
+        _int_or(F.regexp_extract("_right", product, 1), 1).alias("mols_product"),
     )
 
 

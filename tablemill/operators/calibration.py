@@ -15,7 +15,7 @@ from tablemill.operators.models import Classifier
 from tablemill.session import materialize
 
 
-def platt_parameters(scores: DataFrame, max_iter: int = 100, tol: float = 1e-10) -> dict[tuple[int, int], tuple[float, float]]:
+def platt_parameters(scores: DataFrame, max_iter: int = 100, tol: float = 1e-8) -> dict[tuple[int, int], tuple[float, float]]:
     """Slope and offset of P = 1 / (1 + exp(a s + b)) per (fold, class).
 
     ``scores``: fold, class, score, pos, n (rows counted per distinct score). All pairs take
@@ -35,7 +35,7 @@ def platt_parameters(scores: DataFrame, max_iter: int = 100, tol: float = 1e-10)
         totals = _newton_sums(scores, params, groups, active)
         for g in list(active):
             t = totals[g]
-            if t["loss"] > loss[g] + 1e-12 * abs(loss[g]):
+            if t["loss"] > loss[g] + 1e-10 * abs(loss[g]):
                 # the last step went too far: halve it and look again
                 half = (step[g][0] / 2, step[g][1] / 2)
                 if max(abs(half[0]), abs(half[1])) < tol:
@@ -57,28 +57,16 @@ def platt_parameters(scores: DataFrame, max_iter: int = 100, tol: float = 1e-10)
 
 
 def _newton_sums(scores: DataFrame, params: dict, groups: dict, active: set) -> dict:
-    keys = [g for g in groups if g in active]
-    table = F.create_map(
-        *[
-            x
-            for f, c in keys
-            for x in (
-                F.lit(f"{f}/{c}"),
-                F.struct(
-                    F.lit(params[f, c][0]).alias("a"),
-                    F.lit(params[f, c][1]).alias("b"),
-                    F.lit((groups[f, c][0] + 1.0) / (groups[f, c][0] + 2.0)).alias("hi"),
-                    F.lit(1.0 / (groups[f, c][1] + 2.0)).alias("lo"),
-                ),
-            )
-        ]
-    )
-    keyed = scores.withColumn(
-        "_w", table[F.concat_ws("/", F.col("fold").cast("string"), F.col("class").cast("string"))]
-    ).filter("_w IS NOT NULL")
-    z = F.col("_w.a") * F.col("score") + F.col("_w.b")
+    rows = [
+        (f, c, *params[f, c], (groups[f, c][0] + 1.0) / (groups[f, c][0] + 2.0), 1.0 / (groups[f, c][1] + 2.0))
+        for f, c in active
+    ]
+    # a table rather than literals: the plan, and its compiled code, stay the same per pass
+    table = scores.sparkSession.createDataFrame(rows, "fold int, class int, a double, b double, hi double, lo double")
+    keyed = scores.join(table, ["fold", "class"])
+    z = F.col("a") * F.col("score") + F.col("b")
     pos, n = F.col("pos").cast("double"), F.col("n").cast("double")
-    target = pos * F.col("_w.hi") + (n - pos) * F.col("_w.lo")
+    target = pos * F.col("hi") + (n - pos) * F.col("lo")
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
     # -log p = softplus(z); -log(1 - p) = softplus(-z)
     softplus = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -114,7 +115,7 @@ def gram_rows(df: DataFrame, layers: list[Layer], features: str, label: str, k:
             if total is not None:
                 yield pd.DataFrame({"layer": i, "unit": range(len(total)), "values": list(total)})
 
-    def add(key, part: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         total = np.sum(np.stack(part["values"].to_numpy()), axis=0)
         return pd.DataFrame({"layer": [key[0]], "unit": [key[1]], "values": [total]})
 
@@ -132,7 +133,7 @@ def solved(rows: DataFrame, layers: list[Layer], trials: list[tuple[int, str, fl
     for layer, solver, c in trials:
         wanted.setdefault(layer, []).append((solver, c))
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         matrix = np.stack(part.sort_values("unit")["values"].to_numpy())
         units = layers[key[0]].units
         gram, target = matrix[:, :units], matrix[:, units:]

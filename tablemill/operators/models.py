@@ -48,9 +48,9 @@ class VectorClassifier(Classifier):
 
     def score(self, df: DataFrame, out: str = "proba") -> DataFrame:
         model = self.model.copy()
-        model.setFeaturesCol(VECTOR).setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
+        model.setFeaturesCol(VECTOR).setProbabilityCol("_vector_p").setRawPredictionCol("").setPredictionCol("")
         scored = model.transform(df.withColumn(VECTOR, array_to_vector(F.col(self.features))))
-        return scored.withColumn(out, padded(vector_to_array("_p"), self.k)).drop("_p", VECTOR)
+        return scored.withColumn(out, padded(vector_to_array("_vector_p"), self.k)).drop("_vector_p", VECTOR)
 
 
 @dataclass
@@ -63,13 +63,13 @@ class BoostedClassifier(Classifier):
         scored = df.withColumn(VECTOR, array_to_vector(F.col(self.features)))
         for c, model in self.models.items():
             m = model.copy()
-            m.setFeaturesCol(VECTOR).setProbabilityCol(f"_p{c}").setRawPredictionCol("").setPredictionCol("")
+            m.setFeaturesCol(VECTOR).setProbabilityCol(f"_vector_p{c}").setRawPredictionCol("").setPredictionCol("")
             scored = m.transform(scored)
         parts = [
-            vector_to_array(f"_p{c}")[1] if c in self.models else F.lit(0.0) for c in range(self.k)
+            vector_to_array(f"_vector_p{c}")[1] if c in self.models else F.lit(0.0) for c in range(self.k)
         ]
         return scored.withColumn(out, normalised(F.array(*parts))).drop(
-            VECTOR, *[f"_p{c}" for c in self.models]
+            VECTOR, *[f"_vector_p{c}" for c in self.models]
         )
 
 

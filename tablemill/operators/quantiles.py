@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 1024
+# Columns per aggregation.
+CHUNK = 60
+
+
+def quoted(name: str) -> str:
+    """Column name in backticks: feature names hold spaces, dashes and accents."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 @dataclass
@@ -20,7 +27,40 @@ class _Bracket:
     size: int
 
 
-def exact_medians(df: DataFrame, columns: list[str], in_memory_rows: int = 2_000_000) -> dict[str, float]:
+def column_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Rows, non-null count, least, greatest, mean and population deviation per column.
+
+    Wide tables take several aggregates, so that generated code stays within JVM limits.
+    """
+    facts: dict[str, dict] = {}
+    for start in range(0, len(columns), CHUNK):
+        part = columns[start : start + CHUNK]
+        values = [F.col(quoted(c)).cast("double") for c in part]
+        row = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[
+                e.alias(f"{k}{i}")
+                for i, v in enumerate(values)
+                for k, e in (
+                    ("n", F.count(v)),
+                    ("lo", F.min(v)),
+                    ("hi", F.max(v)),
+                    ("mean", F.avg(v)),
+                    ("std", F.stddev_pop(v)),
+                )
+            ],
+        ).first()
+        for i, c in enumerate(part):
+            facts[c] = {k: row[f"{k}{i}"] for k in ("n", "lo", "hi", "mean", "std")} | {"rows": row["rows"]}
+    return facts
+
+
+def exact_medians(
+    df: DataFrame,
+    columns: list[str],
+    facts: dict[str, dict] | None = None,
+    in_memory_rows: int = 2_000_000,
+) -> dict[str, float]:
     """Median per column (mean of the two middle values); an all-NULL column gives 0.0.
 
     Up to ``in_memory_rows`` rows the built-in exact percentile is used. It keeps every
@@ -31,36 +71,29 @@ def exact_medians(df: DataFrame, columns: list[str], in_memory_rows: int = 2_000
     """
     if not columns:
         return {}
-    if df.limit(in_memory_rows + 1).count() <= in_memory_rows:
-        row = df.agg(
-            *[F.percentile(F.col(f"`{c}`").cast("double"), 0.5).alias(f"m{i}") for i, c in enumerate(columns)]
-        ).first()
-        return {c: 0.0 if row[i] is None else float(row[i]) for i, c in enumerate(columns)}
-    return narrowed_medians(df, columns)
-
-
-def narrowed_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    facts = facts or column_facts(df, columns)
+    if facts[columns[0]]["rows"] > in_memory_rows:
+        return narrowed_medians(df, columns, facts)
+    medians: dict[str, float] = {}
+    for start in range(0, len(columns), CHUNK):
+        part = columns[start : start + CHUNK]
+        row = df.agg(*[F.percentile(F.col(quoted(c)).cast("double"), 0.5) for c in part]).first()
+        medians |= {c: 0.0 if row[i] is None else float(row[i]) for i, c in enumerate(part)}
+    return medians
+
+
+def narrowed_medians(df: DataFrame, columns: list[str], facts: dict[str, dict] | None = None) -> dict[str, float]:
     """Medians by repeated narrowing (the large-data route of :func:`exact_medians`)."""
-    first = df.agg(
-        *[
-            e
-            for i, c in enumerate(columns)
-            for e in (
-                F.count(f"`{c}`").alias(f"n{i}"),
-                F.min(F.col(f"`{c}`").cast("double")).alias(f"lo{i}"),
-                F.max(F.col(f"`{c}`").cast("double")).alias(f"hi{i}"),
-            )
-        ]
-    ).first()
+    facts = facts or column_facts(df, columns)
     done: dict[tuple[str, int], float] = {}
     open_: dict[tuple[str, int], _Bracket] = {}
-    for i, c in enumerate(columns):
-        n = first[f"n{i}"]
+    for c in columns:
+        n = facts[c]["n"]
         if n == 0:
             done[c, 0] = done[c, 1] = 0.0
             continue
         for side, rank in enumerate(((n - 1) // 2, n // 2)):
-            _place(open_, done, (c, side), _Bracket(first[f"lo{i}"], first[f"hi{i}"], rank, n))
+            _place(open_, done, (c, side), _Bracket(facts[c]["lo"], facts[c]["hi"], rank, n))
     while open_:
         counts = _bin_counts(df, open_)
         for key, bracket in list(open_.items()):
@@ -86,18 +119,18 @@ def _bin_counts(df: DataFrame, open_: dict[tuple[str, int], _Bracket]) -> dict:
     items = list(open_.items())
     entries = [
         F.when(
-            F.col(f"`{c}`").cast("double").between(b.low, b.high),
+            F.col(quoted(c)).cast("double").between(b.low, b.high),
             F.struct(
                 F.lit(k).alias("k"),
                 F.least(
                     F.floor(
-                        (F.col(f"`{c}`").cast("double") / 2 - F.lit(b.low / 2))
+                        (F.col(quoted(c)).cast("double") / 2 - F.lit(b.low / 2))
                         / F.lit(b.high / 2 - b.low / 2)
                         * BINS
                     ),
                     F.lit(BINS - 1).cast("long"),
                 ).alias("bin"),
-                F.col(f"`{c}`").cast("double").alias("value"),
+                F.col(quoted(c)).cast("double").alias("value"),
             ),
         )
         for k, ((c, _), b) in enumerate(items)

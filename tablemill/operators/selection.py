@@ -10,19 +10,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.operators.quantiles import column_facts
+from tablemill.operators.quantiles import quoted as q
+
 # Above this many columns the pairwise sums come from matrix products per partition.
 PAIRS_BY_EXPRESSION = 16
 # Rows of one shuffling block in permutation importance.
 BLOCK_ROWS = 65536
 
 
-def q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+def pearson_pairs(df: DataFrame, columns: list[str], centre: list[float] | None = None) -> DataFrame:
     """Absolute Pearson r of every column pair i < j over the rows where both are present.
 
+    ``centre`` holds the column means when they are known already; it saves one pass.
+
     Columns: ``i, j, feature_i, feature_j, r``; r is NULL where a side is constant. One
     row per pair, so the result is as wide as the feature list and not as long as the data.
     """
@@ -31,7 +32,7 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], schema)
     if len(columns) <= PAIRS_BY_EXPRESSION:
         return _pairs_by_expression(df, columns)
-    return _pairs_by_blocks(df, columns)
+    return _pairs_by_blocks(df, columns, centre)
 
 
 def _pairs_by_expression(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,17 +52,19 @@ def _pairs_by_expression(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))
 
 
-def _pairs_by_blocks(df: DataFrame, columns: list[str]) -> DataFrame:
+def _pairs_by_blocks(df: DataFrame, columns: list[str], centre: list[float] | None) -> DataFrame:
     """Pairwise sums as per-partition matrix products, then one sum per pair."""
     m = len(columns)
-    centre_row = df.agg(*[F.avg(q(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    centre = np.array([0.0 if v is None else float(v) for v in centre_row])
+    if centre is None:
+        facts = column_facts(df, columns)
+        centre = [facts[c]["mean"] or 0.0 for c in columns]
+    shift = np.array(centre)
     rows, cols = np.triu_indices(m, k=1)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
-            x = batch.to_numpy(dtype=float) - centre
+            x = batch.to_numpy(dtype=float) - shift
             here = (~np.isnan(x)).astype(float)
             x = np.nan_to_num(x)
             square = x * x
