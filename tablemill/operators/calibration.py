@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,36 +116,28 @@ class SigmoidCalibrated(Classifier):
 
 @dataclass
 class IsotonicCalibrated(Classifier):
-    """As the sigmoid form, with a monotone step curve per class."""
+    """As the sigmoid form, with a fitted monotone curve per class."""
 
-    folds: list[tuple[Classifier, dict[int, tuple[list[float], list[float]]]]] = field(default_factory=list)
+    folds: list[tuple[Classifier, dict[int, IsotonicRegressionModel]]] = field(default_factory=list)
 
     def score(self, df: DataFrame, out: str = "proba") -> DataFrame:
         scored = df
         for i, (model, curves) in enumerate(self.folds):
             scored = model.score(scored, f"_u{i}")
-            parts = [
-                _interpolate(F.get(F.col(f"_u{i}"), F.lit(c)), *curves[c]) if c in curves else F.lit(0.0)
-                for c in range(self.k)
-            ]
-            scored = scored.withColumn(f"_c{i}", normalised(F.array(*parts)))
+            plain = F.col(f"_u{i}")
+            scored = scored.withColumns({f"_s{c}": F.get(plain, F.lit(c)) for c in curves})
+            for c, curve in curves.items():
+                scored = curve.copy().setFeaturesCol(f"_s{c}").setPredictionCol(f"_k{c}").transform(scored)
+            parts = [F.col(f"_k{c}") if c in curves else F.lit(0.0) for c in range(self.k)]
+            scored = scored.withColumn(f"_c{i}", normalised(F.array(*parts))).drop(
+                *[f"_{s}{c}" for s in "sk" for c in curves]
+            )
         n = len(self.folds)
         return scored.withColumn(out, mean_of_arrays([F.col(f"_c{i}") for i in range(n)])).drop(
             *[f"_{s}{i}" for s in "uc" for i in range(n)]
         )
 
 
-def _interpolate(score: Column, bounds: list[float], values: list[float]) -> Column:
-    """Piecewise linear through (bound, value), flat outside."""
-    @F.pandas_udf("double")
-    def curve(s):
-        import pandas as pd
-
-        return pd.Series(np.interp(s.to_numpy(dtype=float), bounds, values))
-
-    return curve(score)
-
-
 def calibrate(
     df: DataFrame,
     fit: Callable[[DataFrame], Classifier],
@@ -184,8 +176,7 @@ def calibrate(
                 (F.col("pos") / F.col("n")).alias("label"),
                 F.col("n").cast("double").alias("weight"),
             )
-            iso = IsotonicRegression(weightCol="weight").fit(rows)
-            steps[c] = (list(iso.boundaries.toArray()), list(iso.predictions.toArray()))
+            steps[c] = IsotonicRegression(weightCol="weight").fit(rows)
         folds.append((m, steps))
     return IsotonicCalibrated(k, "", {}, folds)
 
