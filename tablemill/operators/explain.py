@@ -8,7 +8,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.operators.ranking import rank_desc
@@ -90,69 +90,80 @@ def kernel_shap(
     n_classes: int,
     n_samples: int | None = None,
     seed: int = 42,
-    points_per_pass: int = 2000,
+    points_per_piece: int = 2000,
+    rows_per_piece: int = 4096,
 ) -> DataFrame:
     """Shapley value of every (row, class, feature): columns ``row_id, class, feature, phi``.
 
     ``predict`` maps a matrix of feature rows to class scores and runs inside the tasks.
-    ``background`` holds the features and ``weight``. Values are a weighted mean over
-    background points, so the background is taken in bounded pieces, one lazy pass each, and
-    the partial values are summed; a background of any size gives the same result.
+    ``background`` holds the features and ``weight``. Up to ``points_per_piece`` points, a
+    checked bound, go along with the job. A larger
+    background stays distributed: values are weighted means over its points, so every piece
+    of rows meets every piece of points in its own bounded task and the parts are summed.
+    The result is the same by both routes.
     """
     m = len(features)
     masks, weights = coalitions(m, n_samples, seed)
     project = projector(masks, weights)
-    total = float(background.agg(F.sum("weight")).first()[0])
+    facts = background.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast("double").alias("total")).first()
+    n_points, total = facts["n"], facts["total"]
+    names = [f"f{i}" for i in range(m)]
+    numbers = [F.col(f"`{f}`").cast("double").alias(n) for f, n in zip(features, names)]
+    rows = df.select(F.col(row_id).alias("id"), *numbers)
+    points = background.select(*numbers, (F.col("weight") / F.lit(total)).alias("share"))
     key_type = df.schema[row_id].dataType.simpleString()
-    schema = f"`{row_id}` {key_type}, class int, feature int, phi double"
-    plain = df.select(row_id, *[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
-
-    def explain(points: np.ndarray, shares: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            base = shares @ predict(points)
+    schema = f"id {key_type}, class int, feature int, phi double"
+
+    def explain(batch: pd.DataFrame, at: np.ndarray, shares: np.ndarray) -> pd.DataFrame:
+        base = shares @ predict(at)
+        x = batch[names].to_numpy(dtype=float)
+        phi = np.stack([_row_values(row, at, shares, base, masks, project, predict) for row in x])
+        r, f, c = np.meshgrid(range(len(x)), range(m), range(n_classes), indexing="ij")
+        return pd.DataFrame(
+            {
+                "id": batch["id"].to_numpy()[r.ravel()],
+                "class": c.ravel(),
+                "feature": f.ravel(),
+                "phi": phi.ravel(),
+            }
+        )
+
+    if n_points <= points_per_piece:
+        matrix = np.array([tuple(p) for p in points.collect()], dtype=float).reshape(-1, m + 1)
+
+        def in_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                x = batch.iloc[:, 1:].to_numpy(dtype=float)
-                if len(x) == 0:
-                    continue
-                phi = np.stack([_row_values(row, points, shares, base, masks, project, predict) for row in x])
-                r, f, c = np.meshgrid(range(len(x)), range(m), range(n_classes), indexing="ij")
-                yield pd.DataFrame(
-                    {
-                        row_id: batch.iloc[:, 0].to_numpy()[r.ravel()],
-                        "class": c.ravel(),
-                        "feature": f.ravel(),
-                        "phi": phi.ravel(),
-                    }
-                )
-
-        return plain.mapInPandas(run, schema)
-
-    parts = None
-    names = [f"f{i}" for i in range(m)]
-    ordered = background.select(
-        *[F.col(f"`{f}`").cast("double").alias(n) for f, n in zip(features, names)], "weight"
-    )
-    piece: list = []
-    for point in ordered.toLocalIterator():
-        piece.append(point)
-        if len(piece) == points_per_pass:
-            parts = _plus(parts, explain(*_split(piece, total)))
-            piece = []
-    if piece:
-        parts = _plus(parts, explain(*_split(piece, total)))
+                if len(batch):
+                    yield explain(batch, matrix[:, :-1], matrix[:, -1])
+
+        # a row costs points x coalitions model calls: spread rows evenly before that
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        values = rows.repartition(tasks, "id").mapInPandas(in_place, schema)
+    else:
+        n_pieces = -(-n_points // points_per_piece)
+        n_blocks = max(1, -(-df.count() // rows_per_piece))
+        left = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn(
+            "piece", F.explode(_longs(n_pieces))
+        )
+        right = points.withColumn("piece", F.pmod(F.xxhash64(*names), F.lit(n_pieces))).withColumn(
+            "block", F.explode(_longs(n_blocks))
+        )
+
+        def pair(batch: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+            if len(batch) == 0 or len(at) == 0:
+                return pd.DataFrame({"id": [], "class": [], "feature": [], "phi": []})
+            return explain(batch, at[names].to_numpy(dtype=float), at["share"].to_numpy(dtype=float))
+
+        parts = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece"))
+        values = parts.applyInPandas(pair, schema).groupBy("id", "class", "feature").agg(F.sum("phi").alias("phi"))
     labels = F.array(*[F.lit(f) for f in features])
-    return parts.groupBy(row_id, "class", "feature").agg(F.sum("phi").alias("phi")).select(
-        row_id, "class", F.get(labels, F.col("feature")).alias("feature"), "phi"
+    return values.select(
+        F.col("id").alias(row_id), "class", F.get(labels, F.col("feature")).alias("feature"), "phi"
     )
 
 
-def _split(piece: list, total: float) -> tuple[np.ndarray, np.ndarray]:
-    matrix = np.array(piece, dtype=float)
-    return matrix[:, :-1], matrix[:, -1] / total
-
-
-def _plus(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+def _longs(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
 def _row_values(row, points, shares, base, masks, project, predict) -> np.ndarray:

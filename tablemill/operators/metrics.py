@@ -294,34 +294,35 @@ def eval_external(
         )
         return facts, None, None
     truth = to_known_class(F.col(label).cast("string"), classes)
-    known = truth.isin(*classes)
-    rows = df.select(
-        truth.alias("truth"),
-        to_known_class(F.col(predicted).cast("string"), classes).alias("guess"),
-        F.coalesce(known, F.lit(False)).alias("known"),
-    )
-    counts = rows.groupBy("truth", "guess", "known").agg(F.count(F.lit(1)).alias("n"))
-    unknown = F.col("truth").isNotNull() & ~F.col("known")
+    guess = to_known_class(F.col(predicted).cast("string"), classes)
+    rows = df.select(truth.alias("truth"), guess.alias("guess"))
+    known = F.coalesce(F.col("truth").isin(*classes), F.lit(False))
+    # class names only: labels nobody knows may be many, and are counted as one
+    counts = rows.groupBy(
+        F.when(known, F.col("truth")).alias("truth"),
+        F.when(F.col("guess").isin(*classes), F.col("guess")).alias("guess"),
+        F.col("truth").isNotNull().alias("labelled"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+    unknown = rows.filter(F.col("truth").isNotNull() & ~known).select("truth").distinct()
+    names = [r["truth"] for r in unknown.orderBy("truth").limit(21).collect()]
+    preview = "; ".join(names[:20]) + (" ..." if len(names) > 20 else "")
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("long"))
 
-    names = F.sort_array(F.collect_set(F.when(unknown, F.col("truth"))))
     facts = counts.agg(
         total(F.lit(True)).alias("n_rows_total"),
-        total(F.col("truth").isNotNull()).alias("n_rows_with_label"),
-        total(F.col("truth").isNull()).alias("n_rows_missing_label"),
-        total(unknown).alias("n_rows_unknown_label"),
-        total(F.col("known")).alias("n_rows_evaluated"),
-        F.concat(
-            F.array_join(F.slice(names, 1, 20), "; "),
-            F.when(F.size(names) > 20, F.lit(" ...")).otherwise(F.lit("")),
-        ).alias("unknown_labels_preview"),
-    ).withColumn(
-        "status", F.when(F.col("n_rows_evaluated") > 0, F.lit("ok")).otherwise(F.lit("skipped"))
+        total(F.col("labelled")).alias("n_rows_with_label"),
+        total(~F.col("labelled")).alias("n_rows_missing_label"),
+        total(F.col("labelled") & F.col("truth").isNull()).alias("n_rows_unknown_label"),
+        total(F.col("truth").isNotNull()).alias("n_rows_evaluated"),
+    ).select(
+        "*",
+        F.lit(preview).alias("unknown_labels_preview"),
+        F.when(F.col("n_rows_evaluated") > 0, F.lit("ok")).otherwise(F.lit("skipped")).alias("status"),
     )
     index = F.create_map(*[F.lit(x) for pair in zip(classes, range(len(classes))) for x in pair])
-    outcomes = counts.filter("known").select(
+    outcomes = counts.filter("truth IS NOT NULL").select(
         F.lit("external").alias("model"),
         index[F.col("truth")].alias("y_true"),
         F.coalesce(index[F.col("guess")], F.lit(-1)).alias("y_pred"),

@@ -157,8 +157,10 @@ def test_shapley_values_are_exact(spark):
     points = np.array([[r[n] for n in names] for r in background.collect()])
     weights = np.array([r["weight"] for r in background.collect()], dtype=float)
     expected = _brute_shapley(x, points, weights, _game)
-    for per_pass in (2000, 5):
-        rows = explain.kernel_shap(df, "id", names, background, _game, 2, points_per_pass=per_pass).collect()
+    for per_piece in (2000, 5):
+        rows = explain.kernel_shap(
+            df, "id", names, background, _game, 2, points_per_piece=per_piece, rows_per_piece=4
+        ).collect()
         assert len(rows) == 12 * 4 * 2
         for r in rows:
             assert r["phi"] == pytest.approx(expected[r["id"], names.index(r["feature"]), r["class"]], abs=1e-9)
