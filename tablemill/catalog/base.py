@@ -137,8 +137,8 @@ PRED_SQL = (
 )
 
 
-def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, model, y_true, proba): three classes; one model with many tied scores."""
+def probability_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, y_true, tied, smooth): two arrays of three class probabilities per order."""
     a, b, c = (
         (1 + F.pmod("o_custkey", F.lit(7))).cast("double"),
         (1 + F.pmod("o_orderkey", F.lit(5))).cast("double"),
@@ -147,17 +147,21 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = a + b + c
     x = F.col("o_totalprice") / 1000000.0
     rest = (F.lit(1.0) - x) / 2.0
-    per_model = F.array(
-        F.struct(
-            F.lit("RandomForest").alias("model"), F.array(a / total, b / total, c / total).alias("proba")
-        ),
-        F.struct(F.lit("Ensemble").alias("model"), F.array(x, rest, rest).alias("proba")),
-    )
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"),
         status_code(F.col("o_orderstatus")).alias("y_true"),
-        F.inline(per_model),
+        F.array(a / total, b / total, c / total).alias("tied"),
+        F.array(x, rest, rest).alias("smooth"),
+    )
+
+
+def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, model, y_true, proba): three classes; one model with many tied scores."""
+    per_model = F.array(
+        F.struct(F.lit("RandomForest").alias("model"), F.col("tied").alias("proba")),
+        F.struct(F.lit("Ensemble").alias("model"), F.col("smooth").alias("proba")),
     )
+    return probability_arrays(spark, sf_dir).select("row_id", "y_true", F.inline(per_model))
 
 
 PROBA_SQL = (

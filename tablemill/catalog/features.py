@@ -324,8 +324,10 @@ def _equations(spark, sf_dir):
     "FROM lineitem GROUP BY ALL",
 )
 def equation_parse(spark, sf_dir):
-    parts = parse_equations(_equations(spark, sf_dir).select("equation"), "equation").drop("equation")
-    return parts.groupBy(*parts.columns).agg(F.count(F.lit(1)).alias("n"))
+    """Each distinct text is parsed once, however many rows carry it."""
+    texts = _equations(spark, sf_dir).groupBy("equation").agg(F.count(F.lit(1)).alias("n"))
+    parts = parse_equations(texts, "equation").drop("equation")
+    return parts.groupBy(*[c for c in parts.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 @query(

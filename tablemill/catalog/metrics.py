@@ -11,6 +11,7 @@ from tablemill.catalog.base import (
     STATUS,
     predictions,
     probabilities,
+    probability_arrays,
     query,
     r,
     table,
@@ -300,13 +301,8 @@ def softmax_(spark, sf_dir):
 
 
 def _three_models(spark, sf_dir):
-    """Three probability arrays and a label per row."""
-    p = probabilities(spark, sf_dir)
-    one = p.groupBy("row_id", "y_true").agg(
-        F.max(F.when(F.col("model") == "RandomForest", F.col("proba"))).alias("a"),
-        F.max(F.when(F.col("model") == "Ensemble", F.col("proba"))).alias("b"),
-    )
-    return one.withColumn("e", F.pmod("row_id", F.lit(3)).cast("int"))
+    """Probability arrays and a label per row."""
+    return probability_arrays(spark, sf_dir).withColumn("e", F.pmod("row_id", F.lit(3)).cast("int"))
 
 
 _ENS_SQL = (
@@ -320,7 +316,7 @@ _ENS_SQL = (
        f"WITH {PROBA_SQL}, {_ENS_SQL} SELECT row_id, " + ", ".join(f"round(p{i}, 12) AS p{i}" for i in range(3)) + " FROM ens")
 def ensemble_proba_(spark, sf_dir):
     rows = _three_models(spark, sf_dir)
-    p = ensemble_proba(F.col("a"), F.col("b"), F.col("a"), F.col("e"), 3)
+    p = ensemble_proba(F.col("tied"), F.col("smooth"), F.col("tied"), F.col("e"), 3)
     found = rows.select("row_id", p.alias("p"))
     return found.select("row_id", *[r(F.get("p", F.lit(i)), 12).alias(f"p{i}") for i in range(3)])
 

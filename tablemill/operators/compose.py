@@ -96,19 +96,13 @@ def stat5(
     """Five statistics of each value column per composition, wide.
 
     ``every`` (one row per composition, holding ``key`` and the ``carry`` columns) keeps
-    compositions without atoms, with NULL statistics. Its rows enter the same aggregation
-    with NULL values, so there is one shuffle of partial aggregates and no join.
+    compositions without atoms, with NULL statistics. The aggregate is already spread by
+    ``key``, so joining it to ``every`` moves only that thin table.
     """
-    carry = carry or []
-    rows = atoms.select(key, *values)
-    if every is not None:
-        types = {v: rows.schema[v].dataType for v in values}
-        blanks = every.select(key, *carry, *[F.lit(None).cast(types[v]).alias(v) for v in values])
-        rows = rows.unionByName(blanks, allowMissingColumns=True)
-    return rows.groupBy(key).agg(
-        *[F.max(c).alias(c) for c in carry],
-        *[c for v in values for c in stat5_columns(F.col(v), v)],
-    )
+    rows = atoms.groupBy(key).agg(*[c for v in values for c in stat5_columns(F.col(v), v)])
+    if every is None:
+        return rows
+    return every.select(key, *(carry or [])).join(rows, key, "left")
 
 
 def stat5_long(values: DataFrame, key: str, prop: str = "property", value: str = "value") -> DataFrame:

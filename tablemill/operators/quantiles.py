@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 1024
-# Columns per aggregation.
-CHUNK = 60
 
 
 def quoted(name: str) -> str:
@@ -27,59 +25,55 @@ class _Bracket:
     size: int
 
 
-def column_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Rows, non-null count, least, greatest, mean and population deviation per column.
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, v): one row per cell. Aggregating these keeps plans small however wide the table."""
+    cells = [
+        F.struct(F.lit(i).alias("i"), F.col(quoted(c)).cast("double").alias("v")) for i, c in enumerate(columns)
+    ]
+    return df.select(F.inline(F.array(*cells)))
 
-    Wide tables take several aggregates, so that generated code stays within JVM limits.
-    """
-    facts: dict[str, dict] = {}
-    for start in range(0, len(columns), CHUNK):
-        part = columns[start : start + CHUNK]
-        values = [F.col(quoted(c)).cast("double") for c in part]
-        row = df.agg(
+
+def column_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Rows, non-null count, least, greatest, mean and population deviation per column."""
+    rows = (
+        _cells(df, columns)
+        .groupBy("i")
+        .agg(
             F.count(F.lit(1)).alias("rows"),
-            *[
-                e.alias(f"{k}{i}")
-                for i, v in enumerate(values)
-                for k, e in (
-                    ("n", F.count(v)),
-                    ("lo", F.min(v)),
-                    ("hi", F.max(v)),
-                    ("mean", F.avg(v)),
-                    ("std", F.stddev_pop(v)),
-                )
-            ],
-        ).first()
-        for i, c in enumerate(part):
-            facts[c] = {k: row[f"{k}{i}"] for k in ("n", "lo", "hi", "mean", "std")} | {"rows": row["rows"]}
-    return facts
+            F.count("v").alias("n"),
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+            F.avg("v").alias("mean"),
+            F.stddev_pop("v").alias("std"),
+        )
+        .collect()
+    )
+    empty = {"rows": 0, "n": 0, "lo": None, "hi": None, "mean": None, "std": None}
+    found = {r["i"]: {k: r[k] for k in empty} for r in rows}
+    return {c: found.get(i, empty) for i, c in enumerate(columns)}
 
 
 def exact_medians(
     df: DataFrame,
     columns: list[str],
     facts: dict[str, dict] | None = None,
-    in_memory_rows: int = 2_000_000,
+    in_memory_values: int = 8_000_000,
 ) -> dict[str, float]:
     """Median per column (mean of the two middle values); an all-NULL column gives 0.0.
 
-    Up to ``in_memory_rows`` rows the built-in exact percentile is used. It keeps every
-    distinct value of a column in one task, so beyond that the two middle order statistics
-    are found by narrowing value ranges: each pass counts all columns in 1024 bins with
+    Up to ``in_memory_values`` cells the built-in exact percentile is used. It keeps every
+    distinct value in one task, so beyond that the two middle order statistics are found by narrowing value ranges: each pass counts all columns in 1024 bins with
     partial aggregation, and the bin holding the wanted rank becomes the next range. Ranges
     shrink to a single value, so the answer is the same, whatever the distribution.
     """
     if not columns:
         return {}
     facts = facts or column_facts(df, columns)
-    if facts[columns[0]]["rows"] > in_memory_rows:
+    if facts[columns[0]]["rows"] * len(columns) > in_memory_values:
         return narrowed_medians(df, columns, facts)
-    medians: dict[str, float] = {}
-    for start in range(0, len(columns), CHUNK):
-        part = columns[start : start + CHUNK]
-        row = df.agg(*[F.percentile(F.col(quoted(c)).cast("double"), 0.5) for c in part]).first()
-        medians |= {c: 0.0 if row[i] is None else float(row[i]) for i, c in enumerate(part)}
-    return medians
+    rows = _cells(df, columns).groupBy("i").agg(F.percentile("v", 0.5).alias("median")).collect()
+    found = {r["i"]: r["median"] for r in rows}
+    return {c: 0.0 if found.get(i) is None else float(found[i]) for i, c in enumerate(columns)}
 
 
 def narrowed_medians(df: DataFrame, columns: list[str], facts: dict[str, dict] | None = None) -> dict[str, float]:
@@ -116,25 +110,24 @@ def _place(open_: dict, done: dict, key: tuple[str, int], bracket: _Bracket) ->
 
 def _bin_counts(df: DataFrame, open_: dict[tuple[str, int], _Bracket]) -> dict:
     """Count, least and greatest value per bin of every open range: one pass over the data."""
-    items = list(open_.items())
-    entries = [
-        F.when(
-            F.col(quoted(c)).cast("double").between(b.low, b.high),
+    ranges: dict[tuple[str, float, float], list[tuple[str, int]]] = {}
+    for (c, side), b in open_.items():
+        ranges.setdefault((c, b.low, b.high), []).append((c, side))
+
+    def entry(k: int, c: str, low: float, high: float) -> Column:
+        value = F.col(quoted(c)).cast("double")
+        # halves, so that the width of the widest possible range is still a number
+        place = (value / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * BINS
+        return F.when(
+            value.between(low, high),
             F.struct(
                 F.lit(k).alias("k"),
-                F.least(
-                    F.floor(
-                        (F.col(quoted(c)).cast("double") / 2 - F.lit(b.low / 2))
-                        / F.lit(b.high / 2 - b.low / 2)
-                        * BINS
-                    ),
-                    F.lit(BINS - 1).cast("long"),
-                ).alias("bin"),
-                F.col(quoted(c)).cast("double").alias("value"),
+                F.least(F.floor(place), F.lit(BINS - 1).cast("long")).alias("bin"),
+                value.alias("value"),
             ),
         )
-        for k, ((c, _), b) in enumerate(items)
-    ]
+
+    entries = [entry(k, *key) for k, key in enumerate(ranges)]
     rows = (
         df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
         .groupBy("e.k", "e.bin")
@@ -145,7 +138,9 @@ def _bin_counts(df: DataFrame, open_: dict[tuple[str, int], _Bracket]) -> dict:
         )
         .collect()
     )
-    out: dict[tuple[str, int], list] = {key: [] for key, _ in items}
+    owners = list(ranges.values())
+    out: dict[tuple[str, int], list] = {key: [] for key in open_}
     for r in rows:
-        out[items[r["k"]][0]].append((r["bin"], r["n"], r["low"], r["high"]))
+        for key in owners[r["k"]]:
+            out[key].append((r["bin"], r["n"], r["low"], r["high"]))
     return out

@@ -142,8 +142,9 @@ def permuted_rows(
         ids = part[row_id].to_numpy()
         out = []
         for f, r in jobs:
-            keys = [hashlib.md5(f"{i}-{seed}-{r}-{f}".encode()).hexdigest() for i in ids]
-            donors = np.lexsort((ids, np.array(keys)))
+            digests = b"".join([hashlib.md5(f"{i}-{seed}-{r}-{f}".encode()).digest() for i in ids])
+            high, low = np.frombuffer(digests, dtype=">u8").reshape(-1, 2).T
+            donors = np.lexsort((ids, low, high))
             moved = part[names].copy()
             moved[f] = part[f].to_numpy()[donors]
             moved["feature"], moved["repeat"] = f, r

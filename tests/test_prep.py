@@ -31,7 +31,7 @@ def test_medians_same_by_both_routes(spark):
     rng = np.random.default_rng(1)
     df = _wide(spark, np.column_stack([rng.normal(size=501), rng.integers(0, 3, 501), np.full(501, 7.0)]))
     names = df.columns
-    assert exact_medians(df, names) == exact_medians(df, names, in_memory_rows=10)
+    assert exact_medians(df, names) == exact_medians(df, names, in_memory_values=10)
 
 
 def test_fitted_preprocessing_matches_numpy(spark):
