@@ -45,8 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
-    """Rounded double, without a negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """Rounded double, half away from zero, in double arithmetic and without a negative zero."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scale = float(10**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale + F.lit(0.0)
 
 
 def line_values(spark: SparkSession, sf_dir: str) -> DataFrame:

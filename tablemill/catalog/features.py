@@ -18,15 +18,19 @@ def digits_of(feature: str) -> int:
     return 5 if feature == "price_media" else DIGITS[feature.split("_")[0]]
 
 
+def is_exact(feature: str) -> bool:
+    return feature.endswith(("_minimo", "_maximo"))
+
+
 @query(
     "stat5",
     f"WITH {FEAT_SQL} SELECT row_id, "
-    + ", ".join(f"round({f}, {digits_of(f)}) AS {f}" for f in FEATURES)
+    + ", ".join(f if is_exact(f) else f"round({f}, {digits_of(f)}) AS {f}" for f in FEATURES)
     + " FROM feat",
 )
 def stat5(spark, sf_dir):
     wide = feature_table(spark, sf_dir)
-    return wide.select("row_id", *[r(f, digits_of(f)).alias(f) for f in FEATURES])
+    return wide.select("row_id", *[F.col(f) if is_exact(f) else r(f, digits_of(f)).alias(f) for f in FEATURES])
 
 
 @query(
