@@ -5,7 +5,7 @@ Nothing else in the library imports this subpackage; it can be deleted whole.
 
 from importlib import import_module
 
-MODULES = ("bpe", "packing", "quality", "suffixes")
+MODULES = ("bpe", "packing", "pii", "quality", "suffixes")
 
 
 def load() -> tuple[dict, dict]:
