@@ -28,8 +28,20 @@ LONG_RUN = 32768
 CACHE_WORDS = 250_000
 """Words in each half of a worker's cache."""
 
-_SIMPLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PRINTABLE = re.compile(rb"[!-~]+")
+_SIMPLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# what the pattern above and lower() treat as the file's own rules do: printable ASCII and
+# the Latin-1 letters, which are composed already
+_KNOWN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a printable stands for itself, others are numbered from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 def default_path() -> str:
@@ -61,8 +73,11 @@ class WordEncoder:
         self.added_bytes = re.compile(
             b"(" + b"|".join(re.escape(t.encode()) for t in self.added) + b")"
         )
+        self.packed = {i: i.to_bytes(4, "little") for i in self.names}
+        self.named = {b: self.names[i].encode() for i, b in self.packed.items()}
         self.pieces = TwoGenerations(cache_words)
         self.words = TwoGenerations(cache_words)
+        self.pairs = TwoGenerations(cache_words)
 
     # -- pieces without a cut inside ------------------------------------------------
     def leaf_tokens(self, piece: str, last: bool) -> list[tuple[int, int]]:
@@ -95,55 +110,56 @@ class WordEncoder:
         half = len(piece) // 2
         return self.join(piece, self.tree(piece[:half], False), self.tree(piece[half:], last), last)
 
-    def _piece_ids(self, piece: str) -> tuple[int, ...]:
+    def _piece_ids(self, piece: str) -> bytes:
+        packed = self.packed
         if len(piece) <= self.leaf:
-            return tuple(t.id for t in self.ending.tokenize(piece))
-        return tuple(i for i, _ in self.tree(piece))
+            return b"".join([packed[t.id] for t in self.ending.tokenize(piece)])
+        return b"".join([packed[i] for i, _ in self.tree(piece)])
 
     # -- words ----------------------------------------------------------------------
     def split_word(self, word: bytes) -> list[str]:
         """Byte-level pieces of a run without white space."""
-        if _PRINTABLE.fullmatch(word):
-            return _SIMPLE.findall(word.decode().lower())
-        text = self.tokenizer.normalizer.normalize_str(word.decode("utf-8", "replace"))
+        text = word.decode("utf-8", "replace")
+        if _KNOWN.fullmatch(text):
+            pieces = _SIMPLE.findall(text.lower())
+            if len(text) == len(word):
+                return pieces
+            return [p.encode().decode("latin-1").translate(_LETTERS) for p in pieces]
+        text = self.tokenizer.normalizer.normalize_str(text)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def pack(self, ids) -> tuple[bytes, bytes]:
-        return (
-            b"".join(i.to_bytes(4, "little") for i in ids),
-            " ".join(self.names[i] for i in ids).encode(),
-        )
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word as little-endian unsigned 32-bit numbers."""
+        get, missing, make = self.pieces.young.get, self.pieces.missing, self._piece_ids
+        return b"".join([get(p) or missing(p, make) for p in self.split_word(word)])
 
-    def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        get, ids = self.pieces.young.get, []
-        for piece in self.split_word(word):
-            if len(piece) > self.leaf:
-                ids.extend(self._piece_ids(piece))  # long pieces rarely come again
-            else:
-                ids.extend(get(piece) or self.pieces.missing(piece, self._piece_ids))
-        return self.pack(ids)
+    def _pair(self, word: bytes) -> tuple[bytes, bytes]:
+        ids = self._word(word)
+        return ids, self.named_run(ids)
 
-    def encode(self, text: bytes) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32 bit, decoded tokens) of every run in ``text``."""
+    def named_run(self, ids: bytes) -> bytes:
+        """Decoded form: the tokens' own spellings with blanks between."""
+        return b" ".join([self.named[ids[i : i + 4]] for i in range(0, len(ids), 4)])
+
+    def _runs(self, text: bytes, cache: TwoGenerations, make, added) -> list:
+        """``make`` of every run without white space, ``added`` of every special token."""
+        get, missing = cache.young.get, cache.missing
         if b"<|" in text and self.added_bytes.search(text):
             out = []
             for k, part in enumerate(self.added_bytes.split(text)):
-                out += [self.pack([self.added[part.decode()]])] if k % 2 else self.encode_plain(part)
+                out += [added(part)] if k % 2 else self._runs(part, cache, make, added)
             return out
-        return self.encode_plain(text)
+        return [get(w) or missing(w, make) for w in text.lower().split()]
 
-    def encode_plain(self, text: bytes) -> list[tuple[bytes, bytes]]:
-        get, missing, make = self.words.young.get, self.words.missing, self._word
-        out = []
-        for word in text.lower().split():
-            if len(word) > 64:
-                out.append(make(word))
-            else:
-                out.append(get(word) or missing(word, make))
-        return out
+    def added_ids(self, token: bytes) -> bytes:
+        return self.packed[self.added[token.decode()]]
+
+    def encode(self, text: bytes) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian unsigned 32 bit, decoded tokens) of every run in ``text``."""
+        return self._runs(text, self.pairs, self._pair, lambda t: (self.added_ids(t), t))
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join([x[0] for x in self.encode(text)])
+        return b"".join(self._runs(text, self.words, self._word, self.added_ids))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -228,13 +244,13 @@ def _by_leaves(source: DataFrame, where: str, schema: str) -> DataFrame:
             part = 0
             for k, span in enumerate(enc.added_bytes.split(text)):
                 if k % 2:
-                    rows.append((key, doc_id, part, 0, 1, None, enc.pack([enc.added[span.decode()]])[0]))
+                    rows.append((key, doc_id, part, 0, 1, None, enc.added_ids(span)))
                     part += 1
                     continue
                 for word in span.lower().split():
                     pieces = enc.split_word(word) if len(word) > enc.leaf else []
                     if all(len(p) <= enc.leaf for p in pieces):
-                        rows.append((key, doc_id, part, 0, 1, None, enc._word(word)[0]))
+                        rows.append((key, doc_id, part, 0, 1, None, enc._word(word)))
                         part += 1
                         continue
                     for p in pieces:
@@ -263,7 +279,7 @@ def _by_leaves(source: DataFrame, where: str, schema: str) -> DataFrame:
         group = group.sort_values(["part", "leaf"], kind="stable")
         for _, part in group.groupby("part", sort=True):
             if part["piece"].iloc[0] is None:
-                ids += _numbers(part["ids"].iloc[0]).tolist()
+                ids.append(part["ids"].iloc[0])
                 continue
             level = [(p, [tuple(x) for x in json.loads(t)]) for p, t in zip(part["piece"], part["tokens"])]
             while len(level) > 1:
@@ -272,10 +288,10 @@ def _by_leaves(source: DataFrame, where: str, schema: str) -> DataFrame:
                     (p, left), (q, right) = level[i], level[i + 1]
                     pairs.append((p + q, enc.join(p + q, left, right, i + 2 == len(level))))
                 level = pairs + level[len(level) - len(level) % 2 :]
-            ids += [i for i, _ in level[0][1]]
+            ids += [enc.packed[i] for i, _ in level[0][1]]
         import pandas as pd
 
-        n, a, b = digests([enc.pack(ids)])
+        n, a, b = digests([(i, enc.named_run(i)) for i in ids])
         return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].astype("Int64"), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
 
     # the digest of a text decides its result, so rows of one id and one text may share it

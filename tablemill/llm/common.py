@@ -55,6 +55,8 @@ class TwoGenerations:
         value = self.old.get(key)
         if value is None:
             value = make(key)
+            if len(key) > 64:
+                return value  # long keys rarely come again
         if len(self.young) >= self.limit:
             # emptied in place: callers hold a reference to the young half
             self.old = dict(self.young)
