@@ -16,7 +16,7 @@ form a run, and a run is one record. Then:
    in the names next to the q-gram, on one side at least, may share strings: undecided.
 3. Undecided runs are refined to their single strings, which meet by full name.
 
-Documents then lose what is covered. Names are 64-bit; a run is known by 104 bits.
+Documents then lose what is covered. Names are 64-bit; a run is known by 88 bits.
 """
 
 from __future__ import annotations
@@ -29,40 +29,54 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import map_rows, table, text_bytes
-from tablemill.session import materialize
+from tablemill.llm.common import (
+    ONE,
+    TWO,
+    each_part,
+    map_rows,
+    mix,
+    opened,
+    pack,
+    squeezed,
+    stored,
+    table,
+    text_bytes,
+    unpack,
+)
 
 LENGTH = 50
-GRAM = 22
+GRAM = 16
 NEXT_TO = (LENGTH - GRAM) // 2
 """Bytes that a string with a given q-gram has beyond it on one side at least."""
 CHUNK_BYTES = 1 << 21
+"""Text whose records are packed together."""
+SPAN = 1 << 16
+"""Strings that are named at a time: their names fit in a processor's cache."""
 PART_BYTES = 1 << 24
 """Bytes of text whose records one part holds."""
 WILD = 1
 
-_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PARTS = "part long, blob binary"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x * _ONE
-    x ^= x >> np.uint64(32)
-    x *= _TWO
-    x ^= x >> np.uint64(29)
-    return x
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _pair(first: np.ndarray, later: np.ndarray) -> np.ndarray:
     """Name of a string from the names at its start and at a later offset."""
-    return _mix(first * _TWO + later + (later >> np.uint64(31)))
+    x = first * ONE
+    x += later
+    x ^= x >> np.uint64(32)
+    x *= TWO
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Names:
     """Names of the strings of several lengths at every offset of ``data``."""
 
     def __init__(self, data: np.ndarray):
-        names = {1: _mix(data.astype(np.uint64) + np.uint64(1))}
+        names = {1: _BYTE[data]}
         for n in (1, 2, 4, 8, 16):
             a = names[n]
             names[2 * n] = _pair(a[:-n], a[n:]) if len(a) > n else a[:0]
@@ -89,102 +103,65 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[list, list, list, list]]:
-    """(ids, row keys, first offsets, bytes) for up to about CHUNK_BYTES of text at a time.
+def _spans(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[list, list, list, list]]:
+    """(ids, marks, first offsets, bytes) of texts, for up to about SPAN bytes at a time.
 
     A text longer than that is cut into pieces that overlap by one string less a byte.
     """
-    ids, keys, firsts, parts, held = [], [], [], [], 0
+    ids, marks, firsts, parts, held = [], [], [], [], 0
+    most = SPAN - length
     for batch in batches:
-        for i in range(batch.num_rows):
-            doc_id, key, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+        for doc_id, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if doc_id is None or len(text) < length:
                 continue
-            for at in range(0, len(text) - length + 1, CHUNK_BYTES):
-                piece = text[at : at + CHUNK_BYTES + length - 1]
-                if held and held + len(piece) > CHUNK_BYTES:
-                    yield ids, keys, firsts, parts
-                    ids, keys, firsts, parts, held = [], [], [], [], 0
+            for at in range(0, len(text) - length + 1, most - length):
+                piece = text[at : at + most - 1]
+                if held and held + len(piece) > most:
+                    yield ids, marks, firsts, parts
+                    ids, marks, firsts, parts, held = [], [], [], [], 0
                 ids.append(doc_id)
-                keys.append(key)
+                marks.append(mark)
                 firsts.append(at)
                 parts.append(piece)
                 held += len(piece)
     if held:
-        yield ids, keys, firsts, parts
-
-
-def pack(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per part, its records column by column, compressed."""
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    columns = [c[order] for c in columns]
-    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    ends = np.r_[at[1:], len(part)]
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    blobs = []
-    for a, b in zip(at.tolist(), ends.tolist()):
-        # bytes of one significance stand together, so that their sameness shows
-        planes = [np.ascontiguousarray(c[a:b].astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
-        blobs.append(squeeze((b - a).to_bytes(4, "little") + b"".join(planes)))
-    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-
-def unpack(blobs: list[bytes], width: int) -> list[np.ndarray]:
-    open_, found = zstandard.ZstdDecompressor().decompress, [[] for _ in range(width)]
-    for blob in blobs:
-        raw = open_(blob)
-        n = int.from_bytes(raw[:4], "little")
-        for i in range(width):
-            plane = np.frombuffer(raw, np.uint8, 8 * n, 4 + 8 * n * i).reshape(8, n)
-            found[i].append(np.ascontiguousarray(plane.T).view("<i8").reshape(-1))
-    return [np.concatenate(f) for f in found]
-
+        yield ids, marks, firsts, parts
 
-def _by_part(df: DataFrame, parts: int, schema: str, width: int, work) -> DataFrame:
-    """``work`` on all records of each part, a part at a time."""
 
-    def run(batches):
-        now, blobs = None, []
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if part != now and blobs:
-                    yield from work(unpack(blobs, width))
-                    blobs = []
-                now = part
-                blobs.append(blob)
-        if blobs:
-            yield from work(unpack(blobs, width))
+_FOUND = "kind int, doc_id long, mark long, ranges binary"
+"""Ranges of one document as pairs (first, last) of 32 bits. kind 0: the strings that start
+there are covered; 1: undecided."""
 
-    return df.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
-
-_FOUND = "kind int, row_key long, doc_id long, first long, last long"
-"""kind 0: strings starting at first..last are covered; 1: undecided."""
-
-
-def _found(kind: int, key, doc, first, last) -> pa.RecordBatch:
-    n = len(key)
+def _found(kind: int, doc, mark, first, last) -> pa.RecordBatch:
+    order = np.lexsort((first, mark, doc))
+    doc, mark, first, last = doc[order], mark[order], first[order], last[order]
+    at = np.flatnonzero(_groups(doc, mark))
+    pairs = np.stack([first, last], 1).astype("<i4")
+    ranges = [pairs[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)])]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, doc, first, last))],
-        ["kind", "row_key", "doc_id", "first", "last"],
+        [pa.array(np.full(len(at), kind, np.int32)), pa.array(doc[at]), pa.array(mark[at]), pa.array(ranges, pa.binary())],
+        ["kind", "doc_id", "mark", "ranges"],
     )
 
 
-def _merged(key, doc, first, last):
-    """Ranges of equal keys that touch, as one."""
-    order = np.lexsort((first, key))
-    key, doc, first, last = key[order], doc[order], first[order], last[order]
-    reach = np.empty_like(last)
-    if len(last):
-        # a running maximum inside each key: keys are ranked, so adding a step per key is safe
-        step = np.cumsum(np.r_[0, key[1:] != key[:-1]]) * (int(last.max()) + 2)
-        reach = np.maximum.accumulate(last + step) - step
-        new = np.r_[True, (key[1:] != key[:-1]) | (first[1:] > reach[:-1] + 1)]
-        at = np.flatnonzero(new)
-        ends = np.r_[at[1:], len(key)] - 1
-        return key[at], doc[at], first[at], reach[ends]
-    return key, doc, first, last
+def _all_ranges(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2).astype(np.int64)
+
+
+def _merged(doc, mark, first, last):
+    """Ranges of one document that touch, as one; sorted."""
+    if not len(doc):
+        return doc, mark, first, last
+    order = np.lexsort((first, mark, doc))
+    doc, mark, first, last = doc[order], mark[order], first[order], last[order]
+    other = _groups(doc, mark)
+    # a running maximum inside each document: a step for each keeps them apart
+    step = np.cumsum(other) * (int(last.max()) + 2)
+    reach = np.maximum.accumulate(last + step) - step
+    at = np.flatnonzero(other | np.r_[True, first[1:] > reach[:-1] + 1])
+    ends = np.r_[at[1:], len(doc)] - 1
+    return doc[at], mark[at], first[at], reach[ends]
 
 
 def _groups(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -212,16 +189,26 @@ def _smaller_inside(group_keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.n
 
 
 def _runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, gram: int):
-    """(piece, first, last, bucket, code) of the runs of every piece of ``data``."""
+    """(piece, first, last, bucket, code) of the runs of every piece of ``data``.
+
+    ``bucket``: 48 bits of the smallest q-gram name. ``code``: 40 bits of the names of all
+    strings of the run, then ten bits of the name before and ten of the name after the q-gram.
+    """
     names = Names(data)
     grams, whole, side = names.length(gram), names.length(length), names.of[16]
     width = length - gram + 1
-    lowest = _lowest(grams, width)
+    # the place of a q-gram travels in the low bits: the leftmost and the rightmost smallest
+    place = np.arange(len(grams), dtype=np.uint64)
+    grams >>= np.uint64(16)
+    grams <<= np.uint64(16)
+    left = _lowest(grams | place, width)
+    right = _lowest(grams | (np.uint64(0xFFFF) - place), width)
+    lowest = left >> np.uint64(16)
     n = len(lowest)
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, np.minimum(start + size - length + 1, n), -1)
-    inside = np.cumsum(inside[:-1]) > 0
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + size - length + 1, -1)
+    inside = np.cumsum(edge[:-1]) > 0
     new = np.r_[True, lowest[1:] != lowest[:-1]]
     new[start] = True
     new |= ~inside
@@ -230,87 +217,152 @@ def _runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int, gr
     real = inside[at]
     at, end = at[real], end[real]
     piece = np.searchsorted(start, at, side="right") - 1
-    bucket = lowest[at]
-    total = np.r_[np.uint64(0), np.cumsum(_mix(whole + np.uint64(7)))]
-    code = _mix(total[end + 1] - total[at] + (end - at).astype(np.uint64) * _TWO)
-    # where the q-gram stands: from the left in the first string, from the right in the last
-    steps = np.arange(width)
-    left, right = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    for a in range(0, len(at), 1 << 15):
-        s = slice(a, a + (1 << 15))
-        left[s] = at[s] + (grams[at[s, None] + steps] == bucket[s, None]).argmax(1)
-        right[s] = end[s] + width - 1 - (grams[end[s, None] + steps[::-1]] == bucket[s, None]).argmax(1)
-    before, after = left - NEXT_TO, left + gram + NEXT_TO - 16
+    total = np.r_[np.uint64(0), np.cumsum(whole)]
+    code = mix(total[end + 1] - total[at] + (end - at).astype(np.uint64) * TWO)
+    a = (left[at] & np.uint64(0xFFFF)).astype(np.int64)
+    tie = a != (np.uint64(0xFFFF) - (right[end] & np.uint64(0xFFFF))).astype(np.int64)
     low, high = start[piece], start[piece] + size[piece]
-    has_before, has_after = before >= low, after + 16 <= high
-    pick = lambda i, ok: np.where(ok, side[np.where(ok, i, 0)] % np.uint64(4094) + np.uint64(2), np.uint64(0))
-    tie = left != right
-    before = np.where(tie, np.uint64(WILD), pick(before, has_before))
-    after = np.where(tie, np.uint64(WILD), pick(after, has_after))
-    code = (code & np.uint64(0xFFFFFFFFFF000000)) | (before << np.uint64(12)) | after
-    return piece, at - low, end - low, bucket, code
+    code >>= np.uint64(24)
+    for where in (a - NEXT_TO, a + gram + NEXT_TO - 16):
+        there = (where >= low) & (where + 16 <= high)
+        name = np.where(there, side[np.where(there, where, 0)] % np.uint64(1022) + np.uint64(2), np.uint64(0))
+        code = (code << np.uint64(10)) | np.where(tie, np.uint64(WILD), name)
+    return piece, at - low, end - low, lowest[at], code
 
 
 def _gather(batches, parts: int, length: int, gram: int):
-    for ids, keys, firsts, texts in _chunks(batches, length):
-        size = np.array([len(t) for t in texts], np.int64)
-        start = np.r_[0, np.cumsum(size)[:-1]]
+    """Packed records (bucket, code, doc, mark, first, strings after the first)."""
+    held, size = [], 0
+    for ids, marks, firsts, texts in _spans(batches, length):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        start = np.r_[0, np.cumsum(sizes)[:-1]]
         data = np.frombuffer(b"".join(texts), np.uint8)
-        piece, first, last, bucket, code = _runs(data, start, size, length, gram)
-        doc, key = np.array(ids, np.int64)[piece], np.array(keys, np.int64)[piece]
-        first, last = first + np.array(firsts, np.int64)[piece], last + np.array(firsts, np.int64)[piece]
-        done = _smaller_inside((code >> np.uint64(24), bucket), doc)
-        if done.any():
-            k, d, f, t = _merged(key[done], doc[done], first[done], last[done])
-            yield pack(np.full(len(k), -1), [np.zeros(len(k), np.int64), np.zeros(len(k), np.int64), d, k, f, t - f])
-        go = ~done
-        order = np.argsort(bucket[go], kind="stable")
-        b = bucket[go][order]
-        yield pack(
-            (b % np.uint64(parts)).astype(np.int64),
-            [b.view(np.int64), *(x[go][order] for x in (code.view(np.int64), doc, key, first, last - first))],
-        )
+        piece, first, last, bucket, code = _runs(data, start, sizes, length, gram)
+        more, first = last - first, first + np.array(firsts, np.int64)[piece]
+        held.append((bucket, code, np.array(ids, np.int64)[piece], np.array(marks, np.int64)[piece], first, more))
+        size += len(data)
+        if size >= CHUNK_BYTES:
+            yield from _pack_runs(held, parts)
+            held, size = [], 0
+    if held:
+        yield from _pack_runs(held, parts)
 
 
-def _refine(columns) -> Iterator[pa.RecordBatch]:
-    bucket, code, doc, key, first, more = columns
-    if bucket.dtype != np.int64:
-        raise TypeError(bucket.dtype)
+def _pack_runs(held: list, parts: int):
+    bucket, code, doc, mark, first, more = (np.concatenate(x) for x in zip(*held))
+    done = _smaller_inside((code >> np.uint64(20), bucket), doc)
+    if done.any():
+        # covered already: needs no meeting, so any part will do; bucket and code are zero
+        d, m, f, t = _merged(doc[done], mark[done], first[done], first[done] + more[done])
+        none = np.zeros(len(d), np.int64)
+        yield pack(d % parts, [none, none, d, m, f, t - f])
+    go = ~done
+    bucket = bucket[go].astype(np.int64)
+    yield pack(bucket % parts, [bucket, *(x[go] for x in (code.view(np.int64), doc, mark, first, more))])
+
+
+def _settle(columns) -> Iterator[pa.RecordBatch]:
+    bucket, code, doc, mark, first, more = columns
     code = code.view(np.uint64)
-    run = code >> np.uint64(24)
+    ready = (bucket == 0) & (code == 0)
+    run = code >> np.uint64(20)
     order = np.lexsort((doc, run, bucket))
-    bucket, run, code, doc, key, first, more = (x[order] for x in (bucket, run, code, doc, key, first, more))
-    done = _covered(doc, _groups(bucket, run))
+    bucket, run, code, doc, mark, first, more, ready = (
+        x[order] for x in (bucket, run, code, doc, mark, first, more, ready)
+    )
+    done = ready | _covered(doc, _groups(bucket, run))
     if done.any():
-        yield _found(0, *_merged(key[done], doc[done], first[done], first[done] + more[done]))
+        yield _found(0, *_merged(doc[done], mark[done], first[done], first[done] + more[done]))
     go = ~done
-    bucket, run, code, doc, key, first, more = (x[go] for x in (bucket, run, code, doc, key, first, more))
-    new = _groups(bucket)
-    group = np.cumsum(new) - 1
-    several = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-    differ = np.r_[False, (bucket[1:] == bucket[:-1]) & (run[1:] != run[:-1])]
-    several[group[differ]] = True
+    bucket, run, code, doc, mark, first, more = (x[go] for x in (bucket, run, code, doc, mark, first, more))
+    if not len(bucket):
+        return
+    group = np.cumsum(_groups(bucket)) - 1
+    several = np.zeros(group[-1] + 1, bool)
+    several[group[np.r_[False, (bucket[1:] == bucket[:-1]) & (run[1:] != run[:-1])]]] = True
     wild = np.zeros_like(several)
-    wild[group[(code & np.uint64(0xFFF)) == WILD]] = True
-    open_ = several[group] & wild[group]
-    for shift in (0, 12):
-        side = (code >> np.uint64(shift)) & np.uint64(0xFFF)
+    wild[group[(code & np.uint64(0x3FF)) == WILD]] = True
+    undecided = several[group] & wild[group]
+    for shift in (0, 10):
+        side = (code >> np.uint64(shift)) & np.uint64(0x3FF)
         rows = np.flatnonzero(several[group] & (side > WILD))
+        if not len(rows):
+            continue
         o = rows[np.lexsort((run[rows], side[rows], group[rows]))]
-        same = (group[o][1:] == group[o][:-1]) & (side[o][1:] == side[o][:-1])
-        starts = np.r_[True, ~same] if len(o) else np.zeros(0, bool)
-        cell = np.cumsum(starts) - 1
-        mixed = np.zeros(cell[-1] + 1 if len(cell) else 0, bool)
-        mixed[cell[1:][same & (run[o][1:] != run[o][:-1])]] = True
-        open_[o[mixed[cell]]] = True
-    if open_.any():
-        yield _found(1, key[open_], doc[open_], first[open_], first[open_] + more[open_])
+        new = _groups(group[o], side[o])
+        cell = np.cumsum(new) - 1
+        mixed = np.zeros(cell[-1] + 1, bool)
+        mixed[cell[1:][~new[1:] & (run[o][1:] != run[o][:-1])]] = True
+        undecided[o[mixed[cell]]] = True
+    if undecided.any():
+        u = undecided
+        yield _found(1, doc[u], mark[u], first[u], first[u] + more[u])
+
+
+def _undecided_bytes(batches, length: int, gram: int, parts: int):
+    """The bytes of undecided runs, sent to the part of their bucket.
+
+    A packed row: (doc, mark, first, strings, q-gram bucket) of each run, and all their bytes.
+    """
+    for batch in batches:
+        held, texts, size = [], [], 0
+        columns = [c.to_pylist() for c in batch.columns]
+        for doc_id, mark, text, ranges in zip(*columns[:2], opened(columns[2]), columns[3]):
+            for first, last in _all_ranges(ranges).tolist():
+                for at in range(first, last + 1, SPAN // 2):
+                    strings = min(last + 1 - at, SPAN // 2)
+                    held.append((doc_id, mark, at, strings))
+                    texts.append(text[at : at + strings + length - 1])
+                    size += strings
+            if size >= CHUNK_BYTES:
+                yield _pack_bytes(held, texts, gram, parts)
+                held, texts, size = [], [], 0
+        if held:
+            yield _pack_bytes(held, texts, gram, parts)
+
+
+def _pack_bytes(held: list, texts: list[bytes], gram: int, parts: int) -> pa.RecordBatch:
+    doc, mark, first, strings = (np.array(x, np.int64) for x in zip(*held))
+    bucket = np.empty(len(held), np.int64)
+    lens = np.array([len(t) for t in texts])
+    ends = np.cumsum(lens)
+    grams = Names(np.frombuffer(b"".join(texts), np.uint8)).length(gram) >> np.uint64(16)
+    # every string of a run has one smallest q-gram, which is the smallest of its first string
+    width = int(lens[0] - strings[0] + 1) - gram + 1
+    at = (ends - lens)[:, None] + np.arange(width)
+    for a in range(0, len(held), 1 << 14):
+        bucket[a : a + (1 << 14)] = grams[at[a : a + (1 << 14)]].min(1).astype(np.int64)
+    out = pack(bucket % parts, [doc, mark, first, strings])
+    order = np.argsort(bucket % parts, kind="stable")
+    part = (bucket % parts)[order]
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    bodies = []
+    for p in out.column(0).to_pylist():
+        a, b = np.searchsorted(part, [p, p + 1])
+        bodies.append(squeeze(b"".join([texts[i] for i in order[a:b].tolist()])))
+    return out.append_column("body", pa.array(bodies, pa.binary()))
+
+
+def _meet(columns, bodies: list[bytes], length: int):
+    """Single strings of undecided runs, by full name."""
+    doc, mark, first, strings = columns
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    names = Names(data).length(length)
+    starts = np.r_[0, np.cumsum(strings + length - 1)[:-1]]
+    which = np.repeat(np.arange(len(doc)), strings)
+    inner = np.arange(len(which)) - np.repeat(np.r_[0, np.cumsum(strings)[:-1]], strings)
+    name = names[starts[which] + inner]
+    done = _smaller_inside((name,), doc[which])
+    if done.any():
+        w, at = which[done], first[which[done]] + inner[done]
+        yield _found(0, *_merged(doc[w], mark[w], at, at))
 
 
 def covered_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, parts: int | None = None) -> DataFrame:
-    """(row_key, first, last): strings that also start in a document of smaller id.
+    """(doc_id, mark, ranges): strings that also start in a document of smaller id.
 
-    ``docs``: (doc_id long, row_key long, text binary). Null ids take no part.
+    ``docs``: (doc_id long, mark long, text binary), ``mark`` telling rows of one id apart.
+    Null ids take no part. A document may have several rows, and a string may come twice.
     """
     if parts is None:
         conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -320,103 +372,70 @@ def covered_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, par
     def gather(batches):
         return _gather(batches, parts, length, gram)
 
-    def settle(columns):
-        if len(columns[0]) and not columns[0].any() and not columns[1].any():  # covered in a chunk
-            _, _, doc, key, first, more = columns
-            yield _found(0, key, doc, first, first + more)
-        else:
-            yield from _refine(columns)
-
-    packed = docs.mapInArrow(gather, _PARTS)
-    # covered runs of a chunk need no meeting: any even part will do
-    packed = packed.withColumn("part", F.when(F.col("part") < 0, -1 - F.abs(F.xxhash64("blob") % 1000003)).otherwise(F.col("part")))
-    found = materialize(_by_part(packed, parts, _FOUND, 6, settle), "runs")
-    undecided = found.where("kind = 1").groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    texts = docs.join(undecided, "row_key").select("doc_id", "row_key", "text", "ranges")
-
-    def strings(batches):
-        """Names of the single strings of undecided runs."""
-        for batch in batches:
-            hold = [[], [], [], []]
-            size = 0
-            for doc_id, key, text, ranges in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = np.array([r["first"] for r in ranges], np.int64)
-                sizes = np.array([r["last"] for r in ranges], np.int64) - starts + 1
-                data = np.frombuffer(text, np.uint8)
-                for s, n in zip(starts.tolist(), sizes.tolist()):
-                    for at in range(s, s + n, CHUNK_BYTES):
-                        to = min(s + n, at + CHUNK_BYTES)
-                        hold[3].append(data[at : to + length - 1])
-                        hold[0].append(np.full(to - at, doc_id, np.int64))
-                        hold[1].append(np.full(to - at, key, np.int64))
-                        hold[2].append(np.arange(at, to))
-                        size += to - at
-                        if size >= CHUNK_BYTES // 4:
-                            yield named(hold)
-                            hold, size = [[], [], [], []], 0
-            if size:
-                yield named(hold)
-
-    def named(hold):
-        sizes = np.array([len(x) for x in hold[3]], np.int64)
-        ends = np.cumsum(sizes)
-        names = Names(np.concatenate(hold[3])).length(length)
-        keep = np.ones(len(names), bool)
-        for e in ends[:-1].tolist():
-            keep[e - length + 1 : e] = False
-        name, doc, key, at = names[keep], *(np.concatenate(x) for x in hold[:3])
-        order = np.lexsort((at, key, doc, name))
-        name, doc, key, at = name[order], doc[order], key[order], at[order]
-        return pack((name % np.uint64(parts)).astype(np.int64), [name.view(np.int64), doc, key, at])
-
-    def meet(columns):
-        name, doc, key, at = columns
-        done = _smaller_inside((name,), doc)
-        if done.any():
-            yield _found(0, *_merged(key[done], doc[done], at[done], at[done]))
-
-    single = _by_part(texts.mapInArrow(strings, _PARTS), parts, _FOUND, 4, meet)
-    return found.where("kind = 0").unionByName(single).select("row_key", "first", "last")
+    def settle(batches):
+        for blobs, _ in each_part(batches):
+            yield from _settle(unpack(blobs, 6))
+
+    def undecided_bytes(batches):
+        return _undecided_bytes(batches, length, gram, parts)
+
+    def meet(batches):
+        for blobs, bodies in each_part(batches):
+            yield from _meet(unpack(blobs, 4), [zstandard.ZstdDecompressor().decompress(b) for b in bodies], length)
+
+    def to_parts(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "part").sortWithinPartitions("part")
+
+    found = stored(to_parts(docs.mapInArrow(gather, _PARTS)).mapInArrow(settle, _FOUND), "runs")
+    undecided = (
+        found.where("kind = 1")
+        .groupBy("doc_id", "mark")
+        .agg(F.collect_list("ranges").alias("ranges"))
+    )
+    texts = squeezed(docs).join(undecided, ["doc_id", "mark"]).select("doc_id", "mark", "text", "ranges")
+    single = to_parts(texts.mapInArrow(undecided_bytes, f"{_PARTS}, body binary")).mapInArrow(meet, _FOUND)
+    found_later = stored(single, "strings")
+    return found.where("kind = 0").unionByName(found_later).select("doc_id", "mark", "ranges")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` for each row.
+    """``docs`` without ``text``, with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``.
 
     A byte goes if it is inside a string of ``length`` bytes that also starts in a document
     of smaller id; matches never cross documents and are judged on the input. Null text:
     empty. Null id: neither removes nor loses anything. Rows of one id do not remove each
-    other's bytes. Other columns stay; columns of the four names are replaced, and
-    ``row_key`` and ``ranges`` may not be input columns.
+    other's bytes. Empty table: no rows. Other columns stay; columns of the four names are
+    replaced.
     """
     made = ("kept", "n_bytes", "n_removed", "n_spans")
-    keyed = docs.drop(*made).withColumn("row_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    source = keyed.select(F.col("doc_id").cast("long"), "row_key", text_bytes())
-    ranges = covered_strings(source, length).groupBy("row_key").agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges")
-    )
-    joined = keyed.join(ranges, "row_key", "left").select(
-        F.struct(*[F.col(f"`{c}`") for c in keyed.columns if c != "row_key"]).alias("row"), text_bytes(), "ranges"
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "text")]).alias("row")
+    # 32 bits of the text tell rows of one id apart
+    mark = (F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))).alias("mark")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, text_bytes(), row)
+    ranges = (
+        covered_strings(keyed.drop("row"), length)
+        .groupBy("doc_id", "mark")
+        .agg(F.collect_list("ranges").alias("ranges"))
     )
+    joined = squeezed(keyed).join(ranges, ["doc_id", "mark"], "left").select("row", "text", "ranges")
     kind = joined.schema["row"].dataType.simpleString()
 
     def work(batch):
         out = []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for text, ranges in zip(opened(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
             if not ranges:
                 out.append((text, len(text), 0, 0))
                 continue
-            spans = np.array([(r["first"], r["last"] + length) for r in ranges], np.int64)
+            spans = _all_ranges(ranges) + (0, length)
             spans = spans[spans[:, 0].argsort(kind="stable")]
             reach = np.maximum.accumulate(spans[:, 1])
-            new = np.r_[True, spans[1:, 0] > reach[:-1]]
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
             begins, ends = spans[at, 0], reach[np.r_[at[1:], len(spans)] - 1]
             kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(text)]))
             out.append((kept, len(text), int((ends - begins).sum()), len(at)))
-        columns = list(zip(*out))
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], ["row", *made]
+            [batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))], ["row", *made]
         )
 
     out = map_rows(joined, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long", work)
