@@ -5,7 +5,7 @@ Nothing else in the library imports this subpackage; it can be deleted whole.
 
 from importlib import import_module
 
-MODULES = ("topk", "bpe", "counts", "jaccard", "packing", "pii", "quality", "suffixes")
+MODULES = ("topk", "bpe", "hmm", "counts", "jaccard", "packing", "pii", "quality", "suffixes")
 
 
 def load() -> tuple[dict, dict]:
