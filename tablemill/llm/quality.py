@@ -66,20 +66,23 @@ def base_rules(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    n = F.size("_words")
-    windows = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.xxhash64(*(F.get("_words", i + k) for k in range(3))),
-        )
-    )
+    words = words_of(text)
+
+    def window_hashes(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - 3)
+        each = F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(3))))
+        return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(each)
+
+    # each figure binds what it needs, so that it stays cheap wherever a filter on it is moved
     return (
-        docs.withColumn("_words", words_of(text))
-        .withColumn("n_words", n.cast("long"))
+        docs.withColumn("_words", words)
+        .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, _SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", _bind(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", _bind(windows, repeated_words).cast("long"))
+        .withColumn(
+            "n_repeat_words", _bind(F.col("_words"), lambda w: _bind(window_hashes(w), repeated_words)).cast("long")
+        )
         .drop("_words")
         .withColumn(
             "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -88,20 +91,21 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(row_key, host, text_hash, line, n): distinct normalised lines with words, and the
-    words in all their occurrences. A null source is a host of its own."""
+    """(row_key, host, text_hash, pos, line, n): normalised lines with words, and how many.
+
+    A null source is a host of its own."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    line = F.explode(F.split(text, "\n"))
+    line = F.posexplode(F.split(text, "\n"))
     normal = F.lower(F.btrim(F.regexp_replace("line", _GAPS, " ")))
     # the words of a normalised line are one more than its blanks
     n = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit(""))) + 1
     return (
         docs.select(
-            "row_key", F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("host"), F.xxhash64(text).alias("text_hash"), line.alias("line")
+            "row_key", F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("host"), F.xxhash64(text).alias("text_hash"), line.alias("pos", "line")
         )
-        .select("row_key", "host", "text_hash", normal.alias("normal"))
+        .select("row_key", "host", "text_hash", "pos", normal.alias("normal"))
         .where("normal != ''")
-        .select("row_key", "host", "text_hash", F.xxhash64("normal").alias("line"), n.alias("n"))
+        .select("row_key", "host", "text_hash", "pos", F.xxhash64("normal").alias("line"), n.alias("n"))
     )
 
 
@@ -125,32 +129,30 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     Null source: a host of its own. Repeated rows count as one text and each gets its row.
     Empty table: no rows. Columns of ``docs`` with the names made here are replaced.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "cleaned", "row_key", "boilerplate", "_words")
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "cleaned", "row_key", "boilerplate", "lost", "_words")
     keyed = docs.drop(*made).withColumn(
         "row_key", F.xxhash64("doc_id", F.coalesce("source", F.lit("\0")), F.coalesce("text", F.lit("\0")))
     )
     lines = line_rows(keyed)
     # rows of one key are equal in id, source and text: their lines count once
     loss = (
-        lines.groupBy("row_key", "host", "line")
-        .agg(F.max("n").alias("n"))
+        lines.dropDuplicates(["row_key", "pos"])
         .join(frequent_lines(lines), ["host", "line"])
         .groupBy("row_key")
-        .agg(F.collect_set("line").alias("boilerplate"))
+        .agg(F.collect_set("line").alias("boilerplate"), F.sum("n").alias("lost"))
     )
     judged = base_rules(keyed).join(loss, "row_key", "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = lambda x: F.xxhash64(F.lower(F.btrim(F.regexp_replace(x, _GAPS, " "))))
     stays = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("boilerplate", hashed(x)))
     cleaned = F.when(F.col("boilerplate").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    left = F.when(F.col("boilerplate").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("cleaned"))))
     return (
         judged.withColumn("cleaned", cleaned)
-        .withColumn("removed_words", (F.col("n_words") - left).cast("long"))
+        .withColumn("removed_words", F.coalesce("lost", F.lit(0)).cast("long"))
         .withColumn(
             "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= KEEP_SHARE * F.col("n_words"))
         )
-        .drop("row_key", "boilerplate")
+        .drop("row_key", "boilerplate", "lost")
     )
 
 
