@@ -52,7 +52,7 @@ CHUNK_BYTES = 1 << 21
 """Text whose records are packed together."""
 SPAN = 1 << 16
 """Strings that are named at a time: their names fit in a processor's cache."""
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 23
 """Bytes of text whose records one part holds."""
 WILD = 1
 
@@ -399,15 +399,18 @@ def covered_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, par
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` without ``text``, with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``.
+    """``docs`` without ``text``, with ``kept``, ``kept_text``, ``n_bytes``, ``n_removed``, ``n_spans``.
+
+    ``kept`` are the bytes left, ``kept_text`` the same without what is left of characters
+    that were cut.
 
     A byte goes if it is inside a string of ``length`` bytes that also starts in a document
     of smaller id; matches never cross documents and are judged on the input. Null text:
     empty. Null id: neither removes nor loses anything. Rows of one id do not remove each
-    other's bytes. Empty table: no rows. Other columns stay; columns of the four names are
+    other's bytes. Empty table: no rows. Other columns stay; columns of those names are
     replaced.
     """
-    made = ("kept", "n_bytes", "n_removed", "n_spans")
+    made = ("kept", "kept_text", "n_bytes", "n_removed", "n_spans")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "text")]).alias("row")
     # 32 bits of the text tell rows of one id apart
     mark = (F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))).alias("mark")
@@ -424,7 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         out = []
         for text, ranges in zip(opened(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
             if not ranges:
-                out.append((text, len(text), 0, 0))
+                out.append((text, text.decode("utf-8", "ignore"), len(text), 0, 0))
                 continue
             spans = _all_ranges(ranges) + (0, length)
             spans = spans[spans[:, 0].argsort(kind="stable")]
@@ -432,13 +435,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             at = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
             begins, ends = spans[at, 0], reach[np.r_[at[1:], len(spans)] - 1]
             kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*begins.tolist(), len(text)]))
-            out.append((kept, len(text), int((ends - begins).sum()), len(at)))
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            out.append((kept, kept.decode("utf-8", "ignore"), len(text), int((ends - begins).sum()), len(at)))
+        kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))], ["row", *made]
         )
 
-    out = map_rows(joined, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long", work)
+    out = map_rows(joined, f"row {kind}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long", work)
     return out.select("row.*", *made)
 
 
