@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import TwoGenerations, map_rows, process_cache, table, text_bytes
+from tablemill.llm.common import TwoGenerations, map_rows, process_cache, table, text_bytes, with_columns
 
 LEAF = 256
 """Characters that are encoded without halving."""
@@ -185,7 +185,6 @@ def encode_texts(df: DataFrame, path: str | None = None, text: str = "text") ->
     where = path or default_path()
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded")]
     source = df.select(F.struct(*kept).alias("row"), text_bytes(text))
-    kind = source.schema["row"].dataType.simpleString()
 
     def work(batch):
         enc = encoder(where)
@@ -199,7 +198,7 @@ def encode_texts(df: DataFrame, path: str | None = None, text: str = "text") ->
             ["row", "ids", "decoded"],
         )
 
-    out = map_rows(source, f"row {kind}, ids array<int>, decoded string", work)
+    out = map_rows(source, with_columns(source, "ids array<int>, decoded string"), work)
     return out.select("row.*", "ids", "decoded")
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablemill.session import materialize
 
@@ -27,8 +28,13 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b"")).alias("text")
 
 
+def with_columns(df: DataFrame, ddl: str) -> StructType:
+    """Schema of ``df``'s ``row`` column, whatever its fields are called, and more columns."""
+    return StructType([df.schema["row"], *StructType.fromDDL(ddl).fields])
+
+
 def map_rows(
-    df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]
+    df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:
     """``work`` on every Arrow batch; batches that come back as None are left out."""
 
@@ -62,7 +68,7 @@ def squeezed(df: DataFrame, column: str = "text") -> DataFrame:
         small = pa.array([press(x) for x in batch.column(at).to_pylist()], pa.binary())
         return batch.set_column(at, column, small)
 
-    return map_rows(df, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), work)
+    return map_rows(df, df.schema, work)
 
 
 def opened(values: list[bytes]) -> Iterator[bytes]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import TwoGenerations, map_rows, process_cache, table, text_bytes
+from tablemill.llm.common import TwoGenerations, map_rows, process_cache, table, text_bytes, with_columns
 
 START = "▁"
 """Begins every word, as in the vocabulary."""
@@ -110,7 +110,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, batch_bytes: int = 1
     made = ("n_words", "n_tokens", "log_score")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "text")]).alias("row")
     source = docs.select(row, text_bytes())
-    kind = source.schema["row"].dataType.simpleString()
 
     def work(batch):
         unigram, out, held, size = model(where), [], [], 0
@@ -130,7 +129,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, batch_bytes: int = 1
         settle() if held else None
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64()) for c in zip(*out))], ["row", *made])
 
-    return map_rows(source, f"row {kind}, n_words long, n_tokens long, log_score long", work).select("row.*", *made)
+    return map_rows(source, with_columns(source, "n_words long, n_tokens long, log_score long"), work).select("row.*", *made)
 
 
 def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

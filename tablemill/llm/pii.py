@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import map_rows, table, text_bytes
+from tablemill.llm.common import map_rows, table, text_bytes, with_columns
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -228,7 +228,6 @@ def detect(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     made = ("base", "found", "masked")
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in made]).alias("row"), text_bytes())
     span = "array<struct<kind:string,start:long,end:long>>"
-    kind = source.schema["row"].dataType.simpleString()
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def named(spans):
@@ -246,7 +245,7 @@ def detect(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             [batch.column(0), pa.array(base, arrow), pa.array(found, arrow), pa.array(masked, pa.string())], ["row", *made]
         )
 
-    return map_rows(source, f"row {kind}, base {span}, found {span}, masked string", work).select("row.*", *made)
+    return map_rows(source, with_columns(source, f"base {span}, found {span}, masked string"), work).select("row.*", *made)
 
 
 def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:

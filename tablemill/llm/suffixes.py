@@ -42,6 +42,7 @@ from tablemill.llm.common import (
     table,
     text_bytes,
     unpack,
+    with_columns,
 )
 
 LENGTH = 50
@@ -421,7 +422,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .agg(F.collect_list("ranges").alias("ranges"))
     )
     joined = squeezed(keyed).join(ranges, ["doc_id", "mark"], "left").select("row", "text", "ranges")
-    kind = joined.schema["row"].dataType.simpleString()
 
     def work(batch):
         out = []
@@ -441,7 +441,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             [batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))], ["row", *made]
         )
 
-    out = map_rows(joined, f"row {kind}, kept binary, kept_text string, n_bytes long, n_removed long, n_spans long", work)
+    out = map_rows(joined, with_columns(joined, "kept binary, kept_text string, n_bytes long, n_removed long, n_spans long"), work)
     return out.select("row.*", *made)
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import TwoGenerations, map_rows, process_cache, table, text_bytes
+from tablemill.llm.common import TwoGenerations, map_rows, process_cache, table, text_bytes, with_columns
 
 SAMPLE = 3000
 """Labelled rows that are learned from at most, the smallest by hash of the id."""
@@ -157,7 +157,6 @@ def score_quality(docs: DataFrame, model: Latent | None) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "score", "predicted")]).alias("row")
     source = docs.select(row, text_bytes())
-    kind = source.schema["row"].dataType.simpleString()
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch):
@@ -168,7 +167,7 @@ def score_quality(docs: DataFrame, model: Latent | None) -> DataFrame:
             scores = np.concatenate([given.value.vote(term_rows(texts[a : a + BLOCK])) for a in range(0, len(texts), BLOCK)])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores.astype(np.float64))], ["row", "score"])
 
-    scored = map_rows(source, f"row {kind}, score double", work)
+    scored = map_rows(source, with_columns(source, "score double"), work)
     return scored.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
