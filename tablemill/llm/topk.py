@@ -67,7 +67,7 @@ def choose_pivots(vectors: np.ndarray, how_many: int) -> np.ndarray:
 
 
 def _matrix(column, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dims)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), dims)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -90,11 +90,12 @@ def pivot_index(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> list[int]:
-    """Exact inner products: by doubles where their sums stay exact, else by integers."""
+    """Exact inner products, cut to a long: by doubles where their sums stay exact, else by integers."""
     if np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(1).max()) < 2.0**52:
         return (x @ q).astype(np.int64).tolist()
     whole = [int(c) for c in q.tolist()]
-    return [sum(a * int(b) for a, b in zip(whole, row)) for row in x.tolist()]
+    exact = (sum(a * int(b) for a, b in zip(whole, row)) for row in x.tolist())
+    return [max(-_MOST - 1, min(_MOST, s)) for s in exact]
 
 
 class Best:
@@ -146,9 +147,8 @@ def search_block(index, queries: list[tuple[int, int, bytes, bytes]], k: int):
     found = [(n, -s, i) for group in by_dims.values() for n, _, _, _, best in group for s, i in best.rows]
     if found:
         number, score, ids = zip(*found)
-        clipped = [max(-_MOST - 1, min(_MOST, s)) for s in score]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), pa.int64()) for c in (number, clipped, ids)], ["number", "score", "vec_id"]
+            [pa.array(list(c), pa.int64()) for c in (number, score, ids)], ["number", "score", "vec_id"]
         )
 
 
@@ -159,7 +159,7 @@ def top_k(
 
     Queries: rows whose id is divisible by ``every``; candidates: every row of another id.
     Ties go to the smaller id. Vectors meet only those of their own length; an empty vector
-    scores 0. Scores beyond a long are cut to its range. Rows with a null id, a null vector
+    scores 0. Scores beyond a long are cut to its range before they are compared. Rows with a null id, a null vector
     or a null or non-finite component take no part. Repeated rows are candidates each, and
     queries each. Empty table, or no queries: no rows. Other columns are not read.
     """
