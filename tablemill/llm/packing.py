@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablemill.llm.bpe import default_path, encoder
 from tablemill.llm.common import map_rows, table, text_bytes
@@ -93,7 +94,17 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, end rank, first sequence, offset), by length and rank.
 
     ``counts[n]`` pieces of ``n`` tokens; each is placed once and no sequence is overfull.
+    Of the plans with repeat counts rounded half up, rounded down, or all left to best fit,
+    the one with the fewest sequences: on small histograms repeats are mere fractions.
     """
+    patterns = enumerate_patterns(counts, capacity)
+    fitted = fit_repeats(patterns, counts) if patterns else np.zeros(0)
+    tried = [_fill(counts, capacity, patterns, r) for r in (np.floor(fitted + 0.5), np.floor(fitted), 0 * fitted)]
+    return min(tried, key=lambda t: t[1])[0]
+
+
+def _fill(counts: np.ndarray, capacity: int, patterns: list[tuple[int, ...]], wanted: np.ndarray) -> tuple[np.ndarray, int]:
+    """(plan, sequences) with ``wanted`` repeats of each pattern where the counts allow."""
     left = counts.astype(np.int64).copy()
     used = np.zeros(len(counts), np.int64)
     rows: list[tuple[int, int, int, int, int]] = []
@@ -104,44 +115,43 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         used[length] += how_many
         left[length] -= how_many
 
-    patterns = enumerate_patterns(left, capacity)
-    if patterns:
-        fitted = fit_repeats(patterns, left)
-        for i in np.argsort(-fitted, kind="stable").tolist():
-            repeats = int(fitted[i] + 0.5)
-            if repeats == 0:
-                break
-            lengths, times = np.unique(patterns[i], return_counts=True)
-            repeats = min(repeats, int((left[lengths] // times).min()))
-            if repeats:
-                offset = 0
-                for length in patterns[i]:
-                    take(length, repeats, sequences, offset)
-                    offset += length
-                sequences += repeats
+    for i in np.argsort(-wanted, kind="stable").tolist():
+        if wanted[i] == 0:
+            break
+        lengths, times = np.unique(patterns[i], return_counts=True)
+        repeats = min(int(wanted[i]), int((left[lengths] // times).min()))
+        if repeats:
+            offset = 0
+            for length in patterns[i]:
+                take(length, repeats, sequences, offset)
+                offset += length
+            sequences += repeats
     # residuals: best fit, longest first, by counts; groups of open sequences by their gap
     gaps: dict[int, list[list[int]]] = {}
     open_gaps = np.zeros(capacity + 1, np.int64)
     for length in range(capacity, 0, -1):
         while left[length]:
+            # best fit puts pieces of one length into one gap until it has no room for more
             fits = np.flatnonzero(open_gaps[length:])
+            gap = int(fits[0]) + length if len(fits) else capacity
+            each = min(gap // length, int(left[length]))
+            k = int(left[length]) // each
             if len(fits):
-                gap = int(fits[0]) + length
                 first, n = gaps[gap][-1]
-                k = min(n, int(left[length]))
-                take(length, k, first, capacity - gap)
+                k = min(n, k)
                 open_gaps[gap] -= k
                 if k == n:
                     gaps[gap].pop()
                 else:
                     gaps[gap][-1] = [first + k, n - k]
             else:
-                gap, first, k = capacity, sequences, int(left[length])
-                take(length, k, first, 0)
+                first = sequences
                 sequences += k
-            gaps.setdefault(gap - length, []).append([first, k])
-            open_gaps[gap - length] += k
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+            for i in range(each):
+                take(length, k, first, capacity - gap + i * length)
+            gaps.setdefault(gap - each * length, []).append([first, k])
+            open_gaps[gap - each * length] += k
+    return np.array(sorted(rows), np.int64).reshape(-1, 5), sequences
 
 
 # -- the jobs ---------------------------------------------------------------------------
@@ -188,7 +198,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS)
     )
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     ranked = ranked.select(*columns, (F.col("_from") + F.col("_row") - 1).alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("_rank").schema)
+    schema = StructType([*ranked.drop("_rank").schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
 
     def place(batch):
         length = batch.column("length").to_numpy(zero_copy_only=False)
@@ -200,7 +210,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS)
             [*columns, "sequence_id", "offset"],
         )
 
-    return map_rows(ranked, f"{schema}, sequence_id long, offset long", place)
+    return map_rows(ranked, schema, place)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
