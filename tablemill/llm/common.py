@@ -122,7 +122,7 @@ def pack(part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     part = part[order]
     columns = [c[order] for c in columns]
-    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
     ends = np.r_[at[1:], len(part)]
     squeeze = zstandard.ZstdCompressor(level=1).compress
     blobs = []

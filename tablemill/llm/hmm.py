@@ -357,7 +357,8 @@ def encode(docs: DataFrame, symbols) -> DataFrame:
             n = np.bincount(doc, minlength=m)
             known = np.bincount(doc, own, m).astype(np.int64) + (s.ends > 0)
             own_log = np.bincount(doc[own], s.heavy_log[symbol[own]], m) + math.log10(s.ends + 1)
-            share_log = np.bincount(doc[~own], s.share[symbol[~own] - len(s.heavy)], m)
+            # of no words at all, bincount makes integers
+            share_log = np.bincount(doc[~own], s.share[symbol[~own] - len(s.heavy)], m).astype(float)
             starts = np.r_[0, np.cumsum(n)]
             coded = [
                 press(np.r_[symbol[a:b], end].astype("<u2").tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())
@@ -384,7 +385,7 @@ def rare_words(docs: DataFrame, counts: DataFrame, symbols, parts: int) -> DataF
             doc, name = doc[rare], name[rare]
             order = np.lexsort((name, doc))
             doc, name = doc[order], name[order]
-            at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])]) if len(doc) else np.zeros(0, np.int64)
+            at = _firsts(doc, name)
             times = np.diff(np.r_[at, len(doc)])
             ids = piece.column(0).to_numpy(zero_copy_only=False)
             held.append((name[at].view(np.int64), ids[doc[at]], piece.column(1).to_numpy()[doc[at]], times))
@@ -415,14 +416,21 @@ def rare_words(docs: DataFrame, counts: DataFrame, symbols, parts: int) -> DataF
                 asked = asked.view(np.uint64)
                 at = np.minimum(np.searchsorted(name, asked), max(len(name) - 1, 0))
                 c = np.where(name[at] == asked, n[at], 0) if len(name) else np.zeros(len(asked), np.int64)
-                new = np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]
-                first = np.flatnonzero(new)
+                yield _by_document(doc, mark, np.where(c > 0, times, 0), times * np.log10(c + 1.0), parts)
+
+    def add_up(batches):
+        for blobs, _ in each_part(batches):
+            doc, mark, known, log = unpack(blobs, 4)
+            order = np.lexsort((mark, doc))
+            doc, mark, known, log = doc[order], mark[order], known[order], log.view(np.float64)[order]
+            first = _firsts(doc, mark)
+            if len(first):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc[first]),
                         pa.array(mark[first]),
-                        pa.array(np.add.reduceat(np.where(c > 0, times, 0), first)),
-                        pa.array(np.add.reduceat(times * np.log10(c + 1.0), first)),
+                        pa.array(np.add.reduceat(known, first)),
+                        pa.array(np.add.reduceat(log, first)),
                     ],
                     ["doc_id", "mark", "rare_known", "rare_log"],
                 )
@@ -432,12 +440,31 @@ def rare_words(docs: DataFrame, counts: DataFrame, symbols, parts: int) -> DataF
     return (
         both.repartition(parts, "part")
         .sortWithinPartitions("part", "kind")
-        .mapInArrow(answer, "doc_id long, mark long, rare_known long, rare_log double")
-        .groupBy("doc_id", "mark")
-        .agg(F.sum("rare_known").alias("rare_known"), F.sum("rare_log").alias("rare_log"))
+        .mapInArrow(answer, "part long, blob binary")
+        .repartition(parts, "part")
+        .sortWithinPartitions("part")
+        .mapInArrow(add_up, "doc_id long, mark long, rare_known long, rare_log double")
     )
 
 
+def _firsts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new group starts."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _by_document(doc, mark, known, log, parts: int) -> pa.RecordBatch:
+    """Sums of neighbouring answers for one document, packed by part of the documents."""
+    first = _firsts(doc, mark)
+    if len(first):
+        known, log = np.add.reduceat(known, first), np.add.reduceat(log, first)
+    doc, mark = doc[first], mark[first]
+    return pack(doc % parts, [doc, mark, known, log.view(np.int64)])
+
+
 def likelihoods(coded: DataFrame, model: Model) -> DataFrame:
     """``coded`` without its symbols, with ``model_log``: log10 of the symbols' probability."""
     given = coded.sparkSession.sparkContext.broadcast(model)
