@@ -36,7 +36,6 @@ from tablemill.llm.common import (
     ONE,
     TWO,
     each_part,
-    map_rows,
     mix,
     opened,
     pack,
@@ -224,7 +223,7 @@ def _pack_prefixes(held, parts: int) -> pa.RecordBatch:
 def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    return order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
+    return order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]]
 
 
 def _to_pivots(columns, percent: int) -> pa.RecordBatch | None:
@@ -235,11 +234,11 @@ def _to_pivots(columns, percent: int) -> pa.RecordBatch | None:
     order = np.lexsort((node, size, name))
     name, node, size = name[order], node[order], size[order]
     # a gap in sizes that no link can bridge parts a group
-    new = np.r_[True, (name[1:] != name[:-1]) | (100 * size[:-1] < percent * size[1:])]
+    new = np.r_[True, (name[1:] != name[:-1]) | (100 * size[:-1] < percent * size[1:])][: len(name)]
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     many = np.diff(np.r_[at, len(name)]) > 1
-    pivot = np.minimum.reduceat(node, at)[group]
+    pivot = np.minimum.reduceat(node, at)[group] if len(at) else node
     keep = many[group]
     pivot, node, size = pivot[keep], node[keep], size[keep]
     one = _distinct(pivot, node)
@@ -290,48 +289,62 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())], ["a", "b"])
 
 
-def _join_regions(batches, percent: int):
-    """Rows (pivot, ring, node, done, shingles) sorted by region: a region at a time.
+def _with_sets(batches, names: list[str], words: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(values of ``names``, shingles) of every row; texts travel compressed."""
+    for batch in batches:
+        rows = list(zip(*(batch.column(n).to_pylist() for n in names)))
+        packed, start = batch.column("text").to_pylist(), 0
+        texts, held = [], 0
+        for i, text in enumerate(opened(packed)):
+            texts.append(text)
+            held += len(text)
+            if held >= CHUNK_BYTES or i + 1 == len(packed):
+                doc, name = shingle_sets(texts, words)
+                ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+                for k in range(len(texts)):
+                    yield rows[start + k], name[ends[k] : ends[k + 1]]
+                texts, held, start = [], 0, i + 1
+
+
+def _join_regions(batches, words: int, percent: int):
+    """Rows (pivot, ring, node, done, text) sorted by region: a region at a time.
 
     Rings hold home nodes and visitors from the ring inside; blocks have a ring number each.
     """
-    now, rows = None, []
-    for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("pivot", "ring", "node", "done", "shingles")]
-        for pivot, ring, node, done, shingles in zip(*columns):
-            if (pivot, ring) != now and rows:
-                yield _links(_join_rows(rows, percent))
-                rows = []
-            now = (pivot, ring)
-            rows.append((node, done, shingles))
-    if rows:
-        yield _links(_join_rows(rows, percent))
-
-
-def _join_rows(rows: list, percent: int) -> list[tuple[int, int]]:
-    unique = {r[0]: r for r in rows}
-    if len(unique) < 2:
-        return []
-    node = np.array(list(unique), np.int64)
-    sets = [np.frombuffer(r[2], np.uint64) for r in unique.values()]
-    return link_region(node, sets, percent, np.array([r[1] for r in unique.values()]))
-
-
-def _pivot_distances(batches, percent: int):
-    """Rows (pivot, salt, node, shingles), the pivot first in each: shared shingles with it."""
-    now, hub = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        out = []
-        columns = [batch.column(n).to_pylist() for n in ("pivot", "salt", "node", "shingles")]
-        for pivot, salt, node, shingles in zip(*columns):
-            mine = np.frombuffer(shingles, np.uint64)
-            if (pivot, salt) != now:
-                now, hub = (pivot, salt), mine
-            shared = len(np.intersect1d(hub, mine, assume_unique=True))
-            out.append((pivot, node, len(hub), len(mine), shared))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), pa.int64()) for c in zip(*out)], ["pivot", "node", "pivot_size", "size", "shared"]
-        )
+    now, region = None, {}
+    for (pivot, ring, node, done), shingles in _with_sets(batches, ["pivot", "ring", "node", "done"], words):
+        if (pivot, ring) != now:
+            if len(region) > 1:
+                yield _links(_join_region(region, percent))
+            now, region = (pivot, ring), {}
+        region[node] = (shingles.copy(), done)
+    if len(region) > 1:
+        yield _links(_join_region(region, percent))
+
+
+def _join_region(region: dict, percent: int) -> list[tuple[int, int]]:
+    sets, done = zip(*region.values())
+    return link_region(np.array(list(region), np.int64), list(sets), percent, np.array(done))
+
+
+def _pivot_distances(batches, words: int):
+    """Rows (pivot, salt, node, text), the pivot first in each: shared shingles with it."""
+    now, hub, out = None, np.zeros(0, np.uint64), []
+    for (pivot, salt, node), mine in _with_sets(batches, ["pivot", "salt", "node"], words):
+        if (pivot, salt) != now:
+            now, hub = (pivot, salt), mine.copy()
+        out.append((pivot, node, len(hub), len(mine), len(np.intersect1d(hub, mine, assume_unique=True))))
+        if len(out) >= 4096:
+            yield _met(out)
+            out = []
+    if out:
+        yield _met(out)
+
+
+def _met(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), pa.int64()) for c in zip(*rows)], ["pivot", "node", "pivot_size", "size", "shared"]
+    )
 
 
 # -- the join --------------------------------------------------------------------------------
@@ -364,72 +377,65 @@ def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = No
     regions = stored(regions, "regions")
     # one text for each node; equal texts under one id are equal rows
     chosen = members.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
+    sizes = regions.groupBy("pivot").agg(F.count("*").alias("nodes"))
     places = (
-        regions.groupBy("node")
-        .agg(F.collect_list("pivot").alias("pivots"))
+        regions.join(sizes, "pivot")
+        .groupBy("node")
+        .agg(F.collect_list(F.struct("pivot", "nodes")).alias("places"))
         .join(chosen, "node")
-        .select("node", "pivots", F.col("of.text_hash").alias("text_hash"), F.col("of.doc_id").alias("of_doc"))
+        .select("node", "places", F.col("of.text_hash").alias("text_hash"), F.col("of.doc_id").alias("of_doc"))
     )
     texts = squeezed(docs)
     same = (texts["text_hash"] == places["text_hash"]) & texts["doc_id"].eqNullSafe(places["of_doc"])
+    placed = places.join(texts, same).select("node", "places", "text")
+    if sizes.where(F.col("nodes") > region).isEmpty():
+        return members, stored(_region_links(_small_regions(placed, region), words, percent), "links")
+    placed = stored(placed, "placed")
+    links = _region_links(_small_regions(placed, region), words, percent)
+    return members, stored(links.unionByName(_ring_links(placed, words, percent, region)), "links")
 
-    def sets(batches):
-        for batch in batches:
-            for piece, body in _chunks(iter([batch.set_column(2, "text", pa.array(opened(batch.column(2).to_pylist()), pa.binary()))]), 2):
-                doc, name = shingle_sets(body, words)
-                ends = np.searchsorted(doc, np.arange(len(body) + 1))
-                found = [name[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(found, pa.binary())], ["node", "pivots", "shingles"])
-
-    shingled = stored(
-        places.join(texts, same).select("node", "pivots", "text").mapInArrow(sets, "node long, pivots array<long>, shingles binary"),
-        "shingles",
-    )
-    rows = shingled.select(F.explode("pivots").alias("pivot"), "node", "shingles")
-    sizes = regions.groupBy("pivot").agg(F.count("*").alias("nodes"))
-    large = sizes.where(F.col("nodes") > region)
-    small = rows.join(sizes.where(F.col("nodes") <= region), "pivot").select(
-        "pivot", F.lit(0).cast("long").alias("ring"), "node", F.lit(False).alias("done"), "shingles"
+
+def _small_regions(placed: DataFrame, region: int) -> DataFrame:
+    return (
+        placed.select("node", "text", F.inline("places"))
+        .where(F.col("nodes") <= region)
+        .select("pivot", F.lit(0).cast("long").alias("ring"), "node", F.lit(False).alias("done"), "text")
     )
-    links = _region_links(small, percent)
-    if large.isEmpty():
-        return members, stored(links, "links")
-    ring_links = _ring_links(rows.join(large, "pivot"), shingled, percent, region)
-    return members, stored(links.unionByName(ring_links), "links")
 
 
-def _region_links(rows: DataFrame, percent: int) -> DataFrame:
+def _region_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return (
         rows.repartition("pivot", "ring")
         .sortWithinPartitions("pivot", "ring", "node")
-        .mapInArrow(lambda b: _join_regions(b, percent), _LINK)
+        .mapInArrow(lambda b: _join_regions(b, words, percent), _LINK)
         .distinct()
     )
 
 
-def _ring_links(rows: DataFrame, shingled: DataFrame, percent: int, region: int) -> DataFrame:
+def _ring_links(placed: DataFrame, words: int, percent: int, region: int) -> DataFrame:
     """Links of large regions: by distance to the pivot, then ring by ring."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("nodes") / region)))
+    rows = placed.select("node", "text", F.inline("places")).where(F.col("nodes") > region)
+    salts = F.ceil(F.col("nodes") / region)
     # the pivot stands first in every part of its region
-    hubs = (
-        rows.where("node = pivot")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("nodes") / region) - 1)))
-        .withColumn("salt", F.col("salt").cast("long"))
-    )
+    hubs = rows.where("node = pivot").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     met = (
-        salted.where("node != pivot")
+        rows.where("node != pivot")
+        .withColumn("salt", F.pmod(F.xxhash64("node"), salts))
         .unionByName(hubs)
-        .select("pivot", "salt", "node", "shingles", (F.col("node") != F.col("pivot")).alias("late"))
+        .select("pivot", "salt", "node", "text", (F.col("node") != F.col("pivot")).alias("late"))
         .repartition("pivot", "salt")
         .sortWithinPartitions("pivot", "salt", "late")
-        .select("pivot", "salt", "node", "shingles")
+        .select("pivot", "salt", "node", "text")
         .mapInArrow(
-            lambda b: _pivot_distances(b, percent), "pivot long, node long, pivot_size long, size long, shared long"
+            lambda b: _pivot_distances(b, words), "pivot long, node long, pivot_size long, size long, shared long"
         )
         .distinct()
     )
     union = F.col("pivot_size") + F.col("size") - F.col("shared")
-    met = stored(met.withColumn("d", 1 - F.col("shared") / union).withColumn("near", 100 * F.col("shared") >= percent * union), "distances")
+    met = stored(
+        met.withColumn("d", 1 - F.col("shared") / union).withColumn("near", 100 * F.col("shared") >= percent * union),
+        "distances",
+    )
     ball = met.where("near AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     r, slack = 1 - percent / 100, 1e-9
     # in integers, so that no rounding moves a node to the ring outside
@@ -442,25 +448,25 @@ def _ring_links(rows: DataFrame, shingled: DataFrame, percent: int, region: int)
         homes.withColumn("ring", F.col("ring") + 1)
         .join(nearest, ["pivot", "ring"])
         .where(F.col("d") >= F.col("from") - r - slack)
-        .select("pivot", "ring", "node", "d", "near", F.lit(True).alias("visits"))
+        .select("pivot", "node", "near", "ring")
+    )
+    within = homes.where("ring > 0").select("pivot", "node", "near", "ring").unionByName(visitors)
+    counts = within.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
+    blocks = F.when(F.col("n") <= region, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / region)).cast("long")
+    within = (
+        within.join(counts, ["pivot", "ring"])
+        .withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
     )
-    placed = homes.where("ring > 0").withColumn("visits", F.lit(False)).unionByName(visitors)
-    counts = placed.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
-    placed = placed.join(counts, ["pivot", "ring"])
-    blocks = F.ceil(2 * F.col("n") / region)
-    cut = F.when(F.col("n") <= region, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), blocks)).cast("long")
-    placed = placed.withColumn("block", cut).withColumn("blocks", F.when(F.col("n") <= region, F.lit(1)).otherwise(blocks).cast("long"))
     # a pair of blocks is a region of its own: each node goes to the pairs that hold its block
     pair = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda k: F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")),
     )
-    placed = placed.select(
-        "pivot", "node", F.col("near").alias("done"), "ring", F.explode(pair).alias("pair")
-    ).withColumn("ring", F.xxhash64("ring", "pair"))
-    return ball.unionByName(
-        _region_links(placed.join(shingled.select("node", "shingles"), "node").select("pivot", "ring", "node", "done", "shingles"), percent)
-    ).distinct()
+    split = within.select("pivot", "node", F.col("near").alias("done"), "ring", F.explode(pair).alias("pair"))
+    split = split.withColumn("ring", F.xxhash64("ring", "pair")).join(placed.select("node", "text"), "node")
+    found = _region_links(split.select("pivot", "ring", "node", "done", "text"), words, percent)
+    return ball.unionByName(found).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
