@@ -3,12 +3,13 @@
 The Jaccard distance d = 1 - J is a metric, and two sets link when d <= r. Work is done on
 the distinct shingle sets ("nodes"), so copies cost nothing.
 
-1. Pivots and regions. Linked sets share one of the first shingles of either, in any order
-   of all shingles that is the same for both (rare ones first here): a set of n shingles
-   lacks at most n - ceil(t n) of a linked set's, so one shingle more is enough. Nodes that
-   share such a shingle, with sizes that allow a link, have the smallest of them as pivot.
-   The region of a pivot holds all nodes that have it as a pivot, so a node near several
-   pivots is replicated to each, and every linked pair meets in some region.
+1. Pivots and regions. Linked sets differ in at most d = (1 - t) n / t shingles, n being the
+   smaller size. All shingles are dealt by hash into more than d classes (more for larger
+   sets, in bands of sizes), so linked sets agree in all shingles of some class. Nodes that
+   agree in a class, with sizes that allow a link, have the smallest of them as pivot. The
+   region of a pivot holds all nodes that have it as a pivot, so a node near several pivots
+   is replicated to each, and every linked pair meets in some region. That a class has
+   several shingles keeps common phrases from bringing strangers together.
 2. Windows. A region that is small is joined at once. In a larger one the distances to the
    pivot are computed first, by parts of the region with the pivot in each. Nodes in the
    ball of radius r are linked by that alone. By the triangle inequality linked nodes lie in
@@ -46,10 +47,6 @@ from tablemill.llm.common import (
     unpack,
 )
 
-TABLE_BITS = 20
-"""Counts of shingles by hash: a table of fixed size for the order of shingles."""
-SLICES = 16
-"""Parts in which the tables of chunks are added up."""
 CHUNK_BYTES = 1 << 18
 REGION = 2000
 """Nodes of a region or block that one task joins at once."""
@@ -125,99 +122,88 @@ def _chunks(batches, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]
                 start, held = i + 1, 0
 
 
-# -- pass 1: nodes of documents, and how common shingles are ---------------------------------
-_FIRST = "doc_id long, text_hash long, size long, node long, part long, blob binary"
+# -- pass 1: nodes of documents ---------------------------------------------------------------
+_FIRST = "doc_id long, text_hash long, size long, node long"
 
 
 def _first_pass(batches, words: int):
-    counts = np.zeros(1 << TABLE_BITS, np.int64)
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    names = ["doc_id", "text_hash", "size", "node", "part", "blob"]
     for piece, texts in _chunks(batches, 2):
-        doc, name = shingle_sets(texts, words)
-        size, node = _nodes(doc, name, len(texts))
-        counts += np.bincount((name >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(counts))
-        none = pa.nulls(len(texts))
+        size, node = _nodes(*shingle_sets(texts, words), len(texts))
         yield pa.RecordBatch.from_arrays(
-            [piece.column(0), piece.column(1), pa.array(size), pa.array(node, mask=size == 0), none.cast(kinds[4]), none.cast(kinds[5])],
-            names,
-        )
-    if counts.any():
-        out = pack(np.repeat(np.arange(SLICES), len(counts) // SLICES), [counts])
-        none = pa.nulls(out.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, *out.columns], names)
-
-
-def shingle_levels(first: DataFrame) -> bytes:
-    """How common the shingles of each hash class are: 0 for usual, then by powers of two.
-
-    2^20 numbers, so it is bounded; any table gives right results, a good one quick ones.
-    """
-
-    def add_up(batches):
-        now, total = None, np.zeros(0, np.int64)
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = unpack([blob], 1)[0]
-                if part != now and now is not None:
-                    yield summed(now, total)
-                total = total + counts if part == now else counts
-                now = part
-        if now is not None:
-            yield summed(now, total)
-
-    def summed(part, total):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part]), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["part", "blob"]
+            [piece.column(0), piece.column(1), pa.array(size), pa.array(node, mask=size == 0)],
+            ["doc_id", "text_hash", "size", "node"],
         )
 
-    slices = (
-        first.where("blob IS NOT NULL")
-        .select("part", "blob")
-        .repartition(SLICES, "part")
-        .sortWithinPartitions("part")
-        .mapInArrow(add_up, "part long, blob binary")
-        .collect()
-    )
-    counts = np.zeros(1 << TABLE_BITS)
-    width = len(counts) // SLICES
-    for part, blob in slices:
-        counts[part * width : (part + 1) * width] = np.frombuffer(blob, "<i8")
-    usual = 2 * counts.mean() + 8
-    return np.where(counts > usual, 1 + np.log2(np.maximum(counts / usual, 1)), 0).astype(np.uint8).tobytes()
-
 
 # -- pass 2: regions -----------------------------------------------------------------------
-def _need(size: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles that a linked set shares at least."""
-    return -(-size * percent // 100)
+def differences(size: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that linked sets can differ in, the smaller one having ``size``."""
+    return (100 - percent) * size // percent
 
 
-def _prefixes(batches, words: int, percent: int, levels: np.ndarray, parts: int):
+def class_keys(doc: np.ndarray, name: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key): one key for each class of shingles of each text.
+
+    Band b is for pairs whose smaller set has 2^b to 2^(b+1) - 1 shingles; a text is in its
+    own band, and in the one below if a linked set may be there. If a text's shingles fall
+    into more classes than it can have differences, one of these classes is the same in any
+    linked set; else (rare, small sets) its empty classes get keys too, which meet those of
+    other such sets, because a band has more classes than differences.
+    """
+    docs, keys = [], []
+    own = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+    for below in (0, 1):
+        band = own - below
+        top = (1 << np.maximum(band + 1, 0)) - 1
+        meets = (size > 0) & (band >= 0) & (-(-size * percent // 100) <= top)
+        classes = np.where(meets, differences(top, percent) * 6 // 5 + 2, 0)
+        use = meets[doc]
+        d, n = doc[use], name[use]
+        if not len(d):
+            continue
+        number = (mix(n ^ TWO) % classes[d].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((number, d))
+        d, n, number = d[order], n[order], number[order]
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (number[1:] != number[:-1])])
+        total = np.add.reduceat(mix(n), first)
+        d, number = d[first], number[first]
+        docs.append(d)
+        keys.append(mix(total + mix((number * 64 + band[d]).astype(np.uint64))))
+        filled = np.bincount(d, minlength=len(size))
+        short = np.flatnonzero(meets & (filled <= differences(size, percent)))
+        for k in short.tolist():
+            a, b = np.searchsorted(d, [k, k + 1])
+            empty = np.setdiff1d(np.arange(classes[k]), number[a:b])
+            docs.append(np.full(len(empty), k))
+            keys.append(mix(mix((empty * 64 + band[k]).astype(np.uint64)) + ONE))
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(docs), np.concatenate(keys)
+
+
+def _all_keys(batches, words: int, percent: int, parts: int):
     held, bytes_held = [], 0
     for _, texts in _chunks(batches, 0):
         doc, name = shingle_sets(texts, words)
         size, node = _nodes(doc, name, len(texts))
-        level = levels[(name >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-        order = np.lexsort((name, level, doc))
-        doc, name = doc[order], name[order]
-        place = np.arange(len(doc)) - np.r_[0, np.cumsum(size)][doc]
-        keep = place <= (size - _need(size, percent))[doc]
-        doc, name = doc[keep], name[keep]
-        held.append((name.view(np.int64), node[doc], size[doc]))
+        doc, key = class_keys(doc, name, size, percent)
+        order = np.argsort(doc, kind="stable")  # text order packs best
+        doc, key = doc[order], key[order]
+        # 48 bits of a key: a chance meeting costs a comparison, no more
+        held.append(((key >> np.uint64(16)).astype(np.int64), node[doc], size[doc]))
         bytes_held += sum(map(len, texts))
         if bytes_held >= 16 * CHUNK_BYTES:
-            yield _pack_prefixes(held, parts)
+            yield _pack_keys(held, parts)
             held, bytes_held = [], 0
     if held:
-        yield _pack_prefixes(held, parts)
+        yield _pack_keys(held, parts)
 
 
-def _pack_prefixes(held, parts: int) -> pa.RecordBatch:
-    name, node, size = (np.concatenate(x) for x in zip(*held))
-    one = np.sort(_distinct(name, node))  # copies in this chunk count once; text order packs best
-    name, node, size = name[one], node[one], size[one]
-    return pack((name.view(np.uint64) % np.uint64(parts)).astype(np.int64), [name, node, size])
+def _pack_keys(held, parts: int) -> pa.RecordBatch:
+    key, node, size = (np.concatenate(x) for x in zip(*held))
+    one = np.sort(_distinct(key, node))  # copies in this chunk count once
+    key, node, size = key[one], node[one], size[one]
+    return pack(key % parts, [key, node, size])
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,7 +213,7 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _to_pivots(columns, percent: int) -> pa.RecordBatch | None:
-    """(pivot, node, size) from the nodes that share each of a part's shingles."""
+    """(pivot, node, size) from the nodes that share each of a part's keys."""
     name, node, size = columns
     one = _distinct(name, node)
     name, node, size = name[one], node[one], size[one]
@@ -355,18 +341,16 @@ def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = No
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = stored(docs.mapInArrow(lambda b: _first_pass(b, words), _FIRST), "nodes")
-    levels = spark.sparkContext.broadcast(shingle_levels(first))
-    members = first.where("blob IS NULL").drop("part", "blob")
+    members = stored(docs.mapInArrow(lambda b: _first_pass(b, words), _FIRST), "nodes")
 
-    def prefixes(batches):
-        return _prefixes(batches, words, percent, np.frombuffer(levels.value, np.uint8), parts)
+    def keys(batches):
+        return _all_keys(batches, words, percent, parts)
 
     def pivots(batches):
         for blobs, _ in each_part(batches):
             yield _to_pivots(unpack(blobs, 3), percent)
 
-    packed = docs.select("text").mapInArrow(prefixes, "part long, blob binary")
+    packed = docs.select("text").mapInArrow(keys, "part long, blob binary")
     regions = (
         packed.repartition(parts, "part")
         .sortWithinPartitions("part")
