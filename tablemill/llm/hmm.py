@@ -36,6 +36,8 @@ ROUNDS = 2
 SLICES = 16
 CHUNK_BYTES = 1 << 18
 PACK_BYTES = 1 << 21
+ANSWERS = 2_000_000
+"""Answers about rare words that are summed by document at a time."""
 BATCH_TOKENS = 300_000
 """Tokens whose forward scores are kept at once."""
 SMOOTH = 200.0
@@ -402,10 +404,12 @@ def rare_words(docs: DataFrame, counts: DataFrame, symbols, parts: int) -> DataF
         return out.append_column("kind", pa.array(np.ones(out.num_rows, np.int32)))
 
     def answer(batches):
-        name = n = None
-        now = None
+        name, n, now, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), None, [], 0
         for batch in batches:
             for part, blob, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (part != now or size > ANSWERS):
+                    yield _by_document(held, parts)
+                    held, size = [], 0
                 if part != now:
                     now, name, n = part, np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if kind == 0:
@@ -416,7 +420,10 @@ def rare_words(docs: DataFrame, counts: DataFrame, symbols, parts: int) -> DataF
                 asked = asked.view(np.uint64)
                 at = np.minimum(np.searchsorted(name, asked), max(len(name) - 1, 0))
                 c = np.where(name[at] == asked, n[at], 0) if len(name) else np.zeros(len(asked), np.int64)
-                yield _by_document(doc, mark, np.where(c > 0, times, 0), times * np.log10(c + 1.0), parts)
+                held.append((doc, mark, np.where(c > 0, times, 0), times * np.log10(c + 1.0)))
+                size += len(doc)
+        if held:
+            yield _by_document(held, parts)
 
     def add_up(batches):
         for blobs, _ in each_part(batches):
@@ -456,8 +463,11 @@ def _firsts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _by_document(doc, mark, known, log, parts: int) -> pa.RecordBatch:
-    """Sums of neighbouring answers for one document, packed by part of the documents."""
+def _by_document(held: list, parts: int) -> pa.RecordBatch:
+    """Sums of answers by document, packed by part of the documents."""
+    doc, mark, known, log = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((mark, doc))
+    doc, mark, known, log = doc[order], mark[order], known[order], log[order]
     first = _firsts(doc, mark)
     if len(first):
         known, log = np.add.reduceat(known, first), np.add.reduceat(log, first)
