@@ -92,23 +92,22 @@ def _rule_rows(spark, sf_dir):
 
 
 def _permuted_sql() -> str:
-    """Per feature and repeat: rows of a block in id order take the values in md5 order."""
+    """Per feature and repeat: rows in md5 order of id and seed take the values in their md5 order."""
     parts = []
     for f in _RULE_FEATURES:
         for rep in range(3):
             others = ", ".join(f"b.{c}" for c in _RULE_FEATURES if c != f)
             parts.append(
                 f"SELECT '{f}' AS feature, {rep} AS repeat, b.y, {others}, d.{f} FROM "
-                "(SELECT *, row_number() OVER (PARTITION BY block ORDER BY row_id) AS rn FROM rows_) b JOIN "
-                f"(SELECT block, {f}, row_number() OVER (PARTITION BY block ORDER BY "
-                f"md5(row_id || '-42-{rep}-{f}'), row_id) AS rn FROM rows_) d USING (block, rn)"
+                "(SELECT *, row_number() OVER (ORDER BY md5(row_id || '-42'), row_id) AS rn FROM rows_) b JOIN "
+                f"(SELECT {f}, row_number() OVER (ORDER BY "
+                f"md5(row_id || '-42-{rep}-{f}'), row_id) AS rn FROM rows_) d USING (rn)"
             )
     return " UNION ALL BY NAME ".join(parts)
 
 
 @query("perm_importance",
-       "WITH raw AS (SELECT o_orderkey AS row_id, o_custkey AS cust, o_totalprice AS price, o_orderkey % 11 AS idle, "
-       "('0x' || substr(md5(o_orderkey || '-42'), 1, 8))::BIGINT % (SELECT ceil(count(*) / 65536.0)::BIGINT FROM orders) AS block FROM orders), "
+       "WITH raw AS (SELECT o_orderkey AS row_id, o_custkey AS cust, o_totalprice AS price, o_orderkey % 11 AS idle FROM orders), "
        f"ruled AS (SELECT *, {_RULE_SQL} AS guess FROM raw), "
        "rows_ AS (SELECT * EXCLUDE (guess), CASE WHEN row_id % 5 = 0 THEN (guess + 1) % 3 ELSE guess END AS y FROM ruled), "
        f"moved AS ({_permuted_sql()}), "

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemill.operators.ordering import hash_rank
 from tablemill.operators.quantiles import column_facts
 from tablemill.operators.quantiles import quoted as q
+from tablemill.session import materialize
 
 # Above this many columns the pairwise sums come from matrix products per partition.
 PAIRS_BY_EXPRESSION = 16
-# Rows of one shuffling block in permutation importance.
-BLOCK_ROWS = 65536
 
 
 def pearson_pairs(df: DataFrame, columns: list[str], centre: list[float] | None = None) -> DataFrame:
@@ -121,39 +121,30 @@ def correlated_columns(pairs: DataFrame, threshold: float) -> list[str]:
     return [r["feature_j"] for r in hits.collect()]
 
 
-def permuted_rows(
-    df: DataFrame, row_id: str, features: list[str], repeats: int, seed: int, rows: int | None = None
-) -> DataFrame:
-    """Every row once per (feature, repeat) with that feature's values shuffled.
+def permuted_rows(df: DataFrame, row_id: str, features: list[str], repeats: int, seed: int) -> DataFrame:
+    """Every row once per (feature, repeat) with that feature's values shuffled over all rows.
 
-    Rows are dealt into equally likely hash blocks and shuffled inside their block, in the
-    order of md5(id, seed, repeat, feature): each value is used exactly once, one shuffle of
-    the plain rows serves all features and repeats, and no block grows with the data.
+    Rows are ranked by md5(id, seed), values by md5(id, seed, repeat, feature), and equal
+    ranks meet: each value is used exactly once, at every size. Only the value and its rank
+    travel for a feature.
     """
-    n = rows if rows is not None else df.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    key = F.md5(F.concat_ws("-", F.col(row_id).cast("string"), F.lit(str(seed))))
-    block = F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int")
-    names = list(df.columns)
-    jobs = [(f, r) for f in features for r in range(repeats)]
-
-    def shuffle(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(row_id, ignore_index=True)
-        ids = part[row_id].to_numpy()
-        out = []
-        for f, r in jobs:
-            digests = b"".join([hashlib.md5(f"{i}-{seed}-{r}-{f}".encode()).digest() for i in ids])
-            high, low = np.frombuffer(digests, dtype=">u8").reshape(-1, 2).T
-            donors = np.lexsort((ids, low, high))
-            moved = part[names].copy()
-            moved[f] = part[f].to_numpy()[donors]
-            moved["feature"], moved["repeat"] = f, r
-            out.append(moved)
-        return pd.concat(out, ignore_index=True)
-
-    fields = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema = f"{fields}, feature string, repeat int"
-    return df.withColumn("_block", block).groupBy("_block").applyInPandas(shuffle, schema)
+    id_text = F.col(q(row_id)).cast("string")
+    ranked = hash_rank(df, F.md5(F.concat_ws("-", id_text, F.lit(str(seed)))), [row_id], out="_rank")
+    ranked = materialize(ranked, "ranked")
+
+    def moved(feature: str) -> DataFrame:
+        values = df.select(
+            row_id, F.col(q(feature)).alias("_value"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+        )
+        text = F.concat_ws("-", id_text, F.lit(str(seed)), F.col("repeat").cast("string"), F.lit(feature))
+        donors = hash_rank(values, F.md5(text), [row_id], ["repeat"], out="_rank").select("repeat", "_rank", "_value")
+        return ranked.join(donors, "_rank").select(
+            *[F.col("_value").alias(c) if c == feature else F.col(q(c)) for c in df.columns],
+            F.lit(feature).alias("feature"),
+            "repeat",
+        )
+
+    return reduce(DataFrame.unionByName, [moved(f) for f in features])
 
 
 def perm_importance(
@@ -170,8 +161,8 @@ def perm_importance(
     ``predict`` adds ``y_pred``. Columns: ``feature, importance, baseline``.
     """
     hit = (F.col("y_pred") == F.col(label)).cast("double")
-    base = predict(df).agg(F.avg(hit).alias("baseline"), F.count(F.lit(1)).alias("n")).first()
-    moved = permuted_rows(df, row_id, features, repeats, seed, rows=base["n"])
+    base = predict(df).agg(F.avg(hit).alias("baseline")).first()
+    moved = permuted_rows(df, row_id, features, repeats, seed)
     per_repeat = predict(moved).groupBy("feature", "repeat").agg(F.avg(hit).alias("accuracy"))
     return per_repeat.groupBy("feature").agg(
         (F.lit(base["baseline"]) - F.avg("accuracy")).alias("importance"),
@@ -219,9 +210,12 @@ def feature_presence(selected: DataFrame) -> DataFrame:
 
 
 def stable_features(selected: DataFrame, n_lists: int, share: float = 0.5) -> DataFrame:
-    """Features in at least ``ceil(share * lists)`` of the selections (``fold, feature``)."""
+    """Features in at least ``ceil(share * lists)`` folds (``fold, feature``).
+
+    A fold counts once, however many of its models chose the feature.
+    """
     need = max(1, int(np.ceil(n_lists * share)))
-    return selected.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need)
+    return selected.groupBy("feature").agg(F.count_distinct("fold").alias("n")).filter(F.col("n") >= need)
 
 
 def feature_set_report(before: DataFrame, after: DataFrame) -> DataFrame:

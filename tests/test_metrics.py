@@ -180,8 +180,7 @@ def test_constant_pair_is_null(spark):
     assert selection.pearson_pairs(df, ["a", "b"]).first()["r"] is None
 
 
-def test_permutation_uses_each_value_once(spark, monkeypatch):
-    monkeypatch.setattr(selection, "BLOCK_ROWS", 40)
+def test_permutation_uses_each_value_once(spark):
     df = spark.createDataFrame([(i, float(i), float(-i), i % 2) for i in range(300)], "id long, a double, b double, y int")
     moved = selection.permuted_rows(df, "id", ["a"], 2, 7).collect()
     for rep in (0, 1):
