@@ -9,7 +9,6 @@ from tablemill.functions.labels import CLASS_ENGLISH, SUFFIX_WORD, to_known_clas
 from tablemill.functions.text import compact_name, fold_name, squeeze_spaces, underscore_name
 from tablemill.functions.vectors import one_hot
 from tablemill.operators import prep
-from tablemill.operators.quantiles import narrowed_medians
 from tablemill.operators.splitting import encode_labels, label_codes, row_names
 from tablemill.session import materialize
 
@@ -209,8 +208,8 @@ def median_impute_fit(spark, sf_dir):
        "UNION ALL SELECT 'l_quantity', median(l_quantity) FROM lineitem "
        "UNION ALL SELECT 'l_tax', median(l_tax) FROM lineitem")
 def median_impute_fit_narrowing(spark, sf_dir):
-    """The large-data route: value ranges narrowed pass by pass."""
-    found = narrowed_medians(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity", "l_tax"])
+    """Columns with few and with many distinct values, straight from the scan."""
+    found = prep.exact_medians(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity", "l_tax"])
     return spark.createDataFrame(list(found.items()), "feature string, median double").select(
         "feature", r("median").alias("median")
     )

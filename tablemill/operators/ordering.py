@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from tablemill.session import materialize
 
 
+def _with_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the offsets of its piece; a NULL group is a group like any other."""
+    named = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(named[f"_of_{k}"]) for k in keys]
+    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def hash_rank(
     df: DataFrame,
     hash_text: Column,
@@ -38,8 +45,7 @@ def hash_rank(
     )
     local = Window.partitionBy(*group, "_piece").orderBy("_hash", *tie)
     return (
-        keyed.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*group, "_piece"])
+        _with_offsets(keyed.withColumn("_local", F.row_number().over(local)), offsets, [*group, "_piece"])
         .withColumn(out, F.col("_local") + F.col("_offset"))
         .drop("_hash", "_piece", "_local", "_offset")
     )
@@ -56,7 +62,8 @@ def running_totals(
 
     Rows should be unique on (group, order): aggregate first. They are range-partitioned
     and written once, so every later branch sees the same pieces; only one row per piece
-    and group is added up centrally. ``grand`` adds whole-group sums the same way.
+    and group is added up centrally. ``grand`` adds whole-group sums the same way. The
+    write happens while the query is built.
     """
     group = group or []
     grand = grand or {}
@@ -82,7 +89,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = ranged.select("*", *[F.sum(c).over(local).alias(f"_l_{c}") for c in needed])
-    joined = summed.join(offsets, [*group, "_piece"])
+    joined = _with_offsets(summed, offsets, [*group, "_piece"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{c}") + F.col(f"_b_{c}")).alias(out) for out, c in totals.items()],

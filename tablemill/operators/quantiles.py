@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 1024
+from tablemill.operators.ordering import running_totals
 
 
 def quoted(name: str) -> str:
@@ -15,16 +13,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-@dataclass
-class _Bracket:
-    """Value range known to hold the wanted order statistic, and its rank inside it."""
-
-    low: float
-    high: float
-    rank: int
-    size: int
-
-
 def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """(i, v): one row per cell. Aggregating these keeps plans small however wide the table."""
     cells = [
@@ -53,94 +41,22 @@ def column_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return {c: found.get(i, empty) for i, c in enumerate(columns)}
 
 
-def exact_medians(
-    df: DataFrame,
-    columns: list[str],
-    facts: dict[str, dict] | None = None,
-    in_memory_values: int = 8_000_000,
-) -> dict[str, float]:
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Median per column (mean of the two middle values); an all-NULL column gives 0.0.
 
-    Up to ``in_memory_values`` cells the built-in exact percentile is used. It keeps every
-    distinct value in one task, so beyond that the two middle order statistics are found by narrowing value ranges: each pass counts all columns in 1024 bins with
-    partial aggregation, and the bin holding the wanted rank becomes the next range. Ranges
-    shrink to a single value, so the answer is the same, whatever the distribution.
+    Distinct values are counted with partial aggregation, and running totals over them name
+    the value at each of the two middle ranks: the same passes whatever the size, the range
+    or the distribution. Infinities are values like others.
     """
     if not columns:
         return {}
-    facts = facts or column_facts(df, columns)
-    if facts[columns[0]]["rows"] * len(columns) > in_memory_values:
-        return narrowed_medians(df, columns, facts)
-    rows = _cells(df, columns).groupBy("i").agg(F.percentile("v", 0.5).alias("median")).collect()
-    found = {r["i"]: r["median"] for r in rows}
-    return {c: 0.0 if found.get(i) is None else float(found[i]) for i, c in enumerate(columns)}
-
-
-def narrowed_medians(df: DataFrame, columns: list[str], facts: dict[str, dict] | None = None) -> dict[str, float]:
-    """Medians by repeated narrowing (the large-data route of :func:`exact_medians`)."""
-    facts = facts or column_facts(df, columns)
-    done: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], _Bracket] = {}
-    for c in columns:
-        n = facts[c]["n"]
-        if n == 0:
-            done[c, 0] = done[c, 1] = 0.0
-            continue
-        for side, rank in enumerate(((n - 1) // 2, n // 2)):
-            _place(open_, done, (c, side), _Bracket(facts[c]["lo"], facts[c]["hi"], rank, n))
-    while open_:
-        counts = _bin_counts(df, open_)
-        for key, bracket in list(open_.items()):
-            left = bracket.rank
-            for _, n, low, high in sorted(counts[key]):
-                if left < n:
-                    _place(open_, done, key, _Bracket(low, high, left, n))
-                    break
-                left -= n
-    return {c: (done[c, 0] + done[c, 1]) / 2.0 for c in columns}
-
-
-def _place(open_: dict, done: dict, key: tuple[str, int], bracket: _Bracket) -> None:
-    if bracket.low == bracket.high or (bracket.size == 2 and bracket.rank in (0, 1)):
-        done[key] = bracket.low if bracket.rank == 0 else bracket.high
-        open_.pop(key, None)
-    else:
-        open_[key] = bracket
-
-
-def _bin_counts(df: DataFrame, open_: dict[tuple[str, int], _Bracket]) -> dict:
-    """Count, least and greatest value per bin of every open range: one pass over the data."""
-    ranges: dict[tuple[str, float, float], list[tuple[str, int]]] = {}
-    for (c, side), b in open_.items():
-        ranges.setdefault((c, b.low, b.high), []).append((c, side))
-
-    def entry(k: int, c: str, low: float, high: float) -> Column:
-        value = F.col(quoted(c)).cast("double")
-        # halves, so that the width of the widest possible range is still a number
-        place = (value / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) * BINS
-        return F.when(
-            value.between(low, high),
-            F.struct(
-                F.lit(k).alias("k"),
-                F.least(F.floor(place), F.lit(BINS - 1).cast("long")).alias("bin"),
-                value.alias("value"),
-            ),
-        )
-
-    entries = [entry(k, *key) for k, key in enumerate(ranges)]
-    rows = (
-        df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-        .groupBy("e.k", "e.bin")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("e.value").alias("low"),
-            F.max("e.value").alias("high"),
-        )
-        .collect()
+    counted = _cells(df, columns).where("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_totals(counted, [F.asc("v")], {"upto": "n"}, ["i"], grand={"all": "n"})
+    below = F.col("upto") - F.col("n")
+    lower, upper = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    holds = lambda rank: (below <= rank) & (rank < F.col("upto"))
+    middle = ranked.groupBy("i").agg(
+        F.max(F.when(holds(lower), F.col("v"))).alias("low"), F.max(F.when(holds(upper), F.col("v"))).alias("high")
     )
-    owners = list(ranges.values())
-    out: dict[tuple[str, int], list] = {key: [] for key in open_}
-    for r in rows:
-        for key in owners[r["k"]]:
-            out[key].append((r["bin"], r["n"], r["low"], r["high"]))
-    return out
+    found = {r["i"]: r["low"] if r["low"] == r["high"] else r["low"] / 2.0 + r["high"] / 2.0 for r in middle.collect()}
+    return {c: float(found.get(i, 0.0)) for i, c in enumerate(columns)}
