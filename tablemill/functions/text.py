@@ -43,19 +43,30 @@ def atoms_list(c: Column) -> Column:
 
 
 def formula_elements(c: Column) -> Column:
-    """Flat formula to ``array<struct<atom, fraction>>``; an absent number means 1."""
-    pattern = F.lit(r"([A-Z][a-z]?)([0-9]*\.?[0-9]*)")
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(c, pattern, F.lit(1)).alias("atom"),
-        F.regexp_extract_all(c, pattern, F.lit(2)).alias("number"),
+    """Flat formula to ``array<struct<atom, fraction>>``, each atom once in order of first place.
+
+    An absent number means 1, repeated atoms add up. NULL for text that is no flat formula,
+    such as one with brackets.
+    """
+    atom, number = "[A-Z][a-z]?", "(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)?"
+    bare = F.regexp_replace(c, "\\s+", "")
+    found = F.transform(
+        F.regexp_extract_all(bare, F.lit(f"{atom}{number}"), F.lit(0)),
+        lambda t: F.struct(
+            F.regexp_extract(t, atom, 0).alias("atom"),
+            F.coalesce(text_to_double(F.regexp_replace(t, f"^{atom}", "")), F.lit(1.0)).alias("fraction"),
+        ),
     )
-    return F.transform(
-        pairs,
-        lambda p: F.struct(
-            p["atom"],
-            F.coalesce(text_to_double(p["number"]), F.lit(1.0)).alias("fraction"),
+    summed = F.transform(
+        F.array_distinct(found["atom"]),
+        lambda a: F.struct(
+            a.alias("atom"),
+            F.aggregate(
+                F.filter(found, lambda t: t["atom"] == a), F.lit(0.0), lambda total, t: total + t["fraction"]
+            ).alias("fraction"),
         ),
     )
+    return F.when(bare.rlike(f"^(?:{atom}{number})*$"), summed)
 
 
 def roman_value(c: Column) -> Column:
@@ -88,32 +99,38 @@ def valence_d_count(c: Column) -> Column:
 def parse_equations(df: DataFrame, column: str) -> DataFrame:
     """Adds moles, subscripts and product of ``"4Al + 3O2 -> 2Al2O3"`` style equations.
 
-    Three projections, so that each match is made once and read by name afterwards.
+    A side is cut at its plus signs and each term read alone: a leading count, then the
+    species. Oxygen is the term O2; of several cations on the left the first counts, of
+    several products the first. What is absent gives 0, its count 1.
     """
-    left, right = F.split_part(column, F.lit(" -> "), F.lit(1)), F.split_part(column, F.lit(" -> "), F.lit(2))
-    term = F.lit(r"([0-9]*)\s*([A-Za-z]+[0-9]*)")
-    terms = F.arrays_zip(
-        F.regexp_extract_all(left, term, F.lit(1)).alias("moles"),
-        F.regexp_extract_all(left, term, F.lit(2)).alias("species"),
-    )
-    matched = df.select("*", terms.alias("_terms"), right.alias("_right"))
-    sides = matched.select(
-        *df.columns,
-        "_right",
-        F.try_element_at(F.filter("_terms", lambda t: t["species"] != "O2"), F.lit(-1)).alias("_cation"),
-        F.try_element_at(F.filter("_terms", lambda t: t["species"] == "O2"), F.lit(-1)).alias("_oxygen"),
-    )
-    product = r"^([0-9]*)\s*([A-Za-z0-9]+)"
-    cation, oxygen = F.col("_cation"), F.col("_oxygen")
-    subscript = F.regexp_extract(cation["species"], r"([0-9]+)$", 1)
-    return sides.select(
+
+    def terms(side: Column) -> Column:
+        return F.transform(
+            F.split(side, "[+]"),
+            lambda t: F.struct(
+                F.regexp_extract(F.trim(t), "^[0-9]*", 0).alias("count"),
+                F.regexp_replace(F.trim(t), "^[0-9]*\\s*", "").alias("species"),
+            ),
+        )
+
+    sides = F.split(F.col(column), "->")
+    split = df.select("*", terms(F.get(sides, F.lit(0))).alias("_from"), terms(F.get(sides, F.lit(1))).alias("_to"))
+    species = F.filter("_from", lambda t: t["species"] != "")
+    oxygen = F.get(F.filter(species, lambda t: t["species"] == "O2"), F.lit(0))
+    cation = F.get(F.filter(species, lambda t: t["species"] != "O2"), F.lit(0))
+    named = split.select(*df.columns, cation.alias("_cation"), oxygen.alias("_oxygen"), F.get("_to", F.lit(0)).alias("_made"))
+
+    def when_there(term: str, value: Column) -> Column:
+        return F.when(F.col(term).isNull(), 0).otherwise(value)
+
+    return named.select(
         *df.columns,
-        F.when(cation.isNull(), 0).otherwise(_int_or(cation["moles"], 1)).alias("mols_cation"),
-        F.when(oxygen.isNull(), 0).otherwise(_int_or(oxygen["moles"], 1)).alias("mols_oxygen"),
-        F.when(cation.isNull(), 0).otherwise(_int_or(subscript, 1)).alias("coef_cation"),
-        F.when(oxygen.isNull(), 0).otherwise(2).alias("coef_oxygen"),
-        F.regexp_extract("_right", product, 2).alias("product"),
-        _int_or(F.regexp_extract("_right", product, 1), 1).alias("mols_product"),
+        when_there("_cation", _int_or(F.col("_cation.count"), 1)).alias("mols_cation"),
+        when_there("_oxygen", _int_or(F.col("_oxygen.count"), 1)).alias("mols_oxygen"),
+        when_there("_cation", _int_or(F.regexp_extract("_cation.species", "[0-9]*$", 0), 1)).alias("coef_cation"),
+        when_there("_oxygen", F.lit(2)).alias("coef_oxygen"),
+        F.coalesce("_made.species", F.lit("")).alias("product"),
+        _int_or(F.col("_made.count"), 1).alias("mols_product"),
     )
 
 
