@@ -339,14 +339,13 @@ def equation_parse(spark, sf_dir):
     "WITH e AS (SELECT l_suppkey, CASE l_linenumber WHEN 1 THEN 'Ce + O2 -> CeO2' WHEN 2 THEN 'P4 + 5O2 -> 2P2O5' "
     "ELSE l_linenumber || 'Al + 3O2 -> ' || l_linenumber || 'Al2O3' END AS equation, "
     "row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS rn "
-    "FROM lineitem WHERE l_returnflag = 'A') "
+    "FROM lineitem) "
     "SELECT s_suppkey AS cation, coalesce(equation, 'not found') AS equation "
     "FROM supplier LEFT JOIN e ON l_suppkey = s_suppkey AND rn = 1",
 )
 def equation_lookup(spark, sf_dir):
     equations = (
         _equations(spark, sf_dir)
-        .filter(F.col("l_returnflag") == "A")
         .select(F.col("l_suppkey").alias("cation"), "l_orderkey", "l_linenumber", "equation")
     )
     first = compose.first_entries(equations, "cation", ["l_orderkey", "l_linenumber"], ["equation"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.functions.labels import to_known_class
-from tablemill.functions.numeric import ratio_or_null, ratio_or_zero
+from tablemill.functions.numeric import ratio_or_null, ratio_or_zero, text_to_double
 from tablemill.operators.ordering import running_totals
 
 METRICS = (
@@ -207,7 +207,7 @@ def accuracy_summary(values: DataFrame) -> DataFrame:
     One value alone has deviation 0; cells that are no number are skipped. ``per_fold``
     keeps the fold -> accuracy map (one entry per outer fold).
     """
-    usable = values.select("fold", "model", F.col("accuracy").try_cast("double").alias("v")).filter(
+    usable = values.select("fold", "model", text_to_double(F.col("accuracy").cast("string")).alias("v")).filter(
         F.col("v").isNotNull()
     )
     return usable.groupBy("model").agg(

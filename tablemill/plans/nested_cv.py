@@ -6,6 +6,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +92,7 @@ def grid_search(
                 model = fit_model(name, train, s.label, s.k, params, s.seed)
                 hit = (F.col("y_pred") == F.col(s.label)).cast("double")
                 accuracy = model.predict(valid).agg(F.avg(hit)).first()[0]
-            except ValueError:
-                raise
-            except Exception:  # a trial that cannot be fitted is logged, not fatal
+            except IllegalArgumentException:  # the estimator refuses these settings: logged, not fatal
                 accuracy = None
             return i, fold, accuracy, json.dumps(params)
 

@@ -10,16 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 _local_scratch: dict[str, str] = {}
 
 
-def build_session(master: str = "local[8]", app: str = "tablemill", **extra: str) -> SparkSession:
-    """A session with adaptive execution on; cluster settings win when they are given."""
-    builder = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-    )
+def build_session(master: str | None = None, app: str = "tablemill", **extra: str) -> SparkSession:
+    """A session in UTC; master and everything else are the launcher's unless given here."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    if master:
+        builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in extra.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
