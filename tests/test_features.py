@@ -104,3 +104,22 @@ def test_means(spark):
         compose.valence_ratio(F.lit(4), F.lit(0)).alias("v"),
     ).first()
     assert (row.d, row.c, row.o, row.v) == (2.5, 5.0, 2.5, None) and math.isfinite(row.d)
+
+
+def test_formulas_add_up_or_are_refused(spark):
+    cells = ["CH3COOH", "Ce0.5La.5O2", "Ca(OH)2", "", None, "ni2"]
+    found = _one(spark, cells, "c string", formula_elements(F.col("c")))
+    assert [None if f is None else [tuple(x) for x in f] for f in found] == [
+        [("C", 2.0), ("H", 4.0), ("O", 2.0)],
+        [("Ce", 0.5), ("La", 0.5), ("O", 2.0)],
+        None,
+        [],
+        None,
+        None,
+    ]
+
+
+def test_equation_terms_are_read_alone(spark):
+    given = ["2 Ni + Fe2 + O2 -> NiFe2O4", "3O2", ""]
+    df = parse_equations(spark.createDataFrame([(e,) for e in given], "equation string"), "equation")
+    assert [tuple(r)[1:] for r in df.collect()] == [(2, 1, 1, 2, "NiFe2O4", 1), (0, 3, 0, 2, "", 1), (0, 0, 0, 0, "", 1)]

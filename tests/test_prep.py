@@ -4,7 +4,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablemill.functions.labels import CLASS_ENGLISH, pick_class, short_feature, translate_feature, translate_label
+from tablemill.functions.labels import (
+    CLASS_ENGLISH,
+    pick_class,
+    short_feature,
+    to_known_class,
+    translate_feature,
+    translate_label,
+)
 from tablemill.operators import prep, splitting
 from tablemill.operators.ordering import running_totals
 from tablemill.operators.quantiles import exact_medians
@@ -132,3 +139,15 @@ def test_row_names(spark):
     df = spark.createDataFrame([(3, None), (1, "a"), (2, None)], "k int, composition string")
     found = {r["k"]: r["composition"] for r in splitting.row_names(df, ["k"]).collect()}
     assert found == {1: "a", 2: "row_2", 3: "row_3"}
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(30)], "g string, i int")
+    found = running_totals(df, [F.asc("i")], {"c": "i"}, ["g"]).collect()
+    assert len(found) == 30 and max(r["c"] for r in found if r["g"] is None) == sum(range(0, 30, 3))
+
+
+def test_class_spellings(spark):
+    df = spark.createDataFrame([("Fluorita",), (" Fluorite ",), ("Mista",), ("Rocksalt",), ("x",), (None,)], "c string")
+    found = [r[0] for r in df.select(to_known_class(F.col("c"), ["Fluorite", "Mixed", "RockSalt"])).collect()]
+    assert found == ["Fluorite", "Fluorite", "Mixed", "RockSalt", "x", None]
