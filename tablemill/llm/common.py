@@ -50,7 +50,8 @@ def stored(df: DataFrame, stem: str) -> DataFrame:
     """``df`` written to the shared folder and read again; what led to it can be freed.
 
     Spark keeps the shuffle files of a finished job until the driver collects garbage, which
-    a driver with little to do puts off. Asking for it keeps disk use from adding up.
+    a driver with little to do puts off. Asking for it keeps disk use from adding up. It
+    works only on what nothing else refers to: pass ``df`` as an expression, not by a name.
     """
     out = materialize(df, stem)
     del df

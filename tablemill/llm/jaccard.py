@@ -350,15 +350,17 @@ def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = No
         for blobs, _ in each_part(batches):
             yield _to_pivots(unpack(blobs, 3), percent)
 
-    packed = docs.select("text").mapInArrow(keys, "part long, blob binary")
-    regions = (
-        packed.repartition(parts, "part")
+    # passed on without a name, so that its shuffle can be freed once it is stored
+    regions = stored(
+        docs.select("text")
+        .mapInArrow(keys, "part long, blob binary")
+        .repartition(parts, "part")
         .sortWithinPartitions("part")
         .mapInArrow(pivots, "pivot long, node long, size long")
         .groupBy("pivot", "node")
-        .agg(F.max("size").alias("size"))
+        .agg(F.max("size").alias("size")),
+        "regions",
     )
-    regions = stored(regions, "regions")
     # one text for each node; equal texts under one id are equal rows
     chosen = members.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
     sizes = regions.groupBy("pivot").agg(F.count("*").alias("nodes"))
@@ -371,12 +373,15 @@ def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = No
     )
     texts = squeezed(docs)
     same = (texts["text_hash"] == places["text_hash"]) & texts["doc_id"].eqNullSafe(places["of_doc"])
-    placed = places.join(texts, same).select("node", "places", "text")
+
+    def placed() -> DataFrame:
+        return places.join(texts, same).select("node", "places", "text")
+
     if sizes.where(F.col("nodes") > region).isEmpty():
-        return members, stored(_region_links(_small_regions(placed, region), words, percent), "links")
-    placed = stored(placed, "placed")
-    links = _region_links(_small_regions(placed, region), words, percent)
-    return members, stored(links.unionByName(_ring_links(placed, words, percent, region)), "links")
+        return members, stored(_region_links(_small_regions(placed(), region), words, percent), "links")
+    kept = stored(placed(), "placed")
+    links = _region_links(_small_regions(kept, region), words, percent)
+    return members, stored(links.unionByName(_ring_links(kept, words, percent, region)), "links")
 
 
 def _small_regions(placed: DataFrame, region: int) -> DataFrame:

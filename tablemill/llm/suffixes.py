@@ -394,9 +394,10 @@ def covered_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, par
         .agg(F.collect_list("ranges").alias("ranges"))
     )
     texts = squeezed(docs).join(undecided, ["doc_id", "mark"]).select("doc_id", "mark", "text", "ranges")
-    single = to_parts(texts.mapInArrow(undecided_bytes, f"{_PARTS}, body binary")).mapInArrow(meet, _FOUND)
-    found_later = stored(single, "strings")
-    return found.where("kind = 0").unionByName(found_later).select("doc_id", "mark", "ranges")
+    single = stored(
+        to_parts(texts.mapInArrow(undecided_bytes, f"{_PARTS}, body binary")).mapInArrow(meet, _FOUND), "strings"
+    )
+    return found.where("kind = 0").unionByName(single).select("doc_id", "mark", "ranges")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
