@@ -187,14 +187,15 @@ def feature_presence(spark, sf_dir):
 
 
 @query("stable_features",
-       f"WITH {_SEL_SQL} SELECT feature, count(*) AS n FROM sel WHERE model = 'A' GROUP BY 1 HAVING count(*) >= 4")
+       f"WITH {_SEL_SQL} SELECT feature, count(DISTINCT fold) AS n FROM sel GROUP BY 1 HAVING count(DISTINCT fold) >= 4")
 def stable_features(spark, sf_dir):
-    one = _selected(spark, sf_dir).filter("model = 'A'").select("fold", F.explode("features").alias("feature"))
-    return selection.stable_features(one, 7)
+    """Over the selections of all models; a fold counts once."""
+    chosen = _selected(spark, sf_dir).select("fold", F.explode("features").alias("feature"))
+    return selection.stable_features(chosen, 7)
 
 
 @query("feature_set_report",
-       f"WITH {_SEL_SQL}, s AS (SELECT feature FROM sel WHERE model = 'A' GROUP BY 1 HAVING count(*) >= 4) "
+       f"WITH {_SEL_SQL}, s AS (SELECT feature FROM sel GROUP BY 1 HAVING count(DISTINCT fold) >= 4) "
        "SELECT b.p_brand AS feature, s.feature IS NOT NULL AS kept FROM (SELECT DISTINCT p_brand FROM part) b "
        "LEFT JOIN s ON s.feature = b.p_brand")
 def feature_set_report(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablemill.catalog.base import WRONG_EVERY, feature_table, predictions, query, r, table
+from tablemill.catalog.base import FEATURES, WRONG_EVERY, feature_table, predictions, query, r, table
 from tablemill.operators import metrics, splitting, tuning
 
 FOLDS_SQL = (
@@ -165,11 +165,11 @@ def final_params(spark, sf_dir):
 
 
 @query("dataset_profile",
-       "SELECT o_orderstatus AS label, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS n_rows, 5::BIGINT AS n_features, "
-       "'qty_minimo; qty_maximo; qty_soma; qty_media; qty_desvio' AS feature_names FROM orders GROUP BY 1")
+       "SELECT o_orderstatus AS label, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS n_rows, 30::BIGINT AS n_features, "
+       f"'{'; '.join(FEATURES)}' AS feature_names FROM orders GROUP BY 1")
 def dataset_profile(spark, sf_dir):
     """Class counts with the size and the feature names of the training table."""
-    wide = feature_table(spark, sf_dir, ["qty"])
+    wide = feature_table(spark, sf_dir)
     names = [c for c in wide.columns if c not in ("row_id", "y")]
     label = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("y") + 1)
     counts = splitting.class_counts(wide.select(label.alias("label")), "label")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from math import comb
 
 import numpy as np
@@ -13,26 +13,28 @@ from pyspark.sql import functions as F
 
 from tablemill.operators.ranking import rank_desc
 
-# Up to this many features every coalition is used and the values are exact.
-ALL_COALITIONS = 11
+# Beyond this many features the number of coalitions has to be stated.
+MOST_FEATURES = 20
 
 
 def coalitions(m: int, n_samples: int | None = None, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """0/1 rows and kernel weights of the coalitions to evaluate (never empty or full).
 
-    All of them while that is at most 2**ALL_COALITIONS. Beyond, whole coalition sizes are
-    taken from the outside in while they fit the sample budget, and the sizes left over
+    All of them, which gives exact values, unless ``n_samples`` states a number: then whole
+    coalition sizes are taken from the outside in while they fit, and the sizes left over
     share their weight among seeded paired draws.
     """
     sizes = {s: (m - 1) / (comb(m, s) * s * (m - s)) for s in range(1, m)}
-    if m <= ALL_COALITIONS and n_samples is None:
+    if n_samples is None:
+        if m > MOST_FEATURES:
+            raise ValueError(f"{m} features: state n_samples, all coalitions are too many")
         rows, weights = [], []
         for s, w in sizes.items():
             for members in itertools.combinations(range(m), s):
                 rows.append(np.isin(np.arange(m), members))
                 weights.append(w)
         return np.array(rows, dtype=bool).reshape(-1, m), np.array(weights)
-    budget = n_samples or 2 * m + 2048
+    budget = n_samples
     rows, weights, rest = [], [], []
     for s in sorted(sizes, key=lambda s: (min(s, m - s), s)):
         if not rest and len(rows) + comb(m, s) <= budget:
@@ -96,11 +98,9 @@ def kernel_shap(
     """Shapley value of every (row, class, feature): columns ``row_id, class, feature, phi``.
 
     ``predict`` maps a matrix of feature rows to class scores and runs inside the tasks.
-    ``background`` holds the features and ``weight``. Up to ``points_per_piece`` points, a
-    checked bound, go along with the job. A larger
-    background stays distributed: values are weighted means over its points, so every piece
-    of rows meets every piece of points in its own bounded task and the parts are summed.
-    The result is the same by both routes.
+    ``background`` holds the features and ``weight`` and stays distributed: values are
+    weighted means over its points, so every piece of rows meets every piece of points in its
+    own bounded task and the parts are summed.
     """
     m = len(features)
     masks, weights = coalitions(m, n_samples, seed)
@@ -128,34 +128,22 @@ def kernel_shap(
             }
         )
 
-    if n_points <= points_per_piece:
-        matrix = np.array([tuple(p) for p in points.collect()], dtype=float).reshape(-1, m + 1)
-
-        def in_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield explain(batch, matrix[:, :-1], matrix[:, -1])
-
-        # a row costs points x coalitions model calls: spread rows evenly before that
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        values = rows.repartition(tasks, "id").mapInPandas(in_place, schema)
-    else:
-        n_pieces = -(-n_points // points_per_piece)
-        n_blocks = max(1, -(-df.count() // rows_per_piece))
-        left = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn(
-            "piece", F.explode(_longs(n_pieces))
-        )
-        right = points.withColumn("piece", F.pmod(F.xxhash64(*names), F.lit(n_pieces))).withColumn(
-            "block", F.explode(_longs(n_blocks))
-        )
+    n_pieces = max(1, -(-n_points // points_per_piece))
+    n_blocks = max(1, -(-df.count() // rows_per_piece))
+    left = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).withColumn(
+        "piece", F.explode(_longs(n_pieces))
+    )
+    right = points.withColumn("piece", F.pmod(F.xxhash64(*names), F.lit(n_pieces))).withColumn(
+        "block", F.explode(_longs(n_blocks))
+    )
 
-        def pair(batch: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
-            if len(batch) == 0 or len(at) == 0:
-                return pd.DataFrame({"id": [], "class": [], "feature": [], "phi": []})
-            return explain(batch, at[names].to_numpy(dtype=float), at["share"].to_numpy(dtype=float))
+    def pair(batch: pd.DataFrame, at: pd.DataFrame) -> pd.DataFrame:
+        if len(batch) == 0 or len(at) == 0:
+            return pd.DataFrame({"id": [], "class": [], "feature": [], "phi": []})
+        return explain(batch, at[names].to_numpy(dtype=float), at["share"].to_numpy(dtype=float))
 
-        parts = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece"))
-        values = parts.applyInPandas(pair, schema).groupBy("id", "class", "feature").agg(F.sum("phi").alias("phi"))
+    parts = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece"))
+    values = parts.applyInPandas(pair, schema).groupBy("id", "class", "feature").agg(F.sum("phi").alias("phi"))
     labels = F.array(*[F.lit(f) for f in features])
     return values.select(
         F.col("id").alias(row_id), "class", F.get(labels, F.col("feature")).alias("feature"), "phi"

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.operators.ordering import hash_rank
@@ -15,8 +15,6 @@ from tablemill.operators.quantiles import column_facts
 from tablemill.operators.quantiles import quoted as q
 from tablemill.session import materialize
 
-# Above this many columns the pairwise sums come from matrix products per partition.
-PAIRS_BY_EXPRESSION = 16
 
 
 def pearson_pairs(df: DataFrame, columns: list[str], centre: list[float] | None = None) -> DataFrame:
@@ -24,36 +22,13 @@ def pearson_pairs(df: DataFrame, columns: list[str], centre: list[float] | None
 
     ``centre`` holds the column means when they are known already; it saves one pass.
 
+    Pairwise sums are matrix products per partition, then one sum per pair.
     Columns: ``i, j, feature_i, feature_j, r``; r is NULL where a side is constant. One
     row per pair, so the result is as wide as the feature list and not as long as the data.
     """
     if len(columns) < 2:
         schema = "i int, j int, feature_i string, feature_j string, r double"
         return df.sparkSession.createDataFrame([], schema)
-    if len(columns) <= PAIRS_BY_EXPRESSION:
-        return _pairs_by_expression(df, columns)
-    return _pairs_by_blocks(df, columns, centre)
-
-
-def _pairs_by_expression(df: DataFrame, columns: list[str]) -> DataFrame:
-    def entry(i: int, j: int) -> Column:
-        a, b = F.col(q(columns[i])).cast("double"), F.col(q(columns[j])).cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
-        return F.struct(
-            F.lit(i).alias("i"),
-            F.lit(j).alias("j"),
-            F.lit(columns[i]).alias("feature_i"),
-            F.lit(columns[j]).alias("feature_j"),
-            F.abs(F.try_divide(F.covar_pop(a, b), spread)).alias("r"),
-        )
-
-    entries = [entry(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    return df.agg(F.array(*entries).alias("pairs")).select(F.inline("pairs"))
-
-
-def _pairs_by_blocks(df: DataFrame, columns: list[str], centre: list[float] | None) -> DataFrame:
-    """Pairwise sums as per-partition matrix products, then one sum per pair."""
     m = len(columns)
     if centre is None:
         facts = column_facts(df, columns)
