@@ -26,7 +26,7 @@ def outcome_counts(preds: DataFrame, by: list[str]) -> DataFrame:
 
 
 def accuracy(preds: DataFrame, by: list[str]) -> DataFrame:
-    hit = (F.col("y_true") == F.col("y_pred")).cast("double")
+    hit = F.col("y_true").eqNullSafe(F.col("y_pred")).cast("double")
     return preds.groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
@@ -72,19 +72,24 @@ def prf_classwise(preds: DataFrame, k: int, by: list[str]) -> DataFrame:
 
 
 def classwise_from_counts(counts: DataFrame, k: int, by: list[str]) -> DataFrame:
-    sides = F.array(
-        F.struct(
-            F.col("y_true").alias("class"),
-            F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"),
-            F.lit(0).cast("long").alias("fp"),
-            F.when(F.col("y_true") != F.col("y_pred"), F.col("n")).otherwise(0).alias("fn"),
-        ),
-        F.struct(
-            F.col("y_pred").alias("class"),
-            F.lit(0).cast("long").alias("tp"),
-            F.when(F.col("y_true") != F.col("y_pred"), F.col("n")).otherwise(0).alias("fp"),
-            F.lit(0).cast("long").alias("fn"),
+    """As :func:`prf_classwise`. A row without a prediction is a miss of its true class."""
+    same, none = F.col("y_true").eqNullSafe(F.col("y_pred")), F.lit(0).cast("long")
+    sides = F.filter(
+        F.array(
+            F.struct(
+                F.col("y_true").alias("class"),
+                F.when(same, F.col("n")).otherwise(0).alias("tp"),
+                none.alias("fp"),
+                F.when(~same, F.col("n")).otherwise(0).alias("fn"),
+            ),
+            F.struct(
+                F.col("y_pred").alias("class"),
+                none.alias("tp"),
+                F.when(~same, F.col("n")).otherwise(0).alias("fp"),
+                none.alias("fn"),
+            ),
         ),
+        lambda side: side["class"].isNotNull(),
     )
     empty = F.lit(0).cast("long")
     blanks = (

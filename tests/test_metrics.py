@@ -197,3 +197,10 @@ def test_topk_falls_back_to_available(spark):
     scores = spark.createDataFrame([("x", 0.5, 1.0)], "feature string, importance double, presence double")
     available = spark.createDataFrame([(0, "p"), (1, "q"), (2, "r")], "position int, feature string")
     assert [r["feature"] for r in selection.pick_topk(scores, available, 2).orderBy("rank").collect()] == ["p", "q"]
+
+
+def test_a_missing_prediction_is_a_miss(spark):
+    preds = spark.createDataFrame([("m", 1, 1), ("m", 1, None), ("m", 0, 0)], "model string, y_true int, y_pred int")
+    found = {r["class"]: r.asDict() for r in metrics.prf_classwise(preds, 2, ["model"]).collect()}
+    assert set(found) == {0, 1} and found[1]["recall"] == 0.5 and found[1]["support"] == 2
+    assert metrics.accuracy(preds, ["model"]).first()["accuracy"] == 2 / 3
