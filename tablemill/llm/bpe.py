@@ -25,7 +25,7 @@ LEAF = 256
 """Characters that are encoded without halving."""
 LONG_RUN = 32768
 """Bytes without white space from which the leaves of a run become rows of their own."""
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 """Words in each half of a worker's cache."""
 
 _SIMPLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
