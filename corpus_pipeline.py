@@ -61,7 +61,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = materialize(keys.groupBy("_id", "_of").count().where("count > 1").select("_id", "_of"), "repeated")
 
     # only repeated rows, seldom any, have to meet to leave one of them
-    once = _without(keyed, gone)
+    # what goes grows with the documents: merged at every size, not broadcast while it is small
+    once = _without(keyed, gone.hint("merge"))
     alone = _without(once, repeated)
     twins = once.join(repeated, _same_row(once, repeated), "left_semi").dropDuplicates(["doc_id", "_hash"])
     return alone.unionByName(twins).select(*[F.col(f"`{c}`") for c in columns])
