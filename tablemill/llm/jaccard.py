@@ -427,10 +427,10 @@ def _ring_links(placed: DataFrame, words: int, percent: int, region: int) -> Dat
     )
     ball = met.where("near AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     r, slack = 1 - percent / 100, 1e-9
-    # in integers, so that no rounding moves a node to the ring outside
-    width = F.expr(f"(100 * (pivot_size + size - 2 * shared)) div ({max(1, 100 - percent)} * (pivot_size + size - shared))")
-    ring = F.when(F.col("near"), F.lit(0)).otherwise(F.greatest(F.lit(1), width)).cast("long")
-    homes = met.select("pivot", "node", "d", "near", ring.alias("ring"))
+    # ring k holds distances over k r up to and with (k + 1) r, as the ball, ring 0, does; in
+    # integers, so that no rounding moves a node
+    over = F.expr(f"(100 * (pivot_size + size - 2 * shared) - 1) div ({max(1, 100 - percent)} * (pivot_size + size - shared))")
+    homes = met.select("pivot", "node", "d", "near", F.greatest(F.lit(0), over).cast("long").alias("ring"))
     nearest = homes.where("ring > 0").groupBy("pivot", "ring").agg(F.min("d").alias("from"))
     # visitors: nodes of the ring inside that the window of this ring's nearest node reaches
     visitors = (

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from tablemill.llm import jaccard
 
@@ -117,3 +118,16 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1050)] + [(7, 7)]
     found = dict(jaccard.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {**{i: 0 for i in range(1, 61)}, **{i: 1000 for i in range(1001, 1050)}}
+
+
+@pytest.mark.parametrize("percent, size, off", [(85, 20, 3), (80, 10, 2)])
+def test_links_at_the_edges_of_rings(spark, percent, size, off):
+    """x at distance r of the pivot, y at 2 r, and r between them: all exact."""
+    words = [f"w{i}" for i in range(size)]
+    texts = {1: words[:-off], 2: words, 3: words[off:]}  # pivot, x, y
+    placed = spark.createDataFrame(
+        [(n, [(1, 3)], zstandard.compress(" ".join(w).encode())) for n, w in texts.items()],
+        "node long, places array<struct<pivot: long, nodes: long>>, text binary",
+    )
+    found = jaccard._ring_links(placed, 1, percent, 2).collect()
+    assert {frozenset((r.a, r.b)) for r in found} == {frozenset((1, 2)), frozenset((2, 3))}
