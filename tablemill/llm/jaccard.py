@@ -1,4 +1,4 @@
-"""N-gram Jaccard join in metric space: pivots, regions, windows, recursion; exact.
+"""N-gram Jaccard join in metric space: pivots, regions, rings, windows; exact.
 
 The Jaccard distance d = 1 - J is a metric, and two sets link when d <= r. Work is done on
 the distinct shingle sets ("nodes"), so copies cost nothing.
@@ -11,14 +11,15 @@ the distinct shingle sets ("nodes"), so copies cost nothing.
    is replicated to each, and every linked pair meets in some region. That a class has
    several shingles keeps common phrases from bringing strangers together.
 2. Windows. A region that is small is joined at once. In a larger one the distances to the
-   pivot are computed first, by parts of the region with the pivot in each. Nodes in the
-   ball of radius r are linked by that alone. By the triangle inequality linked nodes lie in
-   the same ring of width r around the pivot or in neighbouring rings: each ring is a region
-   of its own, with the inner ring's nodes replicated to it where the window reaches them.
-3. Recursion inside a region. A node becomes the next pivot, its links to all others are
-   found from shared shingles, and it is done; nodes of the region's largest component need
-   not become pivots, since every other node does. Rings too large for a task are cut into
-   blocks by distance; pairs of blocks outside each other's window are left out.
+   pivot are computed first, by parts of the region with the pivot in each. The ball of
+   radius r is ring 0, and rings of width r lie around it. By the triangle inequality linked
+   nodes lie in one ring or in neighbouring ones: each ring is a region of its own, with the
+   inner ring's nodes replicated to it where the window reaches them. Rings too large for a
+   task are cut into blocks by hash, and all pairs of blocks are joined.
+3. Joining. All pairs that a region owns are compared by shared shingles, and each node's
+   links are counted: a pair is owned by the smallest pivot that both nodes have, there by
+   the outer one's ring, there by its pair of blocks. Of the links themselves only those
+   that connect the region's components are given out.
 4. Links join nodes to components by repeated smallest-neighbour steps.
 
 Shingles and nodes are named by 64-bit hashes; link tests use whole sets and integers.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import (
@@ -232,47 +233,113 @@ def _to_pivots(columns, percent: int) -> pa.RecordBatch | None:
 
 
 # -- joining the nodes of one region ---------------------------------------------------------
-def link_region(node: np.ndarray, sets: list[np.ndarray], percent: int, done: np.ndarray | None = None) -> list[tuple[int, int]]:
+class Overlaps:
+    """How many elements each list has in common with every later one, list by list.
+
+    Elements that many lists hold are counted by matrix products, the others by postings.
+    """
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.m = m = len(lists)
+        sizes = np.array([len(x) for x in lists])
+        member = np.repeat(np.arange(m), sizes)
+        _, number, held = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        self.everywhere = bool((held == m).any())
+        heavy = held > max(m // 5, 64)
+        self.dense = np.zeros((m, m), np.float32) if heavy.any() else None
+        column = np.cumsum(heavy) - 1
+        for k in range(0, int(heavy.sum()), 512):
+            at = heavy[number] & (column[number] >= k) & (column[number] < k + 512)
+            x = np.zeros((m, 512), np.float32)
+            x[member[at], column[number[at]] - k] = 1
+            self.dense += x @ x.T
+        light = (held > 1)[number] & ~heavy[number]
+        member, number = member[light], number[light]
+        self.mine, self.starts = number, np.searchsorted(member, np.arange(m + 1))
+        order = np.argsort(number, kind="stable")
+        self.posting = member[order]
+        self.begin, self.end = (np.searchsorted(number[order], np.arange(len(held)), side=x) for x in ("left", "right"))
+
+    def pop(self, p: int, wanted: bool = True) -> np.ndarray | None:
+        """Counts with the lists after ``p``; to be called for 0, 1, 2 and so on."""
+        mine = self.mine[self.starts[p] : self.starts[p + 1]]
+        self.begin[mine] += 1  # p is the first that is left in each
+        if not wanted:
+            return None
+        begin, n = self.begin[mine], self.end[mine] - self.begin[mine]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found = np.bincount(self.posting[at], minlength=self.m)[p + 1 :]
+        return found if self.dense is None else found + self.dense[p, p + 1 :].astype(np.int64)
+
+
+def link_region(
+    node: np.ndarray,
+    sets: list[np.ndarray],
+    percent: int,
+    done: np.ndarray | None = None,
+    home: np.ndarray | None = None,
+    side: np.ndarray | None = None,
+    lower: list[np.ndarray] | None = None,
+    counts: np.ndarray | None = None,
+) -> list[tuple[int, int]]:
     """Links that join the region's nodes to the components that all its links give.
 
-    ``done``: nodes known to be in one component already; links among them are not sought.
+    ``counts``: the number of all links of each node is added to it. Every pair that the
+    region owns is compared. It does not own pairs of nodes that are both not at ``home``,
+    that are of one ``side`` (0 or more), or that meet in a region with a pivot in both
+    ``lower``. ``done``: nodes known to be in one component already; their links are counted
+    and not given.
     """
     m = len(node)
+    if m < 2:
+        return []
+    theirs = Overlaps(lower) if lower is not None and sum(map(len, lower)) else None
+    if theirs is not None and theirs.everywhere:
+        return []
     sizes = np.array([len(s) for s in sets])
-    member = np.repeat(np.arange(m), sizes)
-    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(shingle, kind="stable")
-    posting = member[order]
-    begin = np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
-    starts = np.r_[0, np.cumsum(sizes)]
+    shingles = Overlaps(sets)
     label = np.arange(m)
     if done is not None and done.any():
         label[done] = np.flatnonzero(done)[0]
-    pending = np.ones(m, bool)
     out = []
-    while True:
-        largest = np.bincount(label, minlength=m).argmax()
-        left = np.flatnonzero(pending & (label != largest))
-        if not len(left):
-            return out
-        p = left[0]
-        pending[p] = False
-        mine = shingle[starts[p] : starts[p + 1]]
-        near = np.concatenate([posting[begin[s] : begin[s + 1]] for s in mine.tolist()])
-        shared = np.bincount(near, minlength=m)
-        linked = np.flatnonzero(100 * shared >= percent * (sizes[p] + sizes - shared))
-        fresh = np.unique(label[linked], return_index=True)[1]
-        out += [(int(node[p]), int(node[x])) for x in linked[fresh].tolist() if label[x] != label[p]]
-        merged = np.isin(label, label[linked])
-        label[merged] = label[p]
-
-
-_LINK = "a long, b long"
-
-
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    for p in range(m - 1):
+        owned = np.ones(m - 1 - p, bool)
+        if home is not None and not home[p]:
+            owned &= home[p + 1 :]
+        if side is not None and side[p] >= 0:
+            owned &= side[p + 1 :] != side[p]
+        if theirs is not None:
+            owned &= theirs.pop(p) == 0
+        shared = shingles.pop(p, bool(owned.any()))
+        if shared is None:
+            continue
+        linked = np.flatnonzero(owned & (100 * shared >= percent * (sizes[p] + sizes[p + 1 :] - shared))) + p + 1
+        if not len(linked):
+            continue
+        if counts is not None:
+            counts[p] += len(linked)
+            counts[linked] += 1
+        labels, fresh = np.unique(label[linked], return_index=True)
+        other = labels != label[p]
+        if other.any():
+            out += [(int(node[p]), int(node[x])) for x in linked[fresh[other]].tolist()]
+            label[np.isin(label, labels)] = label[p]
+    return out
+
+
+_LINK = "a long, b long, n long"
+"""A link of ``a`` and ``b``; or, ``b`` being null, ``n`` links of ``a`` counted."""
+
+
+def _links(pairs: list[tuple[int, int]], node: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     a, b = zip(*pairs) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())], ["a", "b"])
+    some = counts > 0
+    rows = (
+        [*a, *node[some].tolist()],
+        [*b, *[None] * int(some.sum())],
+        [*[0] * len(a), *counts[some].tolist()],
+    )
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["a", "b", "n"])
 
 
 def _with_sets(batches, names: list[str], words: int) -> Iterator[tuple[tuple, np.ndarray]]:
@@ -293,24 +360,29 @@ def _with_sets(batches, names: list[str], words: int) -> Iterator[tuple[tuple, n
 
 
 def _join_regions(batches, words: int, percent: int):
-    """Rows (pivot, ring, node, done, text) sorted by region: a region at a time.
+    """Rows (pivot, ring, node, done, home, side, lower, text) sorted by region: a region at a time.
 
-    Rings hold home nodes and visitors from the ring inside; blocks have a ring number each.
+    Rings hold home nodes and visitors from the ring inside; blocks have a ring number each,
+    and in a pair of blocks each node has its block as ``side``.
     """
     now, region = None, {}
-    for (pivot, ring, node, done), shingles in _with_sets(batches, ["pivot", "ring", "node", "done"], words):
+    names = ["pivot", "ring", "node", "done", "home", "side", "lower"]
+    for (pivot, ring, node, *more), shingles in _with_sets(batches, names, words):
         if (pivot, ring) != now:
             if len(region) > 1:
-                yield _links(_join_region(region, percent))
+                yield _join_region(region, percent)
             now, region = (pivot, ring), {}
-        region[node] = (shingles.copy(), done)
+        region[node] = (shingles.copy(), *more)
     if len(region) > 1:
-        yield _links(_join_region(region, percent))
+        yield _join_region(region, percent)
 
 
-def _join_region(region: dict, percent: int) -> list[tuple[int, int]]:
-    sets, done = zip(*region.values())
-    return link_region(np.array(list(region), np.int64), list(sets), percent, np.array(done))
+def _join_region(region: dict, percent: int) -> pa.RecordBatch:
+    sets, done, home, side, lower = zip(*region.values())
+    node, counts = np.array(list(region), np.int64), np.zeros(len(region), np.int64)
+    lower = [np.array(x, np.int64) for x in lower]
+    pairs = link_region(node, list(sets), percent, np.array(done), np.array(home), np.array(side), lower, counts)
+    return _links(pairs, node, counts)
 
 
 def _pivot_distances(batches, words: int):
@@ -334,10 +406,11 @@ def _met(rows: list) -> pa.RecordBatch:
 
 
 # -- the join --------------------------------------------------------------------------------
-def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = None, region: int = REGION) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, text_hash, size, node), (a, b)): nodes of documents, links that connect them.
+def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = None, region: int = REGION) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((doc_id, text_hash, size, node), (a, b), (node, n_links)) of (doc_id long, text_hash long, text binary).
 
-    ``docs``: (doc_id long, text_hash long, text binary).
+    Nodes of documents; links that connect the nodes; how many other nodes each node links
+    with, all pairs counted once: by the region of the smallest pivot that both have.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -378,17 +451,39 @@ def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = No
         return places.join(texts, same).select("node", "places", "text")
 
     if sizes.where(F.col("nodes") > region).isEmpty():
-        return members, stored(_region_links(_small_regions(placed(), region), words, percent), "links")
-    kept = stored(placed(), "placed")
-    links = _region_links(_small_regions(kept, region), words, percent)
-    return members, stored(links.unionByName(_ring_links(kept, words, percent, region)), "links")
+        found = stored(_summed(_region_links(_small_regions(placed(), region), words, percent)), "links")
+    else:
+        kept = stored(placed(), "placed")
+        small = _region_links(_small_regions(kept, region), words, percent)
+        found = stored(_summed(small.unionByName(_ring_links(kept, words, percent, region))), "links")
+    degrees = found.where("b IS NULL").select(F.col("a").alias("node"), F.col("n").alias("n_links"))
+    return members, found.where("b IS NOT NULL").select("a", "b"), degrees
+
+
+def _summed(found: DataFrame) -> DataFrame:
+    """Each link once, and the sum of each node's counts."""
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _lower() -> Column:
+    """The pivots of a node before this region's: a pair that shares one is counted there."""
+    return F.filter(F.col("places.pivot"), lambda x: x < F.col("pivot")).alias("lower")
 
 
 def _small_regions(placed: DataFrame, region: int) -> DataFrame:
     return (
-        placed.select("node", "text", F.inline("places"))
+        placed.select("node", "text", "places", F.inline("places"))
         .where(F.col("nodes") <= region)
-        .select("pivot", F.lit(0).cast("long").alias("ring"), "node", F.lit(False).alias("done"), "text")
+        .select(
+            "pivot",
+            F.lit(0).cast("long").alias("ring"),
+            "node",
+            F.lit(False).alias("done"),
+            F.lit(True).alias("home"),
+            F.lit(-1).cast("long").alias("side"),
+            _lower(),
+            "text",
+        )
     )
 
 
@@ -397,7 +492,6 @@ def _region_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
         rows.repartition("pivot", "ring")
         .sortWithinPartitions("pivot", "ring", "node")
         .mapInArrow(lambda b: _join_regions(b, words, percent), _LINK)
-        .distinct()
     )
 
 
@@ -425,7 +519,9 @@ def _ring_links(placed: DataFrame, words: int, percent: int, region: int) -> Dat
         met.withColumn("d", 1 - F.col("shared") / union).withColumn("near", 100 * F.col("shared") >= percent * union),
         "distances",
     )
-    ball = met.where("near AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    ball = met.where("near AND node != pivot").select(
+        F.col("pivot").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("n")
+    )
     r, slack = 1 - percent / 100, 1e-9
     # ring k holds distances over k r up to and with (k + 1) r, as the ball, ring 0, does; in
     # integers, so that no rounding moves a node
@@ -437,9 +533,9 @@ def _ring_links(placed: DataFrame, words: int, percent: int, region: int) -> Dat
         homes.withColumn("ring", F.col("ring") + 1)
         .join(nearest, ["pivot", "ring"])
         .where(F.col("d") >= F.col("from") - r - slack)
-        .select("pivot", "node", "near", "ring")
+        .select("pivot", "node", "near", "ring", F.lit(False).alias("home"))
     )
-    within = homes.where("ring > 0").select("pivot", "node", "near", "ring").unionByName(visitors)
+    within = homes.select("pivot", "node", "near", "ring", F.lit(True).alias("home")).unionByName(visitors)
     counts = within.groupBy("pivot", "ring").agg(F.count("*").alias("n"))
     blocks = F.when(F.col("n") <= region, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / region)).cast("long")
     within = (
@@ -447,15 +543,19 @@ def _ring_links(placed: DataFrame, words: int, percent: int, region: int) -> Dat
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
     )
-    # a pair of blocks is a region of its own: each node goes to the pairs that hold its block
+    # a pair of blocks is a region of its own: each node goes to the pairs that hold its block;
+    # pairs of nodes inside one block are compared where the block is paired with itself
     pair = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda k: F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")),
+        lambda k: F.struct(
+            (F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block"))).alias("pair"),
+            F.when(k == F.col("block"), F.lit(-1)).otherwise(F.col("block")).cast("long").alias("side"),
+        ),
     )
-    split = within.select("pivot", "node", F.col("near").alias("done"), "ring", F.explode(pair).alias("pair"))
-    split = split.withColumn("ring", F.xxhash64("ring", "pair")).join(placed.select("node", "text"), "node")
-    found = _region_links(split.select("pivot", "ring", "node", "done", "text"), words, percent)
-    return ball.unionByName(found).distinct()
+    split = within.select("pivot", "node", F.col("near").alias("done"), "home", "ring", F.inline(pair))
+    split = split.withColumn("ring", F.xxhash64("ring", "pair")).join(placed.select("node", "text", "places"), "node")
+    found = _region_links(split.select("pivot", "ring", "node", "done", "home", "side", _lower(), "text"), words, percent)
+    return ball.unionByName(found)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -484,10 +584,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) per row of (doc_id, text).
+    """(doc_id, text_hash, n_shingles, n_links, component_id) per row of (doc_id, text).
 
     Sets of shingles of ``words`` words; link when 100 * shared >= ``percent`` * union.
-    ``component_id`` is the smallest doc_id that links reach. Null text or no words: no
+    ``n_links`` counts the other sets that the document's set links with; documents of one
+    set have the same number. ``component_id`` is the smallest doc_id that links reach. Null text or no words: no
     shingles, linked with nothing. Null id: takes part; its component has the smallest id
     there is, null if there is none. Repeated rows: each gets its row. Empty table: no rows.
     Other columns are not read.
@@ -495,13 +596,15 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), text_bytes()
     )
-    members, links = link_nodes(source, words, percent)
-    with_class = members.join(components(links), "node", "left").withColumn("class", F.coalesce("component", "node"))
+    members, links, degrees = link_nodes(source, words, percent)
+    linked = degrees.join(components(links), "node", "left")
+    with_class = members.join(linked, "node", "left").withColumn("class", F.coalesce("component", "node"))
     smallest = with_class.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     return with_class.join(smallest, "class", "left").select(
         "doc_id",
         "text_hash",
         F.col("size").alias("n_shingles"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
     )
 

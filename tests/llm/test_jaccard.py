@@ -120,6 +120,28 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{i: 0 for i in range(1, 61)}, **{i: 1000 for i in range(1001, 1050)}}
 
 
+def link_counts(rows, words, percent):
+    """(doc_id, links of its set with other sets) of every row, by comparing all pairs."""
+    sets, _ = classes([t for _, t in rows], words, percent)
+    kinds = list({s for s in sets if s})
+    counts = collections.Counter()
+    for k, a in enumerate(kinds):
+        for b in kinds[:k]:
+            if 100 * len(a & b) >= percent * len(a | b):
+                counts.update([a, b])
+    return sorted(((i, counts[s]) for (i, _), s in zip(rows, sets)), key=str)
+
+
+@pytest.mark.parametrize("words, percent, region", [(4, 85, 2000), (3, 60, 9)])
+def test_every_link_is_counted_once(spark, monkeypatch, words, percent, region):
+    monkeypatch.setattr(jaccard.link_nodes, "__defaults__", (None, region))
+    rows = crowd(6)
+    found = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
+    want = link_counts(rows, words, percent)
+    assert sum(n for _, n in want) > 200
+    assert sorted(((r.doc_id, r.n_links) for r in found), key=str) == want
+
+
 @pytest.mark.parametrize("percent, size, off", [(85, 20, 3), (80, 10, 2)])
 def test_links_at_the_edges_of_rings(spark, percent, size, off):
     """x at distance r of the pivot, y at 2 r, and r between them: all exact."""
@@ -130,4 +152,18 @@ def test_links_at_the_edges_of_rings(spark, percent, size, off):
         "node long, places array<struct<pivot: long, nodes: long>>, text binary",
     )
     found = jaccard._ring_links(placed, 1, percent, 2).collect()
-    assert {frozenset((r.a, r.b)) for r in found} == {frozenset((1, 2)), frozenset((2, 3))}
+    assert {frozenset((r.a, r.b)) for r in found if r.b is not None} == {frozenset((1, 2)), frozenset((2, 3))}
+    counts = collections.Counter()
+    for r in found:
+        if r.b is None:
+            counts[r.a] += r.n
+    assert counts == {1: 1, 2: 2, 3: 1}
+
+
+def test_overlaps_of_common_and_rare_elements():
+    draw = np.random.default_rng(9)
+    lists = [np.flatnonzero(draw.random(900) < np.where(np.arange(900) < 600, 0.9, 0.02)) for _ in range(150)]
+    both = jaccard.Overlaps(lists)
+    assert both.dense is not None and len(both.posting)
+    for p in range(149):
+        assert both.pop(p).tolist() == [len(np.intersect1d(lists[p], x)) for x in lists[p + 1 :]]
