@@ -7,8 +7,8 @@ with one more share for all unseen words. So the model is a proper distribution
 of words, and the tables that tasks get are bounded whatever the vocabulary. The counts of
 rare words reach the documents that hold them by a join on the name.
 
-Training starts from a short run on a bounded sample and then makes full passes: expected
-counts are added up per task, then by slices of symbols across tasks. The scaled forward
+Training starts from the corpus counts of the symbols with seeded noise, and every round is
+a pass over all training documents: expected counts are added up per task, then by slices of symbols across tasks. The scaled forward
 recursion gives each document's exact likelihood under the model.
 """
 
@@ -28,11 +28,8 @@ from tablemill.llm.common import ONE, TWO, each_part, mix, pack, stored, table,
 HEAVY = 1 << 15
 TAIL = 512
 STATES = 8
-START_DOCS = 1000
-"""Training documents, the smallest by hash, on which the first guess is made."""
-START_ROUNDS = 12
-ROUNDS = 2
-"""Baum-Welch passes over all training documents."""
+ROUNDS = 5
+"""Baum-Welch passes, each over all training documents."""
 SLICES = 16
 CHUNK_BYTES = 1 << 18
 PACK_BYTES = 1 << 21
@@ -280,14 +277,6 @@ class Expected:
                 self.emit[:, k] += np.bincount(symbols, gamma[:, k], len(self.emit))
 
 
-def baum_welch(seqs: list[np.ndarray], model: Model, plain: np.ndarray, rounds: int) -> Model:
-    for _ in range(rounds):
-        e = Expected(len(plain), len(model.start))
-        e.add(model, seqs)
-        model = Model.from_counts(e.start, e.move, e.emit, plain)
-    return model
-
-
 def _open(blobs: list[bytes]) -> list[np.ndarray]:
     press = zstandard.ZstdDecompressor()
     return [np.frombuffer(press.decompress(b), "<u2") for b in blobs]
@@ -512,13 +501,12 @@ def score_documents(docs: DataFrame, train, states: int = STATES, rounds: int =
     table_ = read_symbols(counts, learned.count())
     symbols = spark.sparkContext.broadcast(table_)
     coded = stored(encode(source, symbols), "coded")
-    start = coded.where("train").orderBy(F.xxhash64("doc_id", "mark"), "doc_id", "mark").limit(START_DOCS)
     model = Model.first_guess(table_.plain, states)
-    sample = _open([bytes(r.symbols) for r in start.select("symbols").collect()])
-    if sample:
-        model = baum_welch(sample, model, table_.plain, START_ROUNDS)
-        for _ in range(rounds):
-            model = full_pass(coded, model, table_.plain)
+    for _ in range(rounds):
+        trained = full_pass(coded, model, table_.plain)
+        if trained is model:  # nothing to learn from
+            break
+        model = trained
     # null ids meet as -1 does: the mark tells their texts apart
     key = F.coalesce("doc_id", F.lit(-1))
     rare = rare_words(source.withColumn("doc_id", key), counts, symbols, parts).withColumnRenamed("doc_id", "key")

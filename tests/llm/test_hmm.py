@@ -113,3 +113,23 @@ def test_a_model_is_a_distribution_over_words(spark):
     s = hmm.Symbols(np.zeros(0, np.uint64), np.zeros(0, np.int64), tail_n, tail_v, int(tail_n.sum()), hmm.TAIL, 1)
     shares = (tail_n + 1 + 1) / 10**s.share
     assert np.allclose(shares, 1)
+
+
+def test_every_round_reads_all_training_documents(spark, monkeypatch):
+    """The model is that of rounds over all rows, more than any sample."""
+    draw = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{k}" for k in draw.integers(0, 9, 6) + 10 * (i % 2))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    models, first = [], hmm.likelihoods
+    monkeypatch.setattr(hmm, "likelihoods", lambda coded, model: models.append((coded, model)) or first(coded, model))
+    hmm.score_documents(df, F.lit(True), rounds=3)
+    coded, model = models[0]
+    seqs = hmm._open([bytes(r.symbols) for r in coded.select("symbols").collect()])
+    plain = np.bincount(np.concatenate(seqs), minlength=len(model.emit)).astype(float)
+    want = hmm.Model.first_guess(plain, hmm.STATES)
+    for _ in range(3):
+        e = hmm.Expected(len(plain), hmm.STATES)
+        e.add(want, seqs)
+        want = hmm.Model.from_counts(e.start, e.move, e.emit, plain)
+    assert len(seqs) == 1500
+    assert np.allclose(model.move, want.move, atol=1e-9) and np.allclose(model.emit, want.emit, atol=1e-9)
