@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes weighted counts of hashed terms: its words, their shapes, and coarse classes
-of its length and of how much it repeats. A truncated singular value decomposition of a
+A text becomes weighted counts of hashed terms: its words, their shapes, the pieces of runs
+too long for a word (text written without blanks), and coarse classes of its length and of how much it repeats. A truncated singular value decomposition of a
 bounded sample of labelled texts gives the latent space. The sample's vectors go to every
 task, which multiplies blocks of document vectors with all of them: exact cosines, the
 nearest neighbours, and a vote that weights their labels by similarity.
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm.common import TwoGenerations, map_rows, process_cache, table, text_bytes, with_columns
+from tablemill.llm.common import ONE, TwoGenerations, map_rows, mix, process_cache, table, text_bytes, with_columns
 
 SAMPLE = 3000
 """Labelled rows that are learned from at most, the smallest by hash of the id."""
@@ -28,6 +28,10 @@ NEIGHBOURS = 25
 SHARPNESS = 4
 """Power of the cosine that weights a vote."""
 BLOCK = 512
+LONG = 64
+"""A run without blanks of more bytes gives its pieces as terms too ..."""
+GRAM, SHAPE_GRAM = 4, 12
+"""... all windows of so many characters of its text and of its shape."""
 TERMS = WORDS + SHAPES + CLASSES
 
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -45,15 +49,31 @@ def _hash(s: str, size: int) -> int:
 def shape(word: str) -> str:
     """Runs of capitals, small letters and digits as one letter each; signs stay, once."""
     kinds = _LOWER.sub("x", _UPPER.sub("X", re.sub(r"[0-9]", "9", word)))
-    return _MANY.sub(r"\1", kinds)[:12]
+    return _MANY.sub(r"\1", kinds)
 
 
 def _terms(word: bytes) -> int:
     """Word and shape term in one number."""
-    text = word[:64].decode("utf-8", "replace")
+    text = word.decode("utf-8", "replace")
     return _hash(text.lower(), WORDS) * SHAPES + _hash(shape(text), SHAPES)
 
 
+def _windows(text: str, width: int, size: int) -> np.ndarray:
+    """How often each term is the hash of a window of ``width`` characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    n = max(0, len(c) - width + 1)
+    name = np.zeros(n, np.uint64)
+    for k in range(width):
+        name = mix(name * ONE + c[k : k + n])
+    return np.bincount((name % np.uint64(size)).astype(np.int64), minlength=size)
+
+
+def _pieces(word: bytes) -> np.ndarray:
+    """Counts of word and shape terms of all pieces of a long run."""
+    text = word.decode("utf-8", "replace")
+    return np.r_[_windows(text.lower(), GRAM, WORDS), _windows(shape(text), SHAPE_GRAM, SHAPES)]
+
+
 def _class(value: float, steps: int) -> int:
     return min(steps - 1, max(0, int(value * steps)))
 
@@ -72,6 +92,10 @@ def term_rows(texts: list[bytes]) -> np.ndarray:
         if words:
             row[:WORDS] = np.bincount(codes // SHAPES, minlength=WORDS)
             row[WORDS : WORDS + SHAPES] = np.bincount(codes % SHAPES, minlength=SHAPES)
+            if max(map(len, words)) > LONG:
+                for w in words:
+                    if len(w) > LONG:
+                        row[: WORDS + SHAPES] += _pieces(w)
             np.log1p(row, out=row)
             row[:WORDS] *= 0.5 / np.linalg.norm(row[:WORDS])
             row[WORDS : WORDS + SHAPES] *= 1.5 / np.linalg.norm(row[WORDS : WORDS + SHAPES])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tablemill.llm import voting
@@ -52,3 +53,16 @@ def test_votes_are_those_of_all_cosines():
         weights = [max(c, 0) ** voting.SHARPNESS for c, _ in cosines]
         want = sum(w * y for w, (_, y) in zip(weights, cosines)) / sum(weights)
         assert abs(want - vote) < 1e-3
+
+
+def test_long_runs_are_read_to_their_end():
+    """Unbroken texts with one beginning differ by what follows, and share its pieces."""
+    start, tail = "数据处理" * 10, "操作符测试完成"
+    a, b, c = voting.term_rows([x.encode() for x in (start, start + tail, start + "另外一个结尾呢")])
+    words = slice(0, voting.WORDS)
+    assert not np.allclose(b[words], c[words]) and not np.allclose(a[words], b[words])
+    extra = voting._pieces((start + tail).encode()) - voting._pieces(start.encode())
+    assert extra[words].sum() == len(tail)
+    d, e = voting.term_rows([b"a1-" * 50 + b"Q" * 3, b"a1-" * 50 + b"." * 3])
+    shapes = slice(voting.WORDS, voting.WORDS + voting.SHAPES)
+    assert not np.allclose(d[shapes], e[shapes])
