@@ -18,6 +18,8 @@ LINE_SHARE = 0.05
 """A line is boilerplate when more than this share of its host's texts hold it ..."""
 LINE_TEXTS = 20
 """... and more than so many texts."""
+LINE_MOST = 1000
+"""Or, however large its host, when more than so many texts of the host hold it."""
 KEEP_SHARE = 0.5
 """A document that keeps less than this share of its words is depleted."""
 
@@ -109,8 +111,9 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, share: float = LINE_SHARE, least: int = LINE_TEXTS) -> DataFrame:
-    """(host, line) held by more than ``share`` of the host's different texts and ``least``."""
+def frequent_lines(lines: DataFrame, share: float = LINE_SHARE, least: int = LINE_TEXTS, most: int | None = LINE_MOST) -> DataFrame:
+    """(host, line, by_share, by_number) held by more than ``least`` of the host's different texts, and
+    by more than ``share`` of them or by more than ``most``; None: the share alone decides."""
     texts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     held = (
         lines.select("host", "line", "text_hash")
@@ -119,17 +122,24 @@ def frequent_lines(lines: DataFrame, share: float = LINE_SHARE, least: int = LIN
         .agg(F.count("*").alias("n_texts"))
         .where(F.col("n_texts") > least)
     )
-    return held.join(texts, "host").where(F.col("n_texts") > share * F.col("texts")).select("host", "line")
+    by_share = F.col("n_texts") > share * F.col("texts")
+    by_number = F.lit(False) if most is None else F.col("n_texts") > most
+    return held.join(texts, "host").where(by_share | by_number).select(
+        "host", "line", by_share.alias("by_share"), by_number.alias("by_number")
+    )
 
 
-def apply_rules(docs: DataFrame) -> DataFrame:
+def apply_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_TEXTS, most: int | None = LINE_MOST) -> DataFrame:
     """``docs`` with the base figures, ``removed_words``, ``kept`` and ``cleaned``.
 
+    ``lines_by_share`` and ``lines_by_number`` say how many removed lines each condition of
+    :func:`frequent_lines` gives; lines that meet both are in both.
+
     ``cleaned`` is the text without its boilerplate lines. Null text: no words, rejected.
     Null source: a host of its own. Repeated rows count as one text and each gets its row.
     Empty table: no rows. Columns of ``docs`` with the names made here are replaced.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "cleaned", "row_key", "boilerplate", "lost", "_words")
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "cleaned", "row_key", "boilerplate", "lost", "lines_by_share", "lines_by_number", "_words")
     keyed = docs.drop(*made).withColumn(
         "row_key", F.xxhash64("doc_id", F.coalesce("source", F.lit("\0")), F.coalesce("text", F.lit("\0")))
     )
@@ -137,9 +147,13 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     # rows of one key are equal in id, source and text: their lines count once
     loss = (
         lines.dropDuplicates(["row_key", "pos"])
-        .join(frequent_lines(lines), ["host", "line"])
+        .join(frequent_lines(lines, share, least, most), ["host", "line"])
         .groupBy("row_key")
-        .agg(F.collect_set("line").alias("boilerplate"), F.sum("n").alias("lost"))
+        .agg(
+            F.collect_set("line").alias("boilerplate"),
+            F.sum("n").alias("lost"),
+            *(F.sum(F.col(f"by_{c}").cast("long")).alias(f"lines_by_{c}") for c in ("share", "number")),
+        )
     )
     judged = base_rules(keyed).join(loss, "row_key", "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -149,6 +163,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     return (
         judged.withColumn("cleaned", cleaned)
         .withColumn("removed_words", F.coalesce("lost", F.lit(0)).cast("long"))
+        .withColumn("lines_by_share", F.coalesce("lines_by_share", F.lit(0)).cast("long"))
+        .withColumn("lines_by_number", F.coalesce("lines_by_number", F.lit(0)).cast("long"))
         .withColumn(
             "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= KEEP_SHARE * F.col("n_words"))
         )
@@ -158,7 +174,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return apply_rules(docs).select(
+    # the query's SQL knows the share alone; the pipeline has the absolute number as well
+    return apply_rules(docs, most=None).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"
     )
 

@@ -50,3 +50,14 @@ def test_filters_keep_their_speed(spark):
 
 def test_whole_table_runs(spark):
     assert quality.op4_line_frequency(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_an_absolute_number_of_texts_is_enough(spark):
+    """A line in 30 of 1000 texts of a host: under the share, over the number given."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + ("\nall rights reserved" if i < 30 else ""), "a") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = "sum(removed_words), sum(lines_by_share), sum(lines_by_number)".split(", ")
+    count = lambda **limits: tuple(quality.apply_rules(df, **limits).selectExpr(*sums).first())
+    assert count(most=None) == (0, 0, 0) and count(most=30) == (0, 0, 0)
+    assert count(most=29) == (90, 0, 30)
+    assert count(share=0.02, most=29) == (90, 30, 30)
