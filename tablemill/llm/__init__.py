@@ -5,7 +5,7 @@ Nothing else in the library imports this subpackage; it can be deleted whole.
 
 from importlib import import_module
 
-MODULES = ("topk", "bpe", "hmm", "quality", "counts", "jaccard", "voting", "packing", "pii", "suffixes", "runs", "decontamination")
+MODULES = ("topk", "bpe", "hmm", "quality", "counts", "jaccard", "voting", "packing", "pii", "suffixes", "runs", "decontamination", "collocations")
 
 
 def load() -> tuple[dict, dict]:
