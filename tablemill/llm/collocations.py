@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,6 +40,8 @@ CHUNK_BYTES = 1 << 23
 PART_BYTES = 1 << 23
 """Text whose phrases one part holds."""
 MOST_PARTS = 1 << 14
+ADD_ROWS = 1 << 20
+"""Rows of exact counts that a part holds before it adds them up."""
 MOST_BITS = 1 << 26
 """Bits of the survivors' map at most; above, more phrases than needed are counted."""
 
@@ -146,7 +149,7 @@ def surviving_codes(docs: DataFrame, bits: int, parts: int, least: int = LEAST,
             codes, n = _counted(np.concatenate([c for _, c in chunk.codes(longest)]))
             if not len(codes):
                 continue
-            part = ((codes >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            part = _part_of(codes, bits, parts)
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             step = np.diff(codes.astype(np.int64), prepend=0)
             step[at] = codes[at]
@@ -200,8 +203,15 @@ def _bit_map(survivors: DataFrame, most: int = MOST_BITS) -> np.ndarray:
     return out
 
 
-def _exact(langs: list[str], texts: list[bytes], bits: int, marked: np.ndarray, longest: int) -> pa.RecordBatch:
-    """(lang, phrase, words, n) of a chunk's phrases whose bits are set, and its number of words."""
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+
+
+def _part_of(codes: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    return ((codes >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _exact(langs: list[str], texts: list[bytes], bits: int, marked: np.ndarray, longest: int, parts: int) -> pa.RecordBatch:
+    """(part, blob): a chunk's phrases whose bits are set and its number of words, counted, by part."""
     chunk = Phrases(langs, texts, bits)
     size = np.uint64(64 * len(marked) - 1)
     out: list[tuple] = []
@@ -210,25 +220,62 @@ def _exact(langs: list[str], texts: list[bytes], bits: int, marked: np.ndarray,
     for n, (at, codes) in enumerate(chunk.codes(longest), 1):
         if n == 1:
             for lang, words in enumerate(np.bincount(chunk.lang[at], minlength=len(chunk.langs)).tolist()):
-                out.append((chunk.langs[lang], _TOTAL, 0, words))
+                out.append((0, chunk.langs[lang], _TOTAL, 0, words))
         slot = codes & size
-        at = at[(marked[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
+        found = (marked[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
         if n > 1:
-            at = at[(name[at] >= 0) & (name[at + 1] >= 0)]  # parts of a frequent phrase are frequent
-            key = name[at] * len(chunk.words) + chunk.ids[at + n - 1]
-        else:
-            key = name[at]
+            found &= (name[at] >= 0) & (name[np.minimum(at + 1, len(name) - 1)] >= 0)  # parts of a frequent phrase are frequent
+        at, codes = at[found], codes[found]
+        key = name[at] * len(chunk.words) + chunk.ids[at + n - 1] if n > 1 else name[at]
         _, first, of, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         name = np.full(len(chunk.ids), -1)
         name[at] = of
-        for a, count in zip(at[first].tolist(), counts.tolist()):
+        for a, part, count in zip(at[first].tolist(), _part_of(codes[first], bits, parts).tolist(), counts.tolist()):
             phrase = b" ".join([chunk.words[i] for i in chunk.ids[a : a + n].tolist()])
-            out.append((chunk.langs[chunk.lang[a]], phrase, n, count))
-    lang, phrase, words, n = zip(*out)
-    text = pa.array([p if p != _TOTAL else b"" for p in phrase], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.string()), text, pa.array(words, pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "words", "n"]
-    )
+            out.append((part, chunk.langs[chunk.lang[a]], phrase, n, count))
+    out.sort(key=lambda row: row[0])
+    part, lang, phrase, words, n = zip(*out)
+    text = pa.array([p or b"" for p in phrase], pa.binary()).cast(pa.string())
+    rows = pa.RecordBatch.from_arrays([pa.array(lang), text, pa.array(words, pa.int32()), pa.array(n, pa.int64())], schema=_COUNTS)
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    blobs = [_written(rows.slice(a, b - a)) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
+    return pa.RecordBatch.from_arrays([pa.array(np.array(part, np.int64)[at]), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def _written(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _COUNTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    keys = ["lang", "phrase", "words"]
+    return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"]).select(_COUNTS.names)
+
+
+def _add_up(batches, least: int) -> Iterator[pa.RecordBatch]:
+    """Sums over the blobs of each part, and the phrases that reach ``least``."""
+
+    def settled(held):
+        found = _added(held)
+        reach = pa.compute.or_(pa.compute.equal(found["words"], 0), pa.compute.greater_equal(found["n"], least))
+        return found.filter(reach).to_batches()
+
+    now, held, rows = None, [], 0
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if part != now and held:
+                yield from settled(held)
+                held, rows = [], 0
+            now = part
+            held.append(pa.ipc.open_stream(blob).read_all())
+            rows += held[-1].num_rows
+            if rows > ADD_ROWS:
+                held = [_added(held)]
+                rows = 0
+    if held:
+        yield from settled(held)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -247,11 +294,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
     def count(batches):
         for langs, texts in _chunks(batches):
-            yield _exact(langs, texts, bits, marked, longest)
+            yield _exact(langs, texts, bits, marked, longest, parts)
+
+    def add_up(batches):
+        return _add_up(batches, least)
 
-    exact = source.mapInArrow(count, "lang string, phrase string, words int, n long")
-    summed = exact.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    found = stored(summed.where((F.col("words") == 0) | (F.col("n") >= least)), "phrases")
+    # a chunk's counts travel packed: as rows they would be as many as chunks times phrases
+    packed = source.mapInArrow(count, "part long, blob binary").repartition(parts, "part").sortWithinPartitions("part")
+    found = stored(packed.mapInArrow(add_up, "lang string, phrase string, words int, n long"), "phrases")
     totals = materialize(found.where("words = 0").select("lang", "n"), "totals")
     return found.where("words > 0"), totals
 

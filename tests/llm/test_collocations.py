@@ -73,6 +73,17 @@ def test_summaries_keep_what_is_frequent_however_they_merge():
         assert all(known[k] - summary.error <= v <= known[k] for k, v in zip(summary.codes.tolist(), summary.counts.tolist()))
 
 
+def test_exact_counts_of_several_parts_add_up():
+    rows = [(lang or "und", (text or "").encode().translate(c._LOWER)) for lang, text in drawn(9)]
+    everything = np.full(1, np.uint64(2**64 - 1))
+    chunks = [c._exact(*zip(*rows[i : i + 7]), 40, everything, 5, 6) for i in range(0, len(rows), 7)]
+    packed = pa.Table.from_batches(chunks).sort_by("part").to_batches(max_chunksize=3)
+    found = [tuple(r.values()) for b in c._add_up(packed, 4) for r in b.to_pylist()]
+    expected, total = counts([(lang, text.decode()) for lang, text in rows])
+    want = [(g, " ".join(p), len(p), n) for (g, p), n in expected.items() if n >= 4] + [(g, "", 0, n) for g, n in total.items()]
+    assert sorted(found) == sorted(want)
+
+
 def test_survivors_of_several_parts(spark):
     rows = [(lang or "und", (text or "").encode()) for lang, text in drawn(4)]
     df = spark.createDataFrame(rows, "lang string, text binary").repartition(6)
