@@ -35,7 +35,7 @@ LONGEST = 5
 LEAST = 100
 REPORT = 2000
 SLACK = 4
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 """Text that is counted together; a longer one is cut where a piece ends."""
 PART_BYTES = 1 << 23
 """Text whose phrases one part holds."""
