@@ -176,3 +176,38 @@ PROBA_SQL = (
     "UNION ALL SELECT row_id, 'Ensemble', y_true, x, "
     "(1.0::DOUBLE - x) / 2.0::DOUBLE, (1.0::DOUBLE - x) / 2.0::DOUBLE FROM base)"
 )
+
+
+def parted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, y, features, features_scaled): embeddings moved so far apart by their ten
+    labels that every right classifier names the label of every row.
+
+    Each dimension is a staircase over the labels in an order of its own; what is left of
+    the embedding is a step's unevenness. Few distinct values, so a tree sees all of them.
+    """
+    turns = F.array(*[F.lit(m) for m in (1, 3, 7, 9)])
+    step = lambda d: F.pmod(F.col("y") * F.get(turns, d % 4) + d, F.lit(10))
+    uneven = lambda x: F.pmod(F.floor(F.abs(x.cast("double")) * 1000), F.lit(3))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("label").alias("y"), "embedding"
+    )
+    raw = rows.select(
+        "row_id", "y", F.transform("embedding", lambda x, d: (10 * step(d) + uneven(x)).cast("double")).alias("features")
+    )
+    return raw.withColumn("features_scaled", F.transform("features", lambda x: (x - 46.0) / 29.0))
+
+
+def parted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, y, all features): half of the features tell the two classes apart, the other
+    half are the plain statistics, with NULLs for orders without lines.
+
+    A telling feature is NULL in a few rows as well, each in others.
+    """
+    wide = feature_table(spark, sf_dir).withColumn("y", F.pmod("row_id", F.lit(2)).cast("int"))
+
+    def telling(i: int, c: str) -> Column:
+        side = F.col("y") if i % 4 == 1 else 1 - F.col("y")
+        value = 100 * side + F.pmod(F.floor(F.coalesce(F.col(c), F.lit(0.0))), F.lit(9))
+        return F.when((F.pmod("row_id", F.lit(29)) != i) | F.lit(i == 1), value.cast("double")).alias(c)
+
+    return wide.select("row_id", "y", *[telling(i, c) if i % 2 else F.col(c) for i, c in enumerate(FEATURES)])

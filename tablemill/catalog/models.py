@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tablemill.catalog.base import feature_table, query, r, table
+from tablemill.catalog.base import FEATURES, parted_table, parted_vectors, query, r, table
 from tablemill.functions.vectors import argmax_index
-from tablemill.operators import elm, models, prep, splitting
+from tablemill.operators import elm, models, splitting
 from tablemill.operators.calibration import calibrate
-from tablemill.plans import finalize, nested_cv, scoring
-from tablemill.session import materialize
+from tablemill.plans import bundles, finalize, nested_cv, scoring
+from tablemill.plans.ledger import Ledger
+from tablemill.session import materialize, new_path
 
 _LABELS = 10
 _DIMS = 64
@@ -27,46 +28,43 @@ def _vectors(spark, sf_dir):
 
 
 def _predicted(model, rows):
-    """Label, predicted label and largest probability per row."""
+    """Label, predicted label, whether the largest probability is above a half, and their sum."""
     scored = model.score(rows)
     return scored.select(
         "row_id",
         "y",
         argmax_index(F.col("proba")).alias("y_pred"),
-        r(F.array_max("proba"), 6).alias("pmax"),
+        r(F.array_max("proba"), 0).alias("pmax"),
         r(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
     )
 
 
+_LEARNED = "SELECT vec_id AS row_id, label AS y, label AS y_pred, 1.0::DOUBLE AS pmax, 1.0::DOUBLE AS total FROM embeddings"
+
+
 def _train(spark, sf_dir, name, params):
-    rows = _vectors(spark, sf_dir)
+    rows = materialize(parted_vectors(spark, sf_dir), "vectors")
     return _predicted(models.fit_model(name, rows, "y", _LABELS, params), rows)
 
 
-@query("train_rf")
+@query("train_rf", _LEARNED)
 def train_rf(spark, sf_dir):
-    return _train(spark, sf_dir, "RandomForest", {"n_estimators": 20, "max_depth": 5, "criterion": "log_loss"})
+    return _train(spark, sf_dir, "RandomForest", {"n_estimators": 20, "max_depth": 8, "criterion": "log_loss"})
 
 
-@query("train_gb")
+@query("train_gb", _LEARNED)
 def train_gb(spark, sf_dir):
-    """Boosted trees on order features: one binary model per class."""
-    features = ["qty_soma", "price_media", "disc_media", "tax_soma"]
-    wide = materialize(feature_table(spark, sf_dir, ["qty", "price", "disc", "tax"]), "wide")
-    pre = prep.fit_preprocessing(wide, features, threshold=0.99)
-    rows = materialize(prep.apply_preprocessing(wide, pre, ["row_id", "y"]), "gb")
-    model = models.fit_model("GradientBoosting", rows, "y", 3, {"n_estimators": 3, "max_depth": 3})
-    return _predicted(model, rows)
+    return _train(spark, sf_dir, "GradientBoosting", {"n_estimators": 3, "max_depth": 3, "learning_rate": 1.0})
 
 
-@query("train_mlp")
+@query("train_mlp", _LEARNED)
 def train_mlp(spark, sf_dir):
-    return _train(spark, sf_dir, "MLP", {"hidden_layer_sizes": (16,), "max_iter": 30})
+    return _train(spark, sf_dir, "MLP", {"hidden_layer_sizes": (16,), "max_iter": 100})
 
 
-@query("train_elm")
+@query("train_elm", _LEARNED)
 def train_elm(spark, sf_dir):
-    params = {"hidden_units": 40, "activation_function": "tanh", "C": 10.0, "solver": "solution1"}
+    params = {"hidden_units": 100, "activation_function": "tanh", "C": 10.0, "solver": "solution1"}
     return _train(spark, sf_dir, "ELM", params)
 
 
@@ -109,61 +107,110 @@ def elm_gram(spark, sf_dir):
     return rows.select("unit", F.posexplode("values").alias("position", "value")).withColumn("value", r("value", 5))
 
 
-@query("score_model")
+@query("score_model",
+       "SELECT vec_id AS row_id, 10 AS n_classes, 0.0::DOUBLE AS absent_class, "
+       "CASE WHEN label > 0 THEN label END AS y_pred, CASE WHEN label > 0 THEN 1.0::DOUBLE END AS pmax FROM embeddings")
 def score_model(spark, sf_dir):
-    """Fitted without the last class: its probability is there and 0."""
-    rows = _vectors(spark, sf_dir)
-    model = models.fit_model("RandomForest", rows.filter("y < 9"), "y", _LABELS, {"n_estimators": 10})
+    """Fitted without the first class: its probability is there and 0.
+
+    Rows of that class have no right answer: NULL."""
+    rows = materialize(parted_vectors(spark, sf_dir), "vectors")
+    params = {"n_estimators": 10, "max_depth": 8, "criterion": "entropy"}
+    model = models.fit_model("RandomForest", rows.filter("y > 0"), "y", _LABELS, params)
     scored = model.score(rows)
+    known = F.col("y") > 0
     return scored.select(
-        "row_id", F.size("proba").alias("n_classes"), F.get("proba", F.lit(9)).alias("absent_class"),
-        r(F.array_max("proba"), 6).alias("pmax"),
+        "row_id", F.size("proba").alias("n_classes"), F.get("proba", F.lit(0)).alias("absent_class"),
+        F.when(known, argmax_index(F.col("proba"))).alias("y_pred"),
+        F.when(known, r(F.array_max("proba"), 0)).alias("pmax"),
     )
 
 
-@query("calibrate")
+@query("calibrate", _LEARNED)
 def calibrate_(spark, sf_dir):
     """Sigmoid calibration of a forest over three stratified folds."""
-    rows = splitting.stratified_kfold(_vectors(spark, sf_dir), "row_id", "y", 3, 42, out="cal_fold")
+    rows = splitting.stratified_kfold(parted_vectors(spark, sf_dir), "row_id", "y", 3, 42, out="cal_fold")
     rows = materialize(rows, "cal")
 
     def fit(part):
-        return models.fit_model("RandomForest", part, "y", _LABELS, {"n_estimators": 10, "max_depth": 4})
+        return models.fit_model("RandomForest", part, "y", _LABELS, {"n_estimators": 10, "max_depth": 8, "criterion": "entropy"})
 
     return _predicted(calibrate(rows, fit, "y", _LABELS, "cal_fold", 3), rows)
 
 
-@query("grid_search")
+# Trials that every right model gets right, and as the last a penalty no solution exists for.
+_TRIALS = {
+    "RandomForest": {"n_estimators": [5, 10], "max_depth": [8], "criterion": ["entropy"]},
+    "GradientBoosting": {"n_estimators": [2], "max_depth": [3], "learning_rate": [1.0]},
+    "MLP": {"hidden_layer_sizes": [[16], [24]], "max_iter": [100]},
+    "ELM": {"hidden_units": [100], "activation_function": ["tanh"], "C": [10, 0], "random_type": ["normal"], "solver": ["no_re", "solution1"]},
+}
+
+
+def _trial_rows():
+    for name, grid in _TRIALS.items():
+        for i, p in enumerate(nested_cv.tuning.combinations(grid), start=1):
+            failed = p.get("C") == 0 and p["solver"] == "solution1"
+            yield f"('{name}-{i}', {'NULL' if failed else '1.0'}::DOUBLE, {0 if failed else 3}::BIGINT, {3 if failed else 0}::BIGINT)"
+
+
+@query("grid_search", f"SELECT * FROM (VALUES {', '.join(_trial_rows())}) t(trial, mean_accuracy, n_ok, n_failed)")
 def grid_search(spark, sf_dir):
-    """Trial log of forests and random-layer models over stratified inner folds."""
+    """Trial log of all four models over stratified inner folds."""
     s = nested_cv.Settings(k=_LABELS, inner_splits=3)
-    dealt = materialize(splitting.stratified_kfold(_vectors(spark, sf_dir), "row_id", "y", 3, 42), "grid")
+    dealt = materialize(splitting.stratified_kfold(parted_vectors(spark, sf_dir), "row_id", "y", 3, 42), "grid")
     splits = [(*splitting.split_train_test(dealt, f), None) for f in range(1, 4)]
-    forest = nested_cv.grid_search("RandomForest", splits, s, {"n_estimators": [5, 10], "max_depth": [3, 5]})
-    layers = nested_cv.grid_search("ELM", splits, s)
-    return nested_cv.tuning.trial_log(
-        forest.withColumn("trial", F.concat(F.lit("RandomForest-"), "trial")).unionByName(
-            layers.withColumn("trial", F.concat(F.lit("ELM-"), "trial"))
-        )
-    )
+    trials = None
+    for name, grid in _TRIALS.items():
+        found = nested_cv.grid_search(name, splits, s, grid).withColumn("trial", F.concat(F.lit(f"{name}-"), "trial"))
+        trials = found if trials is None else trials.unionByName(found)
+    return nested_cv.tuning.trial_log(trials)
 
 
 _SMALL = {
-    "RandomForest": {"n_estimators": 10, "max_depth": 5},
-    "GradientBoosting": {"n_estimators": 2, "max_depth": 3},
-    "MLP": {"hidden_layer_sizes": [8], "max_iter": 20},
-    "ELM": {"hidden_units": 20, "activation_function": "sigmoid", "C": 1.0, "solver": "solution2"},
+    "RandomForest": {"n_estimators": 10, "max_depth": 5, "max_features": "all"},
+    "GradientBoosting": {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.5},
+    "MLP": {"hidden_layer_sizes": [8], "max_iter": 60},
+    "ELM": {"hidden_units": 60, "activation_function": "sigmoid", "C": 100.0, "solver": "solution2"},
 }
-_FINAL_FEATURES = ["qty_soma", "price_media", "disc_media", "tax_desvio", "qty_desvio"]
 
 
 def _bundle(spark, sf_dir):
-    wide = materialize(feature_table(spark, sf_dir, ["qty", "price", "disc", "tax"]), "wide")
-    s = nested_cv.Settings(k=3)
-    return wide, finalize.fit_final(wide, _FINAL_FEATURES, ["F", "O", "P"], _SMALL, s)
+    """All features, fitted, stored and read again."""
+    wide = materialize(parted_table(spark, sf_dir), "wide")
+    s = nested_cv.Settings(k=2, threshold=1.0)
+    path = new_path(spark, "bundles")
+    bundles.save_bundle(spark, finalize.fit_final(wide, FEATURES, ["even", "odd"], _SMALL, s), path)
+    return wide, bundles.load_bundle(spark, path)
+
+
+_FOLD_GRIDS = {
+    "RandomForest": {"n_estimators": [5], "max_depth": [3, 5], "max_features": ["all"]},
+    "GradientBoosting": {"n_estimators": [3], "max_depth": [2], "learning_rate": [0.5]},
+    "MLP": {"hidden_layer_sizes": [[8]], "max_iter": [60]},
+    "ELM": {"hidden_units": [60], "activation_function": ["sigmoid"], "C": [1, 100], "random_type": ["normal"], "solver": ["no_re", "solution2"]},
+}
 
 
-@query("fit_final")
+@query("nested_cv_fold",
+       "WITH folds AS (SELECT o_orderkey AS row_id, (o_orderkey % 2)::INTEGER AS y, ((row_number() OVER (PARTITION BY o_orderkey % 2 "
+       "ORDER BY md5(o_orderkey || '-42'), o_orderkey) - 1) % 5 + 1)::INTEGER AS fold FROM orders) "
+       "SELECT fold, m AS model, row_id, y AS y_true, y AS y_pred, 1.0::DOUBLE AS pmax FROM folds, "
+       "(VALUES ('RandomForest'), ('GradientBoosting'), ('MLP'), ('ELM'), ('Ensemble')) v(m) WHERE fold = 1")
+def nested_cv_fold(spark, sf_dir):
+    """The first of five outer folds: inner searches of all models, fits and predictions,
+    read from the ledger the run leaves."""
+    wide = materialize(parted_table(spark, sf_dir), "wide")
+    s = nested_cv.Settings(k=2, outer_splits=5, inner_splits=2, threshold=1.0, grids=_FOLD_GRIDS)
+    later = spark.createDataFrame([(f,) for f in range(2, 6)], "fold int")
+    ledger = Ledger(spark, new_path(spark, "ledger"))
+    (found,) = nested_cv.run_nested_cv(wide, FEATURES, s, done=later, ledger=ledger)
+    return found.predictions.select("fold", "model", "row_id", "y_true", "y_pred", r(F.array_max("proba"), 0).alias("pmax"))
+
+
+@query("fit_final",
+       "SELECT m AS model, 1.0::DOUBLE AS accuracy, (SELECT count(*) FROM orders) AS n "
+       "FROM (VALUES ('RandomForest'), ('GradientBoosting'), ('MLP'), ('ELM'), ('Ensemble')) v(m)")
 def fit_final(spark, sf_dir):
     """All four models on all rows; share of rows each of them and the ensemble gets right."""
     wide, bundle = _bundle(spark, sf_dir)
@@ -180,16 +227,18 @@ def fit_final(spark, sf_dir):
     return scored.agg(F.array(*hits).alias("h")).select(F.inline("h"))
 
 
-@query("score_batch")
+@query("score_batch",
+       "SELECT o_orderkey AS composition, CASE o_orderkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS phase_top1, "
+       "1.0::DOUBLE AS proba_top1, CASE o_orderkey % 2 WHEN 0 THEN 'odd' ELSE 'even' END AS phase_top2, 0.0::DOUBLE AS proba_top2, "
+       "(1 - o_orderkey % 2)::DOUBLE AS proba_even, (o_orderkey % 2)::DOUBLE AS proba_odd FROM orders")
 def score_batch(spark, sf_dir):
-    """New rows under other column spellings, one column missing and one not needed."""
+    """New rows through a stored bundle: other column spellings, text cells, one column
+    missing and one not needed."""
     wide, bundle = _bundle(spark, sf_dir)
+    short = {"minimo": "min", "maximo": "max", "soma": "sum", "media": "mean", "desvio": "std"}
+    renamed = [F.col(c).alias(f"{v}_{short[e]}") for c in FEATURES[2:] for v, e in [c.rsplit("_", 1)]]
     incoming = wide.select(
-        F.col("row_id").alias("composition"),
-        F.col("qty_soma").cast("string").alias("qty_sum"),
-        F.col("price_media").alias("price_mean"),
-        F.col("disc_media"),
-        F.col("tax_desvio").alias("tax_std"),
+        F.col("row_id").alias("composition"), F.col(FEATURES[1]).cast("string").alias(FEATURES[1]), *renamed,
         F.lit(1.0).alias("Keq_x"),
     )
     found = scoring.score_table(incoming, bundle, ["composition"], write_full_proba=True)
@@ -197,5 +246,5 @@ def score_batch(spark, sf_dir):
         "composition",
         "phase_top1",
         "phase_top2",
-        *[r(c, 6).alias(c) for c in found.columns if c.startswith("proba_")],
+        *[r(c, 0).alias(c) for c in found.columns if c.startswith("proba_")],
     )

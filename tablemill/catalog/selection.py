@@ -59,8 +59,10 @@ _FILLED = "filled AS (SELECT " + ", ".join(f"coalesce({c}, (SELECT median({c}) F
        "(SELECT feature_j FROM p WHERE r > 0.59)")
 def pearson_filter(spark, sf_dir):
     wide = materialize(feature_table(spark, sf_dir), "wide")
-    filled = prep.impute(wide, prep.exact_medians(wide, FEATURES))
-    pairs = selection.pearson_pairs(filled, FEATURES)
+    medians, facts = prep.exact_medians(wide, FEATURES), prep.column_facts(wide, FEATURES)
+    # the means after imputation follow from the facts before it
+    centre = [prep.filled_moments(facts[c], medians[c])[0] for c in FEATURES]
+    pairs = selection.pearson_pairs(prep.impute(wide, medians), FEATURES, centre)
     names = spark.createDataFrame(
         [(f, i) for i, f in enumerate(FEATURES)], "feature string, position int"
     )

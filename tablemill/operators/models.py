@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.vectors import argmax_index, mean_of_arrays, normalised, one_hot, padded
 from tablemill.operators.elm import ElmModel, fit_elm
+from tablemill.session import materialize
 
 MODEL_NAMES = ("RandomForest", "GradientBoosting", "MLP", "ELM")
 ENSEMBLE = "Ensemble"
@@ -146,15 +147,12 @@ def fit_boosting(df: DataFrame, features: str, label: str, k: int, params: dict
         raise ValueError("GradientBoosting supports loss='log_loss' only")
     options.setdefault("maxDepth", 3)
     options.setdefault("stepSize", 0.1)
-    rows = _training(df, features, label).persist()
-    try:
-        present = [int(r[0]) for r in rows.select("label").distinct().collect()]
-        models = {}
-        for c in sorted(present):
-            binary = rows.select("features", (F.col("label") == c).cast("double").alias("label"))
-            models[c] = GBTClassifier(seed=seed, **options).fit(binary)
-    finally:
-        rows.unpersist()
+    rows = materialize(_training(df, features, label), "boosting")
+    present = [int(r[0]) for r in rows.select("label").distinct().collect()]
+    models = {}
+    for c in sorted(present):
+        binary = rows.select("features", (F.col("label") == c).cast("double").alias("label"))
+        models[c] = GBTClassifier(seed=seed, **options).fit(binary)
     return BoostedClassifier(k, features, params, models)
 
 

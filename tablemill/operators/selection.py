@@ -71,6 +71,65 @@ def pearson_pairs(df: DataFrame, columns: list[str], centre: list[float] | None
     )
 
 
+def fold_pair_sums(df: DataFrame, columns: list[str], fold: str, centre: list[float]) -> DataFrame:
+    """(fold, i, j, n, sa, sb, sab) over the rows of a fold that have both of two columns.
+
+    One pass for all folds; values are taken from ``centre``.
+    """
+    m = len(columns)
+    shift = np.array(centre)
+    rows, cols = np.triu_indices(m, k=1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            folds = batch["fold"].to_numpy()
+            x = batch.drop(columns="fold").to_numpy(dtype=float) - shift
+            for f in np.unique(folds).tolist():
+                own = x[folds == f]
+                here = (~np.isnan(own)).astype(float)
+                own = np.nan_to_num(own, posinf=np.inf, neginf=-np.inf)
+                part = np.stack([here.T @ here, own.T @ here, here.T @ own, own.T @ own])
+                totals[f] = totals[f] + part if f in totals else part
+        for f, total in totals.items():
+            yield pd.DataFrame({"fold": f, **dict(zip(("i", "j", "n", "sa", "sb", "sab"), (rows, cols, *total[:, rows, cols])))})
+
+    source = df.select(F.col(q(fold)).cast("int").alias("fold"), *[F.col(q(c)).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    partial = source.mapInPandas(sums, "fold int, i int, j int, n double, sa double, sb double, sab double")
+    return partial.groupBy("fold", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab")])
+
+
+def correlated_in_splits(sums: DataFrame, splits: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
+    """(split, j): columns with a stronger-than-threshold earlier partner, per split.
+
+    ``sums``: :func:`fold_pair_sums`. ``splits``: (split, fold) of the folds a split holds.
+    ``stats``: (split, i, rows, n, s, q, m) of the columns that vary there: rows, values,
+    their sum and sum of squares and the median, all from the same centre. NULLs count as
+    the median, which the sums of the values alone decide: where one side is missing, the
+    other side's sum is what it has in all less what it has where both are there.
+    """
+    side = lambda x, i: stats.select("split", F.col("i").alias(i), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s", "q", "m")])
+    both = sums.join(splits, "fold").groupBy("split", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab")])
+    sized = stats.groupBy("split").agg(F.max("rows").alias("rows"))
+    joined = both.join(side("a", "i"), ["split", "i"]).join(side("b", "j"), ["split", "j"]).join(sized, "split")
+    rows = F.col("rows")
+
+    def filled(x: str) -> tuple:
+        n, s, sq, m = (F.col(f"{c}_{x}") for c in ("n", "s", "q", "m"))
+        total = s + (rows - n) * m
+        return total, F.greatest(sq + (rows - n) * m * m - total * total / rows, F.lit(0.0))
+
+    (sum_a, var_a), (sum_b, var_b) = filled("a"), filled("b")
+    cross = (
+        F.col("sab")
+        + F.col("m_b") * (F.col("s_a") - F.col("sa"))
+        + F.col("m_a") * (F.col("s_b") - F.col("sb"))
+        + F.col("m_a") * F.col("m_b") * (rows - F.col("n_a") - F.col("n_b") + F.col("n"))
+    )
+    r = F.abs(F.try_divide(cross - sum_a * sum_b / rows, F.sqrt(var_a) * F.sqrt(var_b)))
+    return joined.where(r > threshold).select("split", "j").distinct()
+
+
 def pearson_matrix(pairs: DataFrame) -> DataFrame:
     """Both halves of the matrix from the pairs with i < j."""
     other = pairs.select(

@@ -15,10 +15,11 @@ from tablemill.operators import tuning
 from tablemill.operators.calibration import calibrate, can_calibrate
 from tablemill.operators.elm import grid_accuracy
 from tablemill.operators.models import ENSEMBLE, MODEL_NAMES, Classifier, fit_model
-from tablemill.operators.prep import Preprocessing, apply_preprocessing, fit_preprocessing
+from tablemill.operators.prep import Preprocessing, apply_preprocessing, fit_preprocessing_splits
 from tablemill.operators.selection import perm_importance, pfi_aggregate, pick_topk
 from tablemill.operators.splitting import class_counts, inner_split_count, split_train_test, stratified_kfold
-from tablemill.session import materialize
+from tablemill.plans.ledger import Ledger
+from tablemill.session import materialize, new_path
 
 
 @dataclass
@@ -56,14 +57,21 @@ class FoldResult:
     features: dict[str, list[str]]
 
 
-def prepared_split(
-    train: DataFrame, test: DataFrame, features: list[str], s: Settings
-) -> tuple[DataFrame, DataFrame, Preprocessing]:
-    """Preprocessing fitted on ``train`` only, both sides written once for many fits."""
-    pre = fit_preprocessing(train, features, s.threshold)
+def prepared_splits(
+    dealt: DataFrame, features: list[str], folds: list[int], s: Settings, fold_column: str = "inner_fold"
+) -> dict[int | None, tuple[DataFrame, DataFrame, Preprocessing]]:
+    """(train, validation, preprocessing) of every fold, and under None of the whole table.
+
+    All fits share their looks at the stored table ``dealt``. A split is an expression over
+    that table, one filter and one select, and is never written.
+    """
+    fitted = fit_preprocessing_splits(dealt, features, fold_column, [None, *folds], s.threshold)
     keep = [s.row_id, s.label]
-    ready = [materialize(apply_preprocessing(d, pre, keep), "prepared") for d in (train, test)]
-    return ready[0], ready[1], pre
+    out = {}
+    for fold, pre in fitted.items():
+        train, valid = (dealt, dealt.limit(0)) if fold is None else split_train_test(dealt, fold, fold_column)
+        out[fold] = (apply_preprocessing(train, pre, keep), apply_preprocessing(valid, pre, keep), pre)
+    return out
 
 
 def inner_fold_count(train: DataFrame, s: Settings) -> int:
@@ -119,8 +127,9 @@ def inner_importance(
         model = fit_model(name, train, s.label, s.k, params, s.seed)
         source = model.features
         names = pre.final_features
-        wide = valid.select(
-            s.row_id, s.label, *[F.get(F.col(source), F.lit(i)).alias(f) for i, f in enumerate(names)]
+        # read once for every feature and repeat
+        wide = materialize(
+            valid.select(s.row_id, s.label, *[F.get(F.col(source), F.lit(i)).alias(f) for i, f in enumerate(names)]), "valid"
         )
 
         def predict(df: DataFrame, model=model, source=source, names=names) -> DataFrame:
@@ -131,56 +140,72 @@ def inner_importance(
     return pfi_aggregate(parts, len(splits))
 
 
-def run_outer_fold(df: DataFrame, features: list[str], fold: int, s: Settings, fold_column: str = "fold") -> FoldResult:
-    """Tune, fit and predict one outer fold of a table that carries its fold numbers."""
+def tuned_choice(
+    name: str, splits: list[tuple[DataFrame, DataFrame, Preprocessing]], final: list[str], s: Settings, fold: int, ledger: Ledger
+) -> tuple[dict, float, list[str]]:
+    """Parameters, inner accuracy and features of one model, from the ledger or by search."""
+    if (fold, name) in ledger.done("choices"):
+        return ledger.choice(fold, name)
+    if (fold, name) not in ledger.done("trials"):
+        ledger.put("trials", grid_search(name, splits, s).withColumnRenamed("fold", "inner_fold"), fold, name)
+    params, accuracy = best_params(ledger.get("trials", fold, name).withColumnRenamed("inner_fold", "fold"))
+    used = final
+    if s.top_features:
+        scores = inner_importance(name, params, splits, s)
+        available = scores.sparkSession.createDataFrame(list(enumerate(final)), "position int, feature string")
+        used = [r["feature"] for r in pick_topk(scores, available, s.top_features).orderBy("rank").collect()]
+    ledger.put_choice(fold, name, params, accuracy, used)
+    return params, accuracy, used
+
+
+def run_outer_fold(
+    df: DataFrame, features: list[str], fold: int, s: Settings, fold_column: str = "fold", ledger: Ledger | None = None
+) -> FoldResult:
+    """Tune, fit and predict one outer fold of a table that carries its fold numbers.
+
+    What the ledger holds is not done again: a fold with predictions is read, a model with
+    a choice is not tuned. Without a ledger the run keeps its own.
+    """
+    ledger = ledger or Ledger(df.sparkSession, new_path(df.sparkSession, "ledger"))
+    if (fold, ENSEMBLE) not in ledger.done("predictions"):
+        _finish_fold(df, features, fold, s, fold_column, ledger)
+    chosen, inner_scores, used = {}, {}, {}
+    for name in MODEL_NAMES:
+        chosen[name], inner_scores[name], used[name] = ledger.choice(fold, name)
+    return FoldResult(fold, ledger.predictions(fold), chosen, inner_scores, used)
+
+
+def _finish_fold(df: DataFrame, features: list[str], fold: int, s: Settings, fold_column: str, ledger: Ledger) -> None:
     train, test = split_train_test(df, fold, fold_column)
     train = train.drop(fold_column)
     k_inner = inner_fold_count(train, s)
-    inner = materialize(
-        stratified_kfold(train, s.row_id, s.label, k_inner, s.seed, out="inner_fold"), "inner"
-    )
-    splits = []
-    for f in range(1, k_inner + 1):
-        tr, va = split_train_test(inner, f, "inner_fold")
-        splits.append(prepared_split(tr, va, features, s))
-    full_train, full_test, pre = prepared_split(train, test, features, s)
-    chosen, inner_scores, used, models = {}, {}, {}, {}
-    ready = {}
-    for name in MODEL_NAMES:
-        chosen[name], inner_scores[name] = best_params(grid_search(name, splits, s))
-        used[name] = pre.final_features
-        ready[name] = (full_train, full_test)
-        if s.top_features:
-            scores = inner_importance(name, chosen[name], splits, s)
-            available = train.sparkSession.createDataFrame(
-                list(enumerate(pre.final_features)), "position int, feature string"
-            )
-            picked = pick_topk(scores, available, s.top_features).orderBy("rank").collect()
-            used[name] = [r["feature"] for r in picked]
-            positions = [pre.final_features.index(f) for f in used[name]]
-            ready[name] = tuple(_narrowed(d, positions) for d in (full_train, full_test))
-        models[name] = fit_tuned(name, ready[name][0], chosen[name], s)
-    scored = full_test.select(s.row_id, F.col(s.label).alias("y_true"))
+    inner = materialize(stratified_kfold(train, s.row_id, s.label, k_inner, s.seed, out="inner_fold"), "inner")
+    prepared = prepared_splits(inner, features, list(range(1, k_inner + 1)), s)
+    full_train, _, pre = prepared.pop(None)
+    splits = list(prepared.values())
+    scored = apply_preprocessing(test, pre, [s.row_id, s.label]).withColumnsRenamed({c: f"_all_{c}" for c in ARRAYS})
     for name in MODEL_NAMES:
-        part = models[name].score(ready[name][1], f"proba_{name}").select(s.row_id, f"proba_{name}")
-        scored = scored.join(part, s.row_id)
-    members = [F.col(f"proba_{n}") for n in MODEL_NAMES]
-    scored = scored.withColumn(f"proba_{ENSEMBLE}", mean_of_arrays(members))
+        params, _, used = tuned_choice(name, splits, pre.final_features, s, fold, ledger)
+        positions = [pre.final_features.index(f) for f in used]
+        model = fit_tuned(name, _narrowed(full_train, {c: c for c in ARRAYS}, positions), params, s)
+        # one chain over the rows: no model's scores are joined to another's
+        scored = model.score(_narrowed(scored, {f"_all_{c}": c for c in ARRAYS}, positions), f"proba_{name}")
+    scored = scored.withColumn(f"proba_{ENSEMBLE}", mean_of_arrays([F.col(f"proba_{n}") for n in MODEL_NAMES]))
     packed = F.array(
         *[F.struct(F.lit(n).alias("model"), F.col(f"proba_{n}").alias("proba")) for n in (*MODEL_NAMES, ENSEMBLE)]
     )
-    predictions = scored.select(
-        F.lit(fold).alias("fold"), s.row_id, "y_true", F.inline(packed)
-    ).withColumn("y_pred", argmax_index(F.col("proba")))
-    return FoldResult(fold, predictions, chosen, inner_scores, used)
+    rows = scored.select(F.lit(fold).alias("fold"), s.row_id, F.col(s.label).alias("y_true"), F.inline(packed))
+    ledger.put_predictions(rows.withColumn("y_pred", argmax_index(F.col("proba"))))
+
 
+ARRAYS = ("features", "features_scaled")
 
-def _narrowed(df: DataFrame, positions: list[int]) -> DataFrame:
-    def pick(c: str):
-        return F.array(*[F.get(F.col(c), F.lit(i)) for i in positions]).alias(c)
 
-    others = [c for c in df.columns if c not in ("features", "features_scaled")]
-    return df.select(*others, pick("features"), pick("features_scaled"))
+def _narrowed(df: DataFrame, arrays: dict[str, str], positions: list[int]) -> DataFrame:
+    """The entries at ``positions`` of array columns, under the names given."""
+    return df.withColumns(
+        {new: F.array(*[F.get(F.col(c), F.lit(i)) for i in positions]) for c, new in arrays.items()}
+    )
 
 
 def fit_tuned(name: str, train: DataFrame, params: dict, s: Settings) -> Classifier:
@@ -198,10 +223,19 @@ def fit_tuned(name: str, train: DataFrame, params: dict, s: Settings) -> Classif
     return calibrate(dealt, fit, s.label, s.k, "cal_fold", s.calibration_folds, s.calibration)
 
 
-def run_nested_cv(df: DataFrame, features: list[str], s: Settings, done: DataFrame | None = None) -> list[FoldResult]:
-    """All outer folds that are not done yet. Folds come from the stratified rule."""
+def run_nested_cv(
+    df: DataFrame, features: list[str], s: Settings, done: DataFrame | None = None, ledger: Ledger | None = None
+) -> list[FoldResult]:
+    """All outer folds that are not in ``done``. Folds come from the stratified rule.
+
+    With a ledger, folds it holds are read from it and a run that was stopped goes on where
+    it stood: the folds depend on ids and seed alone, so a restart deals the same ones.
+    """
     spark = df.sparkSession
-    dealt = materialize(stratified_kfold(df, s.row_id, s.label, s.outer_splits, s.seed), "outer")
     planned = spark.createDataFrame([(f,) for f in range(1, s.outer_splits + 1)], "fold int")
     todo = planned if done is None else tuning.pending_folds(planned, done)
-    return [run_outer_fold(dealt, features, r["fold"], s) for r in todo.orderBy("fold").collect()]
+    folds = [r["fold"] for r in todo.orderBy("fold").collect()]
+    finished = ledger.done("predictions") if ledger else set()
+    open_ = [f for f in folds if (f, ENSEMBLE) not in finished]
+    dealt = materialize(stratified_kfold(df, s.row_id, s.label, s.outer_splits, s.seed), "outer") if open_ else df
+    return [run_outer_fold(dealt, features, f, s, ledger=ledger) for f in folds]

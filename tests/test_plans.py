@@ -1,9 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablemill.catalog.base import feature_table
+from tablemill.operators.models import MODEL_NAMES
 from tablemill.plans import finalize, nested_cv, scoring
-from tablemill.session import materialize, new_path
+from tablemill.plans.ledger import Ledger
+from tablemill.session import materialize, new_path, shared_dir
 from tablemill.sources import sinks, tables
 from tablemill.streaming.scoring import score_stream
 
@@ -53,6 +57,44 @@ def test_done_folds_are_skipped(spark, wide, results):
     assert nested_cv.run_nested_cv(wide, FEATURES, s, done) == []
 
 
+def test_a_run_goes_on_where_it_stopped(spark, wide, monkeypatch):
+    """Folds in the ledger are read; models with a choice are fitted once and not tuned."""
+    s = nested_cv.Settings(k=3, outer_splits=2, inner_splits=2, grids=GRIDS, threshold=0.8)
+    fits, searches = [], []
+    fit, search = nested_cv.fit_model, nested_cv.grid_search
+    monkeypatch.setattr(nested_cv, "fit_model", lambda name, *a, **k: fits.append(name) or fit(name, *a, **k))
+    monkeypatch.setattr(nested_cv, "grid_search", lambda name, *a, **k: searches.append(name) or search(name, *a, **k))
+    whole = Ledger(spark, new_path(spark, "ledger"))
+    later = spark.createDataFrame([(2,)], "fold int")
+    (first,) = nested_cv.run_nested_cv(wide, FEATURES, s, later, whole)
+    assert len(searches) == 4 and whole.done("predictions") == {(1, m) for m in (*MODEL_NAMES, "Ensemble")}
+    fits.clear(), searches.clear()
+    (again,) = nested_cv.run_nested_cv(wide, FEATURES, s, later, whole)
+    assert fits == [] and searches == []
+    assert again.best_params == first.best_params and again.features == first.features
+    assert again.predictions.exceptAll(first.predictions).count() == 0
+
+    # stopped after two models were tuned
+    half = Ledger(spark, new_path(spark, "ledger"))
+    for kind in ("trials", "choices"):
+        for name in ("RandomForest", "ELM"):
+            half.put(kind, whole.get(kind, 1, name), 1, name)
+    (rest,) = nested_cv.run_nested_cv(wide, FEATURES, s, later, half)
+    assert sorted(searches) == ["GradientBoosting", "MLP"]
+    assert rest.best_params == first.best_params
+    key = lambda df: sorted((r.model, r.row_id, r.y_pred) for r in df.collect())
+    assert key(rest.predictions.filter("model = 'RandomForest'")) == key(first.predictions.filter("model = 'RandomForest'"))
+
+
+def test_splits_are_not_copied(spark, wide):
+    """Preparing five splits writes nothing."""
+    dealt = materialize(nested_cv.stratified_kfold(wide, "row_id", "y", 5, 1, out="inner_fold"), "inner")
+    before = set(os.listdir(shared_dir(spark)))
+    prepared = nested_cv.prepared_splits(dealt, FEATURES, [1, 2, 3, 4, 5], nested_cv.Settings(k=3))
+    assert set(os.listdir(shared_dir(spark))) == before
+    assert sum(prepared[f][1].count() for f in range(1, 6)) == prepared[None][0].count() == wide.count()
+
+
 def test_final_bundle_scores_batch_and_stream(spark, wide):
     s = nested_cv.Settings(k=3)
     params = {n: {k: v[0] for k, v in g.items()} for n, g in GRIDS.items()}
