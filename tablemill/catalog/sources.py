@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablemill.catalog.base import (
+    FEATURES,
     FEAT_SQL,
     PRED_SQL,
     PRIORITY,
@@ -54,15 +55,12 @@ def src_table_formats(spark, sf_dir):
     return out
 
 
-_BUNDLE_COLS = ["qty_soma", "qty_media", "disc_media", "tax_desvio"]
-
-
 @query("src_bundle",
-       f"WITH {FEAT_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(median({c}), 8) AS median FROM feat" for c in _BUNDLE_COLS))
+       f"WITH {FEAT_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(median({c}), 8) AS median FROM feat" for c in FEATURES))
 def src_bundle(spark, sf_dir):
     """Fit a bundle, write it as JSON, read it back and list its medians."""
-    wide = materialize(feature_table(spark, sf_dir, ["qty", "disc", "tax"]), "wide")
-    pre = prep.fit_preprocessing(wide, _BUNDLE_COLS)
+    wide = materialize(feature_table(spark, sf_dir), "wide")
+    pre = prep.fit_preprocessing(wide, FEATURES)
     path = new_path(spark, "bundle")
     spark.createDataFrame([(pre.to_json(),)], "value string").coalesce(1).write.text(path)
     bundle = tables.read_bundle(spark, path)
@@ -115,11 +113,11 @@ def sink_metrics(spark, sf_dir):
 
 
 @query("sink_preds",
-       f"WITH {PROBA_SQL}, {_TOP2_SQL} SELECT row_id, phase_top1, round(proba_top1, 12) AS proba_top1, phase_top2, round(proba_top2, 12) AS proba_top2, "
-       "round(p0, 12) AS \"proba_F\", round(p1, 12) AS \"proba_O\", round(p2, 12) AS \"proba_P\" FROM top2 WHERE model = 'RandomForest'")
+       f"WITH {PROBA_SQL}, {_TOP2_SQL} SELECT model, row_id, phase_top1, round(proba_top1, 12) AS proba_top1, phase_top2, round(proba_top2, 12) AS proba_top2, "
+       "round(p0, 12) AS \"proba_F\", round(p1, 12) AS \"proba_O\", round(p2, 12) AS \"proba_P\" FROM top2")
 def sink_preds(spark, sf_dir):
-    rows = probabilities(spark, sf_dir).filter("model = 'RandomForest'")
-    found = sinks.predictions_table(rows, ["row_id"], STATUS, write_full_proba=True)
+    rows = probabilities(spark, sf_dir)
+    found = sinks.predictions_table(rows, ["model", "row_id"], STATUS, write_full_proba=True)
     path = new_path(spark, "scored")
     found.write.parquet(path)
     return _rounded(spark.read.parquet(path), [c for c in found.columns if c.startswith("proba_")], 12)
