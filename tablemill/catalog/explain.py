@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog.base import query, r, table
 from tablemill.operators import explain
+from tablemill.session import materialize
 
 _FEATURES = ["size", "kind", "shade"]
 # Weights of the linear scorer: feature x class.
@@ -54,6 +55,31 @@ def kernel_shap(spark, sf_dir):
     return linear_values(spark, sf_dir).withColumn("phi", r("phi"))
 
 
+_SUPPLIER = {"nation": [2.0, -1.0], "balance": [0.001, 0.5], "digit": [-0.5, 0.25]}
+_SUPPLIERS_SQL = "sx AS (SELECT s_suppkey, s_nationkey::DOUBLE AS nation, s_acctbal::DOUBLE AS balance, (s_suppkey % 7)::DOUBLE AS digit FROM supplier)"
+
+
+@query("kernel_shap_scorer",
+       f"WITH {_SUPPLIERS_SQL} " + " UNION ALL ".join(
+           f"SELECT s_suppkey, {c} AS class, '{f}' AS feature, round({w[c]}::DOUBLE * ({f} - avg({f}) OVER ()), 5) + 0.0 AS phi FROM sx"
+           for f, w in _SUPPLIER.items() for c in range(2)))
+def kernel_shap_scorer(spark, sf_dir):
+    """All suppliers against all suppliers, through a scorer that is given as a DataFrame function."""
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_nationkey").cast("double").alias("nation"), F.col("s_acctbal").cast("double").alias("balance"),
+        F.pmod("s_suppkey", F.lit(7)).cast("double").alias("digit"),
+    )
+    rows = materialize(rows, "suppliers")
+
+    def score(df):
+        each = [sum((F.lit(w[c]) * F.col(f) for f, w in _SUPPLIER.items()), F.lit(0.0)) for c in range(2)]
+        return df.withColumn("proba", F.array(*each))
+
+    names = list(_SUPPLIER)
+    background = materialize(explain.background_points(rows, names), "points")
+    return explain.explain_scorer(rows, "s_suppkey", names, background, score, 2, points_per_slice=500).withColumn("phi", r("phi", 5))
+
+
 @query("shap_expected",
        f"WITH {_PARTS_SQL} " + " UNION ALL ".join(
            f"SELECT {c} AS class, round(avg(" + " + ".join(f"{_WEIGHTS[j][c]}::DOUBLE * {f}" for j, f in enumerate(_FEATURES))

@@ -150,6 +150,92 @@ def kernel_shap(
     )
 
 
+def explain_scorer(
+    df: DataFrame,
+    row_id: str,
+    features: list[str],
+    background: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    n_classes: int,
+    n_samples: int | None = None,
+    seed: int = 42,
+    points_per_slice: int = 200,
+) -> DataFrame:
+    """Shapley values of anything that scores a DataFrame: ``row_id, class, feature, phi``.
+
+    ``score`` gets the feature columns beside others and adds ``proba`` (an array of scores),
+    keeping the others, so models, pipelines and their ensemble are explained alike.
+    ``background`` (:func:`background_points`) is taken in slices of about
+    ``points_per_slice`` points. In a slice each row is mixed with its points in every
+    coalition inside the row's own task, scored there, and summed to one value a coalition
+    before anything is shuffled. Rows need distinct ids; pass stored tables.
+    """
+    m = len(features)
+    masks, weights = coalitions(m, n_samples, seed)
+    project = projector(masks, weights)
+    quoted = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
+    facts = background.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast("double").alias("total")).first()
+    points = background.select(*quoted, (F.col("weight") / F.lit(facts["total"])).alias("_share"))
+    means = score(points).agg(*[F.sum(F.col("_share") * F.get("proba", F.lit(c))).alias(f"b{c}") for c in range(n_classes)]).first()
+    base = np.array([means[f"b{c}"] for c in range(n_classes)])
+    rows = df.select(F.col(f"`{row_id}`").alias("_id"), *quoted)
+    key_type = df.schema[row_id].dataType.simpleString()
+    n_slices = max(1, -(-facts["n"] // points_per_slice))
+    slot = F.pmod(F.xxhash64(*[F.col(f"`{f}`") for f in features]), F.lit(n_slices))
+    summed = None
+    for x in range(n_slices) if len(masks) else ():
+        at = points.where(slot == x).toPandas()
+        if len(at):
+            mixed = rows.mapInPandas(
+                _mixed(features, masks, at[features].to_numpy(dtype=float), at["_share"].to_numpy(dtype=float)),
+                f"_id {key_type}, _coalition int, _share double, " + ", ".join(f"`{f}` double" for f in features),
+            )
+            value = [F.sum(F.col("_share") * F.get("proba", F.lit(c))).alias(f"v{c}") for c in range(n_classes)]
+            part = score(mixed).groupBy("_id", "_coalition").agg(*value)
+            summed = part if summed is None else summed.unionByName(part)
+    own = score(rows).select("_id", F.col("proba").alias("_own"))
+    if summed is None:
+        per_row = own.withColumn("_values", F.array().cast("array<array<double>>"))
+    else:
+        total = summed.groupBy("_id", "_coalition").agg(F.array(*[F.sum(f"v{c}") for c in range(n_classes)]).alias("v"))
+        ordered = F.array_sort(F.collect_list(F.struct("_coalition", "v")))
+        per_row = total.groupBy("_id").agg(ordered.alias("_pairs")).join(own, "_id").select(
+            "_id", "_own", F.transform("_pairs", lambda p: p["v"]).alias("_values")
+        )
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for i, whole, values in zip(batch["_id"], batch["_own"], batch["_values"]):
+                seen = np.array([list(v) for v in values], dtype=float).reshape(len(masks), n_classes)
+                phi = project @ (np.vstack([seen, np.array(whole, dtype=float)[None, :n_classes]]) - base)
+                out += [(i, c, f, float(phi[k, c])) for c in range(n_classes) for k, f in enumerate(features)]
+            yield pd.DataFrame(out, columns=["id", "class", "feature", "phi"])
+
+    found = per_row.mapInPandas(solve, f"id {key_type}, class int, feature string, phi double")
+    return found.withColumnRenamed("id", row_id)
+
+
+def _mixed(features: list[str], masks: np.ndarray, points: np.ndarray, shares: np.ndarray, most: int = 1 << 16):
+    """Each row in every coalition with every point, in batches of at most about ``most`` rows."""
+    step = max(1, most // len(points))
+
+    def run(batches):
+        for batch in batches:
+            values = batch[features].to_numpy(dtype=float)
+            for i, row in zip(batch["_id"], values):
+                for a in range(0, len(masks), step):
+                    some = masks[a : a + step]
+                    mixed = np.where(some[:, None, :], row, points[None, :, :]).reshape(-1, len(features))
+                    out = pd.DataFrame(mixed, columns=features)
+                    out.insert(0, "_share", np.tile(shares, len(some)))
+                    out.insert(0, "_coalition", np.repeat(np.arange(a, a + len(some), dtype=np.int32), len(points)))
+                    out.insert(0, "_id", i)
+                    yield out
+
+    return run
+
+
 def _longs(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.operators.models import ENSEMBLE, MODEL_NAMES, Classifier
+from tablemill.operators.models import ENSEMBLE, MODEL_NAMES, Classifier, ensemble_of
 from tablemill.operators.prep import (
     Preprocessing,
     apply_preprocessing,
@@ -51,6 +52,23 @@ def score_batch(df: DataFrame, bundle: Bundle, key: list[str]) -> DataFrame:
     )
 
 
+def scorer(bundle: Bundle, name: str = ENSEMBLE) -> Callable[[DataFrame], DataFrame]:
+    """One model of a bundle, or its ensemble, as a function from feature columns to ``proba``.
+
+    The columns are the bundle's final features, unscaled; whatever else the table has stays.
+    """
+    pre = bundle.pre
+
+    def score(df: DataFrame) -> DataFrame:
+        plain = [F.col(f"`{c}`").cast("double") for c in pre.final_features]
+        scaled = [(v - F.lit(m)) / F.lit(s) for v, m, s in zip(plain, pre.scaler_mean, pre.scaler_scale)]
+        arrays = df.withColumns({"features": F.array(*plain), "features_scaled": F.array(*scaled)})
+        model = ensemble_of(bundle.models, bundle.k) if name == ENSEMBLE else bundle.models[name]
+        return model.score(arrays, "proba").drop("features", "features_scaled")
+
+    return score
+
+
 def score_table(
     df: DataFrame, bundle: Bundle, key: list[str], every_model: bool = False, write_full_proba: bool = False
 ) -> DataFrame:
