@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm.jaccard import similar_documents
@@ -19,22 +19,26 @@ from tablemill.llm.suffixes import remove_repeats
 from tablemill.session import materialize
 
 
-def _with_text(df: DataFrame, columns: list[str], text) -> DataFrame:
-    """``columns`` of ``df`` with another text and its length."""
-    new = df.withColumn("text", text)
-    if "n_chars" in columns:
-        new = new.withColumn("n_chars", F.length("text").cast("long"))
-    return new.select(*[F.col(f"`{c}`") for c in columns])
+def _carried(docs: DataFrame) -> DataFrame:
+    """What operators read, and all other columns as one, so that no name of theirs meets one of these."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "source", "text", F.struct(*others).alias("carried"))
+
+
+def _with_text(df: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """``columns`` out of the carried ones, with another text and its length."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return df.select(*[new.get(c, F.col("carried").getField(c)).alias(c) for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that are boilerplate in their host."""
-    kept = apply_rules(docs).where("kept")
+    kept = apply_rules(_carried(docs)).where("kept")
     return _with_text(kept, docs.columns, F.col("cleaned"))
 
 
 def _same_row(docs: DataFrame, keys: DataFrame):
-    return docs["doc_id"].eqNullSafe(keys["_id"]) & (docs["_hash"] == keys["_of"])
+    return docs["id"].eqNullSafe(keys["_id"]) & (docs["hash"] == keys["_of"])
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -47,8 +51,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of repeated rows of that id one stays. Documents without words or without an id stay
     when nothing of a smaller id is linked with them.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     groups = materialize(similar_documents(docs), "groups")
     # rows of one id may belong to several groups: the hash says which text is whose
     keys = groups.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "component_id", "n_shingles")
@@ -64,8 +68,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # what goes grows with the documents: merged at every size, not broadcast while it is small
     once = _without(keyed, gone.hint("merge"))
     alone = _without(once, repeated)
-    twins = once.join(repeated, _same_row(once, repeated), "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return alone.unionByName(twins).select(*[F.col(f"`{c}`") for c in columns])
+    twins = once.join(repeated, _same_row(once, repeated), "left_semi").dropDuplicates(["id", "hash"])
+    return alone.unionByName(twins).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,14 +78,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Cuts fall between bytes; what is left of a character that was cut goes too. A document
     that had text and has none left goes.
     """
-    out = remove_repeats(docs)
+    out = remove_repeats(_carried(docs))
     left = out.where((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     return _with_text(left, docs.columns, F.col("kept_text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is replaced by its kind in brackets."""
-    return _with_text(detect(docs), docs.columns, F.col("masked"))
+    return _with_text(detect(_carried(docs)), docs.columns, F.col("masked"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,12 +137,18 @@ def apply_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_TE
 
     ``cleaned`` is the text without its boilerplate lines. Null text: no words, rejected.
     Null source: a host of its own. Repeated rows count as one text and each gets its row.
-    Empty table: no rows. Columns of ``docs`` with the names made here are replaced.
+    Empty table: no rows. Columns of ``docs`` stay, whatever their names; those called like
+    a column of the result are replaced.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "cleaned", "row_key", "boilerplate", "lost", "lines_by_share", "lines_by_number", "_words")
-    keyed = docs.drop(*made).withColumn(
-        "row_key", F.xxhash64("doc_id", F.coalesce("source", F.lit("\0")), F.coalesce("text", F.lit("\0")))
-    )
+    made = [
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "removed_words", "lines_by_share", "lines_by_number", "kept", "cleaned",
+    ]
+    stay = [c for c in docs.columns if c not in made]
+    # other columns travel as one, away from the names used on the way
+    others = F.struct(*[F.col(f"`{c}`") for c in stay if c != "text"]).alias("others")
+    row_key = F.xxhash64("doc_id", F.coalesce("source", F.lit("\0")), F.coalesce("text", F.lit("\0"))).alias("row_key")
+    keyed = docs.select(others, "source", "text", row_key)
     lines = line_rows(keyed)
     # rows of one key are equal in id, source and text: their lines count once
     loss = (
@@ -168,14 +174,13 @@ def apply_rules(docs: DataFrame, share: float = LINE_SHARE, least: int = LINE_TE
         .withColumn(
             "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= KEEP_SHARE * F.col("n_words"))
         )
-        .drop("row_key", "boilerplate", "lost")
+        .select(*[F.col("text") if c == "text" else F.col("others").getField(c).alias(c) for c in stay], *made)
     )
 
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    # the query's SQL knows the share alone; the pipeline has the absolute number as well
-    return apply_rules(docs, most=None).select(
+    return apply_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"
     )
 
@@ -206,7 +211,7 @@ WITH d AS (
   SELECT host, count(DISTINCT t) AS texts FROM ln GROUP BY host
 ), freq AS (
   SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM ln GROUP BY host, norm) JOIN hosts USING (host)
-  WHERE n > 20 AND n > 0.05::DOUBLE * texts
+  WHERE n > 20 AND (n > 0.05::DOUBLE * texts OR n > 1000)
 ), gone AS (
   SELECT rid, sum(len(string_split(norm, ' '))) AS removed_words FROM ln JOIN freq USING (host, norm) GROUP BY rid
 )

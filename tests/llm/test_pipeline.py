@@ -88,7 +88,7 @@ def test_run_is_all_stages(spark, docs):
 def test_odd_rows(spark, odd, odd_rows, none, name):
     stage = STAGES[name]
     out = stage(spark, odd, SF)
-    assert out.columns == odd.columns
+    assert out.dtypes == odd.dtypes
     rows = pairs(out)
     if name == "near_copies":
         assert sorted(((i, t or "") for i, t in rows), key=str) == one_of_each(odd_rows)
@@ -101,6 +101,25 @@ def test_odd_rows(spark, odd, odd_rows, none, name):
     assert stage(spark, none, SF).collect() == []
 
 
+HELPERS = (
+    "lost row_key boilerplate _words words n_words kept cleaned others carried host base_failed removed_words row id hash "
+    "_hash _id _of text_hash component_id n_shingles mark kept_text ranges n_bytes base found masked text_2"
+).split()
+
+
+@pytest.mark.parametrize("name", list(STAGES)[:-1])
+def test_columns_called_like_helpers(spark, docs, name):
+    """They come out with their values and types, and the rest is what it is without them."""
+    kinds = [F.col("doc_id").cast("string"), F.array("doc_id"), F.lit(None).cast("date"), F.col("doc_id") / 2]
+    more = [kinds[i % 4].alias(c) for i, c in enumerate(HELPERS)]
+    wide = docs.select("*", *more, F.col("doc_id").alias("a.b"))
+    out = STAGES[name](spark, wide, SF)
+    assert out.dtypes == wide.dtypes
+    assert pairs(out) == pairs(STAGES[name](spark, docs, SF))
+    wrong = [~F.col(c).eqNullSafe(kinds[i % 4]) for i, c in enumerate(HELPERS)]
+    assert out.where(F.greatest(*wrong, F.col("`a.b`") != F.col("doc_id"))).count() == 0
+
+
 def test_packing_of_odd_rows(spark, odd, odd_rows, none):
     check_packed(STAGES["packing"](spark, odd, SF).collect(), odd_rows)
     assert STAGES["packing"](spark, none, SF).collect() == []
