@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.catalog.base import (
@@ -22,7 +25,7 @@ from tablemill.functions.vectors import (
     label_at,
     softmax,
 )
-from tablemill.operators import metrics, ranking
+from tablemill.operators import elm, metrics, ranking
 from tablemill.operators.models import ensemble_proba
 from tablemill.sources.sinks import model_columns, predictions_table
 
@@ -228,7 +231,7 @@ _KNOWN = ["Fluorita", "Mixed", "Spinel"]
 _FOREIGN = {"1-URGENT": " Fluorite", "2-HIGH": "Mixed ", "3-MEDIUM": "Bixbyite", "4-NOT SPECIFIED": None, "5-LOW": "Spinel"}
 
 
-def _external(spark, sf_dir):
+def _external_rows(spark, sf_dir):
     code = F.col("o_orderpriority")
     truth = None
     for k, v in _FOREIGN.items():
@@ -236,8 +239,11 @@ def _external(spark, sf_dir):
         truth = F.when(code == k, value) if truth is None else truth.when(code == k, value)
     status = F.col("o_orderstatus")
     guess = F.when(status == "F", "Fluorita").when(status == "O", "Mixed").otherwise("Spinel")
-    rows = table(spark, sf_dir, "orders").select(truth.alias("truth_text"), guess.alias("guess_text"))
-    return metrics.eval_external(rows, "truth_text", "guess_text", _KNOWN)
+    return table(spark, sf_dir, "orders").select(truth.alias("truth_text"), guess.alias("guess_text"))
+
+
+def _external(spark, sf_dir):
+    return metrics.eval_external(_external_rows(spark, sf_dir), "truth_text", "guess_text", _KNOWN)
 
 
 @query("eval_external",
@@ -247,7 +253,30 @@ def _external(spark, sf_dir):
        "count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')) AS n_rows_evaluated, "
        "'Bixbyite' AS unknown_labels_preview, 'ok' AS status FROM orders")
 def eval_external(spark, sf_dir):
-    return _external(spark, sf_dir)[0]
+    return _external(spark, sf_dir)[0].drop("reason")
+
+
+@query("eval_external_reasons",
+       "WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderpriority <> '4-NOT SPECIFIED') AS l, "
+       "count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')) AS e FROM orders) "
+       "SELECT 'absent' AS kind, n AS n_rows_total, 0 AS n_rows_with_label, 0 AS n_rows_evaluated, 'skipped' AS status, 'no column nothing' AS reason FROM n "
+       "UNION ALL SELECT 'empty', n, 0, 0, 'skipped', 'no label in empty_text' FROM n "
+       "UNION ALL SELECT 'unknown', n, n, 0, 'skipped', 'no known class in unknown_text' FROM n "
+       "UNION ALL SELECT 'known', n, l, e, 'ok', '' FROM n")
+def eval_external_reasons(spark, sf_dir):
+    """Labels that are absent, all empty, of no known class, and as they should be."""
+    rows = _external_rows(spark, sf_dir).withColumns(
+        {"empty_text": F.lit(None).cast("string"), "unknown_text": F.concat(F.lit("Other "), "guess_text")}
+    )
+    labels = {"absent": "nothing", "empty": "empty_text", "unknown": "unknown_text", "known": "truth_text"}
+    facts = [
+        metrics.eval_external(rows, label, "guess_text", _KNOWN)[0].select(
+            F.lit(kind).alias("kind"), "n_rows_total", "n_rows_with_label", "n_rows_evaluated", "status",
+            F.coalesce("reason", F.lit("")).alias("reason"),
+        )
+        for kind, label in labels.items()
+    ]
+    return reduce(DataFrame.unionByName, facts)
 
 
 @query("eval_external_metrics",
@@ -367,10 +396,8 @@ def sink_preds_columns(spark, sf_dir):
        "round(sqrt(avg((y_pred - y_true) * (y_pred - y_true))), 8) AS rmse FROM preds GROUP BY 1")
 def elm_score(spark, sf_dir):
     """Accuracy for labels, root mean square error for values."""
-    gap = (F.col("y_pred") - F.col("y_true")).cast("double")
-    return predictions(spark, sf_dir).groupBy("model").agg(
-        r(F.avg((gap == 0).cast("double")), 8).alias("accuracy"), r(F.sqrt(F.avg(gap * gap)), 8).alias("rmse")
-    )
+    found = elm.elm_score(predictions(spark, sf_dir), "y_true", "y_pred", ["model"])
+    return _rounded(found, ["accuracy", "rmse"])
 
 
 # --- Pareto and rankings --------------------------------------------------------------

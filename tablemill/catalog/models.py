@@ -62,6 +62,13 @@ def train_mlp(spark, sf_dir):
     return _train(spark, sf_dir, "MLP", {"hidden_layer_sizes": (16,), "max_iter": 100})
 
 
+@query("train_mlp_relu", _LEARNED)
+def train_mlp_relu(spark, sf_dir):
+    """Units and a penalty that the built-in network doesn't have."""
+    params = {"hidden_layer_sizes": (16,), "activation": "relu", "alpha": 0.0001, "max_iter": 30}
+    return _train(spark, sf_dir, "MLP", params)
+
+
 @query("train_elm", _LEARNED)
 def train_elm(spark, sf_dir):
     params = {"hidden_units": 100, "activation_function": "tanh", "C": 10.0, "solver": "solution1"}
@@ -97,6 +104,17 @@ def elm_predict(spark, sf_dir):
     )
 
 
+@query("elm_regression",
+       f"WITH {_HIDDEN_SQL} SELECT vec_id, round({' + '.join(f'h{i} * {_BETA[i][0]}::DOUBLE' for i in range(_UNITS))}, 5) + 0.0 AS value FROM hid")
+def elm_regression(spark, sf_dir):
+    """Values that some output weights give exactly: training finds these weights."""
+    rows = _vectors(spark, sf_dir)
+    target = elm.ElmModel(_fixed_layer(), np.array(_BETA)).values(F.col("features"))
+    rows = materialize(rows.select("row_id", "features", target.alias("target")), "values")
+    model = elm.fit_layer(rows, "features", "target", None, _fixed_layer())
+    return rows.select(F.col("row_id").alias("vec_id"), (r(model.values(F.col("features")), 5) + F.lit(0.0)).alias("value"))
+
+
 @query("elm_gram",
        f"WITH {_HIDDEN_SQL} " + " UNION ALL ".join(
            [f"SELECT {i} AS unit, {j} AS position, round(sum(h{i} * h{j}), 5) AS value FROM hid" for i in range(_UNITS) for j in range(_UNITS)]

@@ -64,6 +64,20 @@ def param_grid(spark, sf_dir):
     return tuning.grid_of_tables(tables).withColumn("trial", F.col("trial").cast("long"))
 
 
+@query("param_grid_union",
+       "WITH a AS (SELECT row_number() OVER (ORDER BY l, f) AS trial, l, f FROM (SELECT DISTINCT l_linenumber AS l FROM lineitem), "
+       "(SELECT DISTINCT l_returnflag AS f FROM lineitem)), b AS (SELECT (SELECT count(*) FROM a) + row_number() OVER (ORDER BY s) AS trial, s "
+       "FROM (SELECT DISTINCT l_linestatus AS s FROM lineitem)) SELECT trial, 'line' AS name, l::VARCHAR AS value FROM a "
+       "UNION ALL SELECT trial, 'flag', '\"' || f || '\"' FROM a UNION ALL SELECT trial, 'status', '\"' || s || '\"' FROM b")
+def param_grid_union(spark, sf_dir):
+    """Two grids one after another, values as JSON."""
+    # codes of a line: short lists
+    listed = lambda c: [x[0] for x in table(spark, sf_dir, "lineitem").select(c).distinct().orderBy(c).collect()]
+    grids = [{"line": listed("l_linenumber"), "flag": listed("l_returnflag")}, {"status": listed("l_linestatus")}]
+    found = tuning.param_grid(spark, grids)
+    return found.select(F.col("trial").cast("long").alias("trial"), F.explode("params").alias("name", "value"))
+
+
 def _trials(spark, sf_dir):
     """(trial, fold, accuracy): a trial is a line number and a discount; some folds failed."""
     trial = F.col("l_linenumber") * 100 + F.round(F.col("l_discount") * 100).cast("int")

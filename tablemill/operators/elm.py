@@ -1,4 +1,4 @@
-"""Random-hidden-layer classifier: fixed random layer, output weights by least squares.
+"""Random-hidden-layer model of labels or values: fixed random layer, output weights by least squares.
 
 Training needs only H'H and H'Y, which are sums over rows. Each partition builds its
 matrices block by block, the sums are added up in two levels, and the small systems are
@@ -48,6 +48,22 @@ class ElmModel:
 
         return run(features)
 
+    def values(self, features: Column) -> Column:
+        """Output of a model of values (``fit_elm`` without classes), one number per row."""
+        return F.get(self.scores(features), F.lit(0))
+
+
+def elm_score(df: DataFrame, truth: str, predicted: str, by: list[str], kinds: tuple[str, ...] = ("clf", "reg")) -> DataFrame:
+    """Per group: ``accuracy`` for labels ("clf"), ``rmse`` for values ("reg").
+
+    Rows without a truth are left out. A row without a prediction is wrong for labels and
+    left out for values. A group without rows to judge has NULL.
+    """
+    gap = (F.col(predicted) - F.col(truth)).cast("double")
+    hit = F.when(F.col(truth).isNotNull(), F.col(predicted).eqNullSafe(F.col(truth)).cast("double"))
+    made = {"clf": F.avg(hit).alias("accuracy"), "reg": F.sqrt(F.avg(gap * gap)).alias("rmse")}
+    return df.groupBy(*by).agg(*[made[kind] for kind in kinds])
+
 
 def draw_layer(units: int, activation: str, random_type: str, n_features: int, seed: int = 42) -> Layer:
     """Weights first, then bias, from one seeded generator."""
@@ -97,8 +113,11 @@ def solve(gram: np.ndarray, target: np.ndarray, solver: str, c: float) -> np.nda
     raise ValueError(f"unknown solver {solver!r}")
 
 
-def gram_rows(df: DataFrame, layers: list[Layer], features: str, label: str, k: int) -> DataFrame:
-    """(layer, unit, values): row ``unit`` of [H'H | H'Y] per layer, summed over ``df``."""
+def gram_rows(df: DataFrame, layers: list[Layer], features: str, label: str, k: int | None) -> DataFrame:
+    """(layer, unit, values): row ``unit`` of [H'H | H'Y] per layer, summed over ``df``.
+
+    Y has a column per class, or without ``k`` the label itself as a number.
+    """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: list[np.ndarray | None] = [None] * len(layers)
@@ -106,7 +125,7 @@ def gram_rows(df: DataFrame, layers: list[Layer], features: str, label: str, k:
             if len(batch) == 0:
                 continue
             x = np.stack(batch["x"].to_numpy()).astype(float)
-            y = np.eye(k)[batch["y"].to_numpy(dtype=int)]
+            y = batch["y"].to_numpy(dtype=float)[:, None] if k is None else np.eye(k)[batch["y"].to_numpy(dtype=int)]
             for i, layer in enumerate(layers):
                 h = hidden(x, layer)
                 part = h.T @ np.hstack([h, y])
@@ -155,7 +174,7 @@ def fit_elm(
     df: DataFrame,
     features: str,
     label: str,
-    k: int,
+    k: int | None,
     hidden_units: int = 50,
     activation_function: str = "relu",
     C: float = 1.0,
@@ -163,12 +182,25 @@ def fit_elm(
     solver: str = "no_re",
     seed: int = 42,
 ) -> ElmModel:
+    """A layer drawn by the seed, then :func:`fit_layer`."""
     n_features = len(df.select(features).first()[0])
     layer = draw_layer(hidden_units, activation_function, random_type, n_features, seed)
+    return fit_layer(df, features, label, k, layer, C, solver)
+
+
+def fit_layer(
+    df: DataFrame, features: str, label: str, k: int | None, layer: Layer, C: float = 1.0, solver: str = "no_re"
+) -> ElmModel:
+    """Output weights for labels 0 to ``k`` - 1, or for a label that is a number when ``k`` is None.
+
+    Values that are NULL are left out.
+    """
+    if k is None:
+        df = df.select(features, F.col(label).cast("double").alias(label)).dropna(subset=[label])
     row = solved(gram_rows(df, [layer], features, label, k), [layer], [(0, solver, float(C))]).first()
     if row["beta"] is None:
         raise ValueError(f"no solution for solver={solver}, C={C}")
-    return ElmModel(layer, np.array(row["beta"]).reshape(hidden_units, k))
+    return ElmModel(layer, np.array(row["beta"]).reshape(layer.units, k or 1))
 
 
 def grid_accuracy(

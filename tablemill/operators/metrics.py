@@ -286,19 +286,16 @@ def auc_ovr(preds: DataFrame, k: int, by: list[str]) -> DataFrame:
 
 def eval_external(
     df: DataFrame, label: str, predicted: str, classes: list[str]
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Evaluation against given labels: (facts, summary, per class).
 
     Rows without a label and rows with a class the model does not know are counted and left
-    out; ``facts`` names up to 20 unknown classes and says why when nothing was evaluated.
+    out; ``facts`` names up to 20 unknown classes. ``reason`` says why nothing was evaluated:
+    there is no such column, no label in it, or none of a known class. Without the column
+    there are facts only, in the same columns.
     """
-    spark = df.sparkSession
-    if label not in df.columns:
-        facts = spark.createDataFrame(
-            [("skipped", f"no column {label}")], "status string, reason string"
-        )
-        return facts, None, None
-    truth = to_known_class(F.col(label).cast("string"), classes)
+    absent = label not in df.columns
+    truth = to_known_class(F.lit(None).cast("string") if absent else F.col(f"`{label}`").cast("string"), classes)
     guess = to_known_class(F.col(predicted).cast("string"), classes)
     rows = df.select(truth.alias("truth"), guess.alias("guess"))
     known = F.coalesce(F.col("truth").isin(*classes), F.lit(False))
@@ -325,7 +322,13 @@ def eval_external(
         "*",
         F.lit(preview).alias("unknown_labels_preview"),
         F.when(F.col("n_rows_evaluated") > 0, F.lit("ok")).otherwise(F.lit("skipped")).alias("status"),
+        F.when(F.lit(absent), F.lit(f"no column {label}"))
+        .when(F.col("n_rows_with_label") == 0, F.lit(f"no label in {label}"))
+        .when(F.col("n_rows_evaluated") == 0, F.lit(f"no known class in {label}"))
+        .alias("reason"),
     )
+    if absent:
+        return facts, None, None
     index = F.create_map(*[F.lit(x) for pair in zip(classes, range(len(classes))) for x in pair])
     outcomes = counts.filter("truth IS NOT NULL").select(
         F.lit("external").alias("model"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions.vectors import argmax_index, mean_of_arrays, normalised, one_hot, padded
 from tablemill.operators.elm import ElmModel, fit_elm
+from tablemill.operators.network import Network, fit_network
 from tablemill.session import materialize
 
 MODEL_NAMES = ("RandomForest", "GradientBoosting", "MLP", "ELM")
@@ -85,6 +86,16 @@ class ElmClassifier(Classifier):
         return scored.withColumn(out, one_hot(argmax_index(F.col("_z")), self.k)).drop("_z")
 
 
+@dataclass
+class NetworkClassifier(Classifier):
+    """A network trained here: activations and a penalty that the built-in one doesn't have."""
+
+    model: Network | None = None
+
+    def score(self, df: DataFrame, out: str = "proba") -> DataFrame:
+        return df.withColumn(out, self.model.probabilities(F.col(self.features)))
+
+
 @dataclass
 class EnsembleClassifier(Classifier):
     """Mean of the member probabilities."""
@@ -157,7 +168,15 @@ def fit_boosting(df: DataFrame, features: str, label: str, k: int, params: dict
 
 
 def fit_mlp(df: DataFrame, features: str, label: str, k: int, params: dict | None = None, seed: int = 42) -> Classifier:
+    """The built-in network for logistic units without a penalty, else :func:`fit_network`."""
     params = dict(params or {})
+    if params.get("activation", "logistic") != "logistic" or "alpha" in params:
+        known = ("hidden_layer_sizes", "activation", "alpha", "max_iter", "tol")
+        if params.get("solver", "lbfgs") != "lbfgs":
+            raise ValueError("MLP supports solver 'lbfgs' only with a penalty or other activations")
+        chosen = _only({p: v for p, v in params.items() if p != "solver"}, {p: p for p in known}, "MLP")
+        net = fit_network(df, features, label, k, seed=seed, **{"activation": "logistic", "alpha": 0.0, **chosen})
+        return NetworkClassifier(k, features, params, net)
     options = _only(
         params,
         {
@@ -169,8 +188,7 @@ def fit_mlp(df: DataFrame, features: str, label: str, k: int, params: dict | Non
         },
         "MLP",
     )
-    if options.pop("activation", "logistic") != "logistic":
-        raise ValueError("MLP supports activation='logistic' only")
+    options.pop("activation", None)
     solvers = {"lbfgs": "l-bfgs", "sgd": "gd"}
     if options.get("solver", "lbfgs") not in solvers:
         raise ValueError("MLP supports solver 'lbfgs' or 'sgd' only")

@@ -2,7 +2,7 @@
 
 A store holds numbered versions side by side. Each version is a folder of its own: MLlib
 models and isotonic curves through their writers, random layers as a parquet table with a
-row per hidden unit. The manifest, a row that says how the parts fit together, is appended
+row per hidden unit, networks with a row per unit. The manifest, a row that says how the parts fit together, is appended
 last and alone makes a version visible, so a run that ends half way leaves nothing that
 could be read. All paths go through Spark, hence to any store its readers know.
 """
@@ -33,8 +33,10 @@ from tablemill.operators.models import (
     Classifier,
     ElmClassifier,
     EnsembleClassifier,
+    NetworkClassifier,
     VectorClassifier,
 )
+from tablemill.operators.network import Network
 from tablemill.operators.prep import Preprocessing
 from tablemill.plans.scoring import Bundle
 
@@ -84,6 +86,16 @@ class _Parts:
         self.spark.createDataFrame(rows, schema).write.parquet(path)
         return {"activation": model.layer.activation, "units": model.layer.units, "path": path.rsplit("/", 1)[-1]}
 
+    def network(self, model: Network) -> dict:
+        path = self.path("network")
+        rows = [
+            (layer, unit, w[:, unit].tolist(), float(b[unit]))
+            for layer, (w, b) in enumerate(zip(model.weights, model.biases))
+            for unit in range(len(b))
+        ]
+        self.spark.createDataFrame(rows, "layer int, unit int, weights array<double>, bias double").write.parquet(path)
+        return {"activation": model.activation, "sizes": [len(b) for b in model.biases], "path": path.rsplit("/", 1)[-1]}
+
     def model(self, model: Classifier) -> dict:
         """Description of a model; what doesn't fit into text is written beside it."""
         if not isinstance(model, Classifier):
@@ -95,6 +107,8 @@ class _Parts:
             about["models"] = [[c, self.built_in(m)] for c, m in sorted(model.models.items())]
         elif isinstance(model, ElmClassifier):
             about["model"] = self.layer(model.model)
+        elif isinstance(model, NetworkClassifier):
+            about["model"] = self.network(model.model)
         elif isinstance(model, SigmoidCalibrated):
             about["folds"] = [[self.model(m), [[c, *ab] for c, ab in sorted(curves.items())]] for m, curves in model.folds]
         elif isinstance(model, IsotonicCalibrated):
@@ -116,6 +130,18 @@ def _layer_of(spark: SparkSession, about: dict, folder: str) -> ElmModel:
     return ElmModel(layer, np.array([r["beta"] for r in rows]))
 
 
+def _network_of(spark: SparkSession, about: dict, folder: str) -> Network:
+    rows = spark.read.parquet(f"{folder}/{about['path']}").orderBy("layer", "unit").collect()
+    if len(rows) != sum(about["sizes"]):
+        raise ValueError(f"{len(rows)} units for {sum(about['sizes'])} in {about['path']}")
+    layers = [[r for r in rows if r["layer"] == i] for i in range(len(about["sizes"]))]
+    return Network(
+        about["activation"],
+        [np.array([r["weights"] for r in layer]).T for layer in layers],
+        [np.array([r["bias"] for r in layer]) for layer in layers],
+    )
+
+
 def _model_of(spark: SparkSession, about: dict, folder: str) -> Classifier:
     base = (about["k"], about["features"], about["params"])
     again: Callable[[dict], Classifier] = lambda a: _model_of(spark, a, folder)
@@ -126,6 +152,8 @@ def _model_of(spark: SparkSession, about: dict, folder: str) -> Classifier:
         return BoostedClassifier(*base, {c: _load_built_in(m, folder) for c, m in about["models"]})
     if kind == "ElmClassifier":
         return ElmClassifier(*base, _layer_of(spark, about["model"], folder))
+    if kind == "NetworkClassifier":
+        return NetworkClassifier(*base, _network_of(spark, about["model"], folder))
     if kind == "SigmoidCalibrated":
         return SigmoidCalibrated(*base, [(again(m), {c: (a, b) for c, a, b in curves}) for m, curves in about["folds"]])
     if kind == "IsotonicCalibrated":

@@ -46,6 +46,7 @@ def test_every_kind_of_model_in_another_session(spark, rows, fitted):
     models = dict(fitted)
     models["sigmoid"] = calibrate(rows, fit, "y", 3, "cal_fold", 2)
     models["isotonic"] = calibrate(rows, fit, "y", 3, "cal_fold", 2, "isotonic")
+    models["network"] = fit_model("MLP", rows, "y", 3, {"hidden_layer_sizes": [3, 2], "activation": "tanh", "max_iter": 2})
     models["all"] = ensemble_of(fitted, 3)
     path = new_path(spark, "store")
     assert bundles.save_bundle(spark, scoring.Bundle(empty_pre(), ["x", "y é", "z"], models), path) == 1

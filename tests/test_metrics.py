@@ -107,6 +107,7 @@ def test_external_labels(spark):
     assert classwise.count() == 2
     skipped, none, _ = metrics.eval_external(df, "absent", "guess", ["Spinel"])
     assert skipped.first()["status"] == "skipped" and none is None
+    assert skipped.dtypes == facts.dtypes and skipped.first()["reason"] == "no column absent" and row.reason is None
     nothing = metrics.eval_external(df.filter("guess = 'x'"), "Crystal Structure", "guess", ["Spinel"])[0].first()
     assert nothing["status"] == "skipped"
 

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tablemill.functions.vectors import argmax_index, mean_of_arrays, softmax, top_entries
-from tablemill.operators import calibration, elm, explain, models
+from tablemill.operators import calibration, elm, explain, models, network
 from tablemill.operators.tuning import combinations
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,6 +28,7 @@ def _blobs(spark, n=240, k=3, d=4, seed=0):
     ("RandomForest", {"n_estimators": 10, "max_depth": 4, "criterion": "log_loss"}),
     ("GradientBoosting", {"n_estimators": 3, "max_depth": 2}),
     ("MLP", {"hidden_layer_sizes": [6], "max_iter": 60}),
+    ("MLP", {"hidden_layer_sizes": [6], "activation": "tanh", "alpha": 0.01, "max_iter": 25}),
     ("ELM", {"hidden_units": 20, "activation_function": "tanh", "C": 10.0, "solver": "solution1"}),
 ])
 def test_models_learn_and_give_probabilities(spark, name, params):
@@ -41,8 +42,9 @@ def test_models_learn_and_give_probabilities(spark, name, params):
 
 @pytest.mark.parametrize("name,params", [
     ("RandomForest", {"max_leaf_nodes": 7}),
-    ("MLP", {"alpha": 0.1}),
-    ("MLP", {"activation": "relu"}),
+    ("MLP", {"alpha": 0.1, "solver": "sgd"}),
+    ("MLP", {"activation": "softplus"}),
+    ("MLP", {"activation": "relu", "learning_rate_init": 0.1}),
     ("MLP", {"solver": "adam"}),
     ("GradientBoosting", {"criterion": "friedman_mse"}),
 ])
@@ -64,6 +66,49 @@ def test_elm_equals_least_squares(spark, activation):
     assert ridge == pytest.approx(np.linalg.solve(np.eye(12) / 2 + h.T @ h, h.T @ target), abs=1e-8)
 
 
+def test_elm_of_values_equals_least_squares(spark):
+    x, y, df = _blobs(spark)
+    layer = elm.draw_layer(12, "tanh", "normal", 4)
+    h, target = elm.hidden(x, layer), y * 1.5 + np.sin(x[:, 0])
+    rows = df.withColumn("v", F.col("y") * 1.5 + F.sin(F.get("features", F.lit(0))))
+    rows = rows.unionByName(rows.limit(3).withColumn("v", F.lit(None).cast("double")))
+    model = elm.fit_elm(rows.repartition(5), "features", "v", None, 12, "tanh")
+    want = h @ np.linalg.lstsq(h, target, rcond=None)[0]
+    assert h @ model.beta[:, 0] == pytest.approx(want, abs=1e-6)
+    scored = rows.select(F.lit("m").alias("model"), "v", model.values(F.col("features")).alias("p"))
+    found = elm.elm_score(scored, "v", "p", ["model"], ("reg",)).first()
+    assert found["rmse"] == pytest.approx(np.sqrt(np.mean((want - target) ** 2)), abs=1e-6)
+    labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 1)], "t int, p int")
+    assert elm.elm_score(labels, "t", "p", [], ("clf",)).first()["accuracy"] == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize("activation", sorted(network.ACTIVATIONS))
+def test_network_slope_equals_differences(activation):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(7, 3)), rng.integers(0, 3, 7)
+    sizes = [3, 4, 2, 3]
+    theta = network.flat(network.first_guess(sizes, activation, 1))
+    loss = lambda t: network.loss_and_slope(x, y, network.shaped(t, sizes, activation))[0]
+    slope = network.loss_and_slope(x, y, network.shaped(theta, sizes, activation))[1]
+    nudges = 1e-6 * np.eye(len(theta))
+    assert slope == pytest.approx([(loss(theta + e) - loss(theta - e)) / 2e-6 for e in nudges], abs=1e-5)
+
+
+def test_network_reaches_the_minimum(spark):
+    """Without a hidden layer the penalised loss has one minimum, where the slope vanishes."""
+    x, y, df = _blobs(spark)
+    odd = df.limit(2).withColumn("y", F.lit(None).cast("int")).unionByName(df.limit(2).withColumn("features", F.lit(None).cast("array<double>")))
+    rows = df.withColumn("y", F.col("y").cast("int")).select("y", "features").unionByName(odd.select("y", "features"))
+    net = network.fit_network(rows.repartition(3), "features", "y", 3, (), "identity", 2.0, tol=1e-5)
+    _, slope = network.loss_and_slope(x, y, net)
+    penalty = network.flat(network.Network("identity", [2.0 * net.weights[0]], [0.0 * net.biases[0]]))
+    assert np.abs(slope + penalty).max() / len(y) <= 1e-5
+    scored = rows.select(net.probabilities(F.col("features")).alias("p"), "features").collect()
+    assert all((r["p"] is None) == (r["features"] is None) for r in scored)
+    with pytest.raises(ValueError, match="no rows"):
+        network.fit_network(rows.filter("false"), "features", "y", 3)
+
+
 def test_elm_grid_equals_single_fits(spark):
     x, y, df = _blobs(spark)
     train, valid = df.filter("row_id % 4 <> 0"), df.filter("row_id % 4 = 0")
