@@ -24,6 +24,8 @@ from tablemill.session import materialize
 
 CAPACITY = 4096
 END_ID = 1
+FITS = 3
+"""Times that patterns are fitted to what earlier ones left over."""
 SALTS = 64
 """Parts that the pieces of one length are ranked in."""
 
@@ -90,43 +92,67 @@ def fit_repeats(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int
     return x
 
 
+def round_repeats(fitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whole repeats, order): repeats rounded down, and the patterns by what that cut off, largest first."""
+    whole = np.floor(fitted)
+    return whole.astype(np.int64), np.argsort(whole - fitted, kind="stable")
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, end rank, first sequence, offset), by length and rank.
 
     ``counts[n]`` pieces of ``n`` tokens; each is placed once and no sequence is overfull.
-    Of the plans with repeat counts rounded half up, rounded down, or all left to best fit,
-    the one with the fewest sequences: on small histograms repeats are mere fractions.
+    The fitted repeats are rounded by largest remainder, so that patterns carry the histogram
+    however small their repeats are. What the counts leave over is fitted again, ``FITS``
+    times in all; best fit takes the rest.
     """
-    patterns = enumerate_patterns(counts, capacity)
-    fitted = fit_repeats(patterns, counts) if patterns else np.zeros(0)
-    tried = [_fill(counts, capacity, patterns, r) for r in (np.floor(fitted + 0.5), np.floor(fitted), 0 * fitted)]
-    return min(tried, key=lambda t: t[1])[0]
-
-
-def _fill(counts: np.ndarray, capacity: int, patterns: list[tuple[int, ...]], wanted: np.ndarray) -> tuple[np.ndarray, int]:
-    """(plan, sequences) with ``wanted`` repeats of each pattern where the counts allow."""
-    left = counts.astype(np.int64).copy()
-    used = np.zeros(len(counts), np.int64)
-    rows: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def take(length: int, how_many: int, sequence: int, offset: int) -> None:
-        rows.append((length, int(used[length]), int(used[length]) + how_many, sequence, offset))
-        used[length] += how_many
-        left[length] -= how_many
-
-    for i in np.argsort(-wanted, kind="stable").tolist():
-        if wanted[i] == 0:
+    counts = counts.astype(np.int64)
+    left, used, rows, sequences = counts.copy(), np.zeros(len(counts), np.int64), [], 0
+    for _ in range(FITS):
+        patterns = enumerate_patterns(left, capacity)
+        if not patterns:
+            break
+        sequences = _place(left, used, rows, sequences, patterns, fit_repeats(patterns, left))
+    _best_fit(left, used, rows, sequences, capacity)
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+
+
+def _take(left: np.ndarray, used: np.ndarray, rows: list, length: int, how_many: int, sequence: int, offset: int) -> None:
+    rows.append((length, int(used[length]), int(used[length]) + how_many, sequence, offset))
+    used[length] += how_many
+    left[length] -= how_many
+
+
+def _place(left: np.ndarray, used: np.ndarray, rows: list, sequences: int, patterns: list, fitted: np.ndarray) -> int:
+    """The sequences there are once every pattern has its repeats, where the counts allow."""
+    whole, by_remainder = round_repeats(fitted)
+    extra = round(float(fitted.sum())) - int(whole.sum())
+
+    def repeat(pattern: tuple[int, ...], wanted: int) -> int:
+        lengths, times = np.unique(pattern, return_counts=True)
+        repeats = min(wanted, int((left[lengths] // times).min()))
+        offset = 0
+        for length in pattern if repeats else ():
+            _take(left, used, rows, length, repeats, sequences, offset)
+            offset += length
+        return repeats
+
+    for i in np.argsort(-whole, kind="stable").tolist():
+        if not whole[i]:
             break
-        lengths, times = np.unique(patterns[i], return_counts=True)
-        repeats = min(int(wanted[i]), int((left[lengths] // times).min()))
-        if repeats:
-            offset = 0
-            for length in patterns[i]:
-                take(length, repeats, sequences, offset)
-                offset += length
-            sequences += repeats
-    # residuals: best fit, longest first, by counts; groups of open sequences by their gap
+        sequences += repeat(patterns[i], int(whole[i]))
+    for i in by_remainder.tolist():
+        if extra <= 0 or fitted[i] <= whole[i]:
+            break
+        placed = repeat(patterns[i], 1)
+        sequences += placed
+        extra -= placed
+    return sequences
+
+
+def _best_fit(left: np.ndarray, used: np.ndarray, rows: list, sequences: int, capacity: int) -> int:
+    """Places all that is left into new sequences from number ``sequences`` on; how many there are then."""
+    # longest first, by counts; groups of open sequences by their gap
     gaps: dict[int, list[list[int]]] = {}
     open_gaps = np.zeros(capacity + 1, np.int64)
     for length in range(capacity, 0, -1):
@@ -148,10 +174,10 @@ def _fill(counts: np.ndarray, capacity: int, patterns: list[tuple[int, ...]], wa
                 first = sequences
                 sequences += k
             for i in range(each):
-                take(length, k, first, capacity - gap + i * length)
+                _take(left, used, rows, length, k, first, capacity - gap + i * length)
             gaps.setdefault(gap - each * length, []).append([first, k])
             open_gaps[gap - each * length] += k
-    return np.array(sorted(rows), np.int64).reshape(-1, 5), sequences
+    return sequences
 
 
 # -- the jobs ---------------------------------------------------------------------------
