@@ -24,8 +24,8 @@ from tablemill.session import materialize
 
 CAPACITY = 4096
 END_ID = 1
-FITS = 3
-"""Times that patterns are fitted to what earlier ones left over."""
+SHARES = (1.0, 0.5, 0.25, 0.125, 0.0625)
+"""Shares of the fitted repeats that a plan may have."""
 SALTS = 64
 """Parts that the pieces of one length are ranked in."""
 
@@ -103,18 +103,24 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
     ``counts[n]`` pieces of ``n`` tokens; each is placed once and no sequence is overfull.
     The fitted repeats are rounded by largest remainder, so that patterns carry the histogram
-    however small their repeats are. What the counts leave over is fitted again, ``FITS``
-    times in all; best fit takes the rest.
+    however small their repeats are; best fit takes the residuals. Where these pack badly, a
+    share of the repeats can need fewer sequences: of ``SHARES`` the largest that reaches the
+    least possible number is taken, else the one with the fewest sequences.
     """
     counts = counts.astype(np.int64)
-    left, used, rows, sequences = counts.copy(), np.zeros(len(counts), np.int64), [], 0
-    for _ in range(FITS):
-        patterns = enumerate_patterns(left, capacity)
-        if not patterns:
+    patterns = enumerate_patterns(counts, capacity)
+    fitted = fit_repeats(patterns, counts) if patterns else np.zeros(0)
+    least = -(-int(counts @ np.arange(len(counts))) // capacity)
+    best: tuple[int, list] | None = None
+    for share in SHARES:
+        left, used, rows = counts.copy(), np.zeros(len(counts), np.int64), []
+        sequences = _place(left, used, rows, patterns, share * fitted)
+        sequences = _best_fit(left, used, rows, sequences, capacity)
+        if best is None or sequences < best[0]:
+            best = sequences, rows
+        if sequences == least:
             break
-        sequences = _place(left, used, rows, sequences, patterns, fit_repeats(patterns, left))
-    _best_fit(left, used, rows, sequences, capacity)
-    return np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return np.array(sorted(best[1]), np.int64).reshape(-1, 5)
 
 
 def _take(left: np.ndarray, used: np.ndarray, rows: list, length: int, how_many: int, sequence: int, offset: int) -> None:
@@ -123,8 +129,9 @@ def _take(left: np.ndarray, used: np.ndarray, rows: list, length: int, how_many:
     left[length] -= how_many
 
 
-def _place(left: np.ndarray, used: np.ndarray, rows: list, sequences: int, patterns: list, fitted: np.ndarray) -> int:
-    """The sequences there are once every pattern has its repeats, where the counts allow."""
+def _place(left: np.ndarray, used: np.ndarray, rows: list, patterns: list, fitted: np.ndarray) -> int:
+    """Places the repeats of every pattern where the counts allow; how many sequences that makes."""
+    sequences = 0
     whole, by_remainder = round_repeats(fitted)
     extra = round(float(fitted.sum())) - int(whole.sum())
 
