@@ -5,19 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.functions.vectors import argmax_index, mean_of_arrays, normalised, one_hot, padded
+from tablemill.functions.vectors import argmax_index, mean_of_arrays, one_hot, padded
+from tablemill.operators.boosting import Boosted, fit_boosted
 from tablemill.operators.elm import ElmModel, fit_elm
 from tablemill.operators.network import Network, fit_network
-from tablemill.session import materialize
 
 MODEL_NAMES = ("RandomForest", "GradientBoosting", "MLP", "ELM")
 ENSEMBLE = "Ensemble"
@@ -56,23 +52,13 @@ class VectorClassifier(Classifier):
 
 
 @dataclass
-class BoostedClassifier(Classifier):
-    """One binary boosted model per class, probabilities normalised to sum 1."""
+class BoostingClassifier(Classifier):
+    """Boosted trees under one softmax over all classes."""
 
-    models: dict[int, Any] = field(default_factory=dict)
+    model: Boosted | None = None
 
     def score(self, df: DataFrame, out: str = "proba") -> DataFrame:
-        scored = df.withColumn(VECTOR, array_to_vector(F.col(self.features)))
-        for c, model in self.models.items():
-            m = model.copy()
-            m.setFeaturesCol(VECTOR).setProbabilityCol(f"_vector_p{c}").setRawPredictionCol("").setPredictionCol("")
-            scored = m.transform(scored)
-        parts = [
-            vector_to_array(f"_vector_p{c}")[1] if c in self.models else F.lit(0.0) for c in range(self.k)
-        ]
-        return scored.withColumn(out, normalised(F.array(*parts))).drop(
-            VECTOR, *[f"_vector_p{c}" for c in self.models]
-        )
+        return df.withColumn(out, self.model.probabilities(F.col(self.features), self.k))
 
 
 @dataclass
@@ -146,25 +132,23 @@ def fit_boosting(df: DataFrame, features: str, label: str, k: int, params: dict
     options = _only(
         params,
         {
-            "n_estimators": "maxIter",
+            "n_estimators": "n_estimators",
             "max_depth": "maxDepth",
             "max_features": "featureSubsetStrategy",
-            "learning_rate": "stepSize",
-            "loss": "lossType",
+            "learning_rate": "learning_rate",
+            "subsample": "subsamplingRate",
+            "min_samples_leaf": "minInstancesPerNode",
+            "loss": "loss",
+            "criterion": "criterion",
         },
         "GradientBoosting",
     )
-    if options.pop("lossType", "log_loss") != "log_loss":
+    if options.pop("loss", "log_loss") != "log_loss":
         raise ValueError("GradientBoosting supports loss='log_loss' only")
-    options.setdefault("maxDepth", 3)
-    options.setdefault("stepSize", 0.1)
-    rows = materialize(_training(df, features, label), "boosting")
-    present = [int(r[0]) for r in rows.select("label").distinct().collect()]
-    models = {}
-    for c in sorted(present):
-        binary = rows.select("features", (F.col("label") == c).cast("double").alias("label"))
-        models[c] = GBTClassifier(seed=seed, **options).fit(binary)
-    return BoostedClassifier(k, features, params, models)
+    if options.pop("criterion", "squared_error") != "squared_error":
+        raise ValueError("GradientBoosting supports criterion='squared_error' only")
+    options = {"maxDepth": 3, "featureSubsetStrategy": "all", **options}
+    return BoostingClassifier(k, features, params, fit_boosted(df, features, label, seed=seed, **options))
 
 
 def fit_mlp(df: DataFrame, features: str, label: str, k: int, params: dict | None = None, seed: int = 42) -> Classifier:

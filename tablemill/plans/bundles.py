@@ -2,7 +2,7 @@
 
 A store holds numbered versions side by side. Each version is a folder of its own: MLlib
 models and isotonic curves through their writers, random layers as a parquet table with a
-row per hidden unit, networks with a row per unit. The manifest, a row that says how the parts fit together, is appended
+row per hidden unit, networks with a row per unit, boosted trees with a row per node. The manifest, a row that says how the parts fit together, is appended
 last and alone makes a version visible, so a run that ends half way leaves nothing that
 could be read. All paths go through Spark, hence to any store its readers know.
 """
@@ -13,23 +13,21 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict
+from itertools import islice
 from typing import Any
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    MultilayerPerceptronClassificationModel,
-    RandomForestClassificationModel,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel
 from pyspark.ml.regression import DecisionTreeRegressionModel, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.operators.boosting import Boosted, Tree
 from tablemill.operators.calibration import IsotonicCalibrated, SigmoidCalibrated
 from tablemill.operators.elm import ElmModel, Layer
 from tablemill.operators.models import (
-    BoostedClassifier,
+    BoostingClassifier,
     Classifier,
     ElmClassifier,
     EnsembleClassifier,
@@ -40,6 +38,7 @@ from tablemill.operators.network import Network
 from tablemill.operators.prep import Preprocessing
 from tablemill.plans.scoring import Bundle
 
+TREES = "round int, score int, node int, feature int, threshold double, left int, right int, value double"
 MANIFEST = "version long, folder string, manifest string"
 
 _BUILT_IN = {
@@ -47,8 +46,7 @@ _BUILT_IN = {
     for c in (
         RandomForestClassificationModel,
         MultilayerPerceptronClassificationModel,
-        GBTClassificationModel,
-        IsotonicRegressionModel,
+            IsotonicRegressionModel,
         DecisionTreeRegressionModel,
     )
 }
@@ -96,6 +94,18 @@ class _Parts:
         self.spark.createDataFrame(rows, "layer int, unit int, weights array<double>, bias double").write.parquet(path)
         return {"activation": model.activation, "sizes": [len(b) for b in model.biases], "path": path.rsplit("/", 1)[-1]}
 
+    def trees(self, model: Boosted) -> dict:
+        path = self.path("trees")
+        rows = [
+            (i, j, n, int(t.feature[n]), float(t.threshold[n]), int(t.left[n]), int(t.right[n]), float(t.value[n]))
+            for i, trees in enumerate(model.rounds)
+            for j, t in enumerate(trees)
+            for n in range(len(t.feature))
+        ]
+        self.spark.createDataFrame(rows, TREES).write.parquet(path)
+        sizes = [[len(t.feature) for t in trees] for trees in model.rounds]
+        return {"classes": model.classes, "start": model.start, "losses": model.losses, "sizes": sizes, "path": path.rsplit("/", 1)[-1]}
+
     def model(self, model: Classifier) -> dict:
         """Description of a model; what doesn't fit into text is written beside it."""
         if not isinstance(model, Classifier):
@@ -103,8 +113,8 @@ class _Parts:
         about = {"kind": type(model).__name__, "k": model.k, "features": model.features, "params": model.params}
         if isinstance(model, VectorClassifier):
             about["model"] = self.built_in(model.model)
-        elif isinstance(model, BoostedClassifier):
-            about["models"] = [[c, self.built_in(m)] for c, m in sorted(model.models.items())]
+        elif isinstance(model, BoostingClassifier):
+            about["model"] = self.trees(model.model)
         elif isinstance(model, ElmClassifier):
             about["model"] = self.layer(model.model)
         elif isinstance(model, NetworkClassifier):
@@ -142,14 +152,27 @@ def _network_of(spark: SparkSession, about: dict, folder: str) -> Network:
     )
 
 
+def _trees_of(spark: SparkSession, about: dict, folder: str) -> Boosted:
+    rows = spark.read.schema(TREES).parquet(f"{folder}/{about['path']}").orderBy("round", "score", "node").collect()
+    if len(rows) != sum(map(sum, about["sizes"])):
+        raise ValueError(f"{len(rows)} nodes for {sum(map(sum, about['sizes']))} in {about['path']}")
+    left = iter(rows)
+
+    def tree(size: int) -> Tree:
+        nodes = list(islice(left, size))
+        return Tree(*[np.array([n[c] for n in nodes]) for c in ("feature", "threshold", "left", "right", "value")])
+
+    return Boosted(about["classes"], about["start"], [[tree(n) for n in sizes] for sizes in about["sizes"]], about["losses"])
+
+
 def _model_of(spark: SparkSession, about: dict, folder: str) -> Classifier:
     base = (about["k"], about["features"], about["params"])
     again: Callable[[dict], Classifier] = lambda a: _model_of(spark, a, folder)
     kind = about["kind"]
     if kind == "VectorClassifier":
         return VectorClassifier(*base, _load_built_in(about["model"], folder))
-    if kind == "BoostedClassifier":
-        return BoostedClassifier(*base, {c: _load_built_in(m, folder) for c, m in about["models"]})
+    if kind == "BoostingClassifier":
+        return BoostingClassifier(*base, _trees_of(spark, about["model"], folder))
     if kind == "ElmClassifier":
         return ElmClassifier(*base, _layer_of(spark, about["model"], folder))
     if kind == "NetworkClassifier":

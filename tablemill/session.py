@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -55,3 +56,20 @@ def materialize(df: DataFrame, stem: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind what :func:`materialize` gave, once nothing reads it any more.
+
+    Anything that is not a folder of its own in the shared folder is left alone.
+    """
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(shared_dir(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(hadoop.Path(shared_dir(spark)))
+    folder = hadoop.Path(spark._jvm.java.net.URI.create(files[0])).getParent()
+    if folder.getParent().toUri().getPath() == root.toUri().getPath() and re.search(r"-[0-9a-f]{12}$", folder.getName()):
+        fs.delete(folder, True)

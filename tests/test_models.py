@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tablemill.functions.vectors import argmax_index, mean_of_arrays, softmax, top_entries
-from tablemill.operators import calibration, elm, explain, models, network
+from tablemill.operators import boosting, calibration, elm, explain, models, network
 from tablemill.operators.tuning import combinations
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,6 +54,49 @@ def test_parameters_that_cannot_be_expressed_are_refused(spark, name, params):
         models.fit_model(name, df, "y", 3, params)
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_boosted_leaves_step_by_newton(spark, k):
+    """Rounds redone in numpy over the found splits: values, losses and probabilities agree."""
+    x, y, df = _blobs(spark, k=k)
+    odd = df.limit(2).withColumn("y", F.lit(None).cast("int")).unionByName(df.limit(2).withColumn("features", F.lit(None).cast("array<double>")))
+    rows = df.unionByName(odd).repartition(5)
+    model = boosting.fit_boosted(rows.withColumn("y", 2 * F.col("y") + 1), "features", "y", 6, 0.5, maxDepth=2)
+    assert model.classes == [2 * c + 1 for c in range(k)]
+    assert all(a > b for a, b in zip(model.losses, model.losses[1:])) and len(model.losses) == 6
+    scores = np.zeros((len(y), k)) + np.log(np.bincount(y) / len(y))
+    for trees, loss in zip(model.rounds, model.losses):
+        p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+        assert loss == pytest.approx(-np.mean(np.log(p[np.arange(len(y)), y])))
+        for tree, c in zip(trees, [1] if k == 2 else range(k)):
+            at, rest = tree.leaves(x), (y == c) - p[:, c]
+            for leaf in np.unique(at):
+                inside = at == leaf
+                newton = rest[inside].sum() / (p[inside, c] * (1 - p[inside, c])).sum()
+                assert tree.value[leaf] == pytest.approx(0.5 * newton * (1 if k == 2 else (k - 1) / k))
+            scores[:, c] += tree.value[at]
+    want = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    found = rows.select("row_id", "features", model.probabilities(F.col("features"), 8).alias("p")).collect()
+    for r in found:
+        if r["features"] is None:
+            assert r["p"] is None
+        else:
+            assert [r["p"][c] for c in model.classes] == pytest.approx(want[r["row_id"]])
+            assert sum(r["p"]) == pytest.approx(1.0)
+
+
+def test_boosting_of_one_class_or_none(spark):
+    _, _, df = _blobs(spark, n=12)
+    sure = models.fit_model("GradientBoosting", df.filter("y = 1"), "y", 3).score(df).select("proba").distinct().collect()
+    assert [r["proba"] for r in sure] == [[0.0, 1.0, 0.0]]
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit_model("GradientBoosting", df.filter("false"), "y", 3)
+
+
+def test_a_tree_without_a_split():
+    tree = boosting.tree_of("DecisionTreeRegressionModel: uid=u, depth=0, numNodes=1, numFeatures=2\n  Predict: 0.5\n")
+    assert tree.leaves(np.array([[1.0, np.nan], [np.inf, 2.0]])).tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("activation", ["sigmoid", "relu", "sin", "tanh", "leaky_relu"])
 def test_elm_equals_least_squares(spark, activation):
     x, y, df = _blobs(spark)
