@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablemill.catalog.base import FEAT_SQL, FEATURES, feature_table, query, r, table
-from tablemill.operators import prep, selection
+from tablemill.operators import permutation, prep, selection
+from tablemill.operators.permutation import PRIME, ROUNDS
 from tablemill.session import materialize
 
 FEW = ["qty_soma", "price_soma", "disc_media", "tax_maximo", "size_minimo", "retail_media"]
@@ -93,32 +94,60 @@ def _rule_rows(spark, sf_dir):
     return _rule(rows).withColumn("y", label).drop("y_pred")
 
 
+_REPEATS = 10
+
+
+def _round_sql(source: str) -> str:
+    """The rounds of the permutation over ``source``, which has l, r, a and the keys."""
+    for i in range(ROUNDS):
+        t = f"((r + u{i}) % {PRIME})"
+        source = f"(SELECT * REPLACE (r AS l, (l + ({t} * {t} % {PRIME} * v{i} + w{i}) % {PRIME}) % a AS r) FROM {source})"
+    return f"SELECT feature, repeat, d, l * a + r AS x FROM {source}"
+
+
+def _walk_sql() -> str:
+    """Where the value of the row at place d goes: x, once it is below n."""
+    rows = [
+        f"('{f}', {rep}, {', '.join(str(v) + '::BIGINT' for key in permutation.keys(42, f, rep) for v in key)})"
+        for f in _RULE_FEATURES
+        for rep in range(_REPEATS)
+    ]
+    names = ", ".join(f"{c}{i}" for i in range(ROUNDS) for c in "uvw")
+    return (
+        f"ks(feature, repeat, {names}) AS (VALUES {', '.join(rows)}), "
+        "dims AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM rows_), "
+        "walk AS ("
+        + _round_sql("(SELECT ks.*, rn AS d, rn // a AS l, rn % a AS r, a FROM ranked, ks, dims)")
+        + " UNION ALL "
+        + _round_sql("(SELECT ks.*, d, x // a AS l, x % a AS r, a FROM walk JOIN ks USING (feature, repeat), dims WHERE x >= n)")
+        + ")"
+    )
+
+
 def _permuted_sql() -> str:
-    """Per feature and repeat: rows in md5 order of id and seed take the values in their md5 order."""
+    """Per feature and repeat: rows by md5 of id and seed, values sent on by the permutation."""
     parts = []
     for f in _RULE_FEATURES:
-        for rep in range(3):
-            others = ", ".join(f"b.{c}" for c in _RULE_FEATURES if c != f)
-            parts.append(
-                f"SELECT '{f}' AS feature, {rep} AS repeat, b.y, {others}, d.{f} FROM "
-                "(SELECT *, row_number() OVER (ORDER BY md5(row_id || '-42'), row_id) AS rn FROM rows_) b JOIN "
-                f"(SELECT {f}, row_number() OVER (ORDER BY "
-                f"md5(row_id || '-42-{rep}-{f}'), row_id) AS rn FROM rows_) d USING (rn)"
-            )
+        others = ", ".join(f"b.{c}" for c in _RULE_FEATURES if c != f)
+        parts.append(
+            f"SELECT '{f}' AS feature, repeat, b.y, {others}, s.{f} FROM walk JOIN ranked s ON s.rn = d "
+            f"JOIN ranked b ON b.rn = x WHERE feature = '{f}'"
+        )
     return " UNION ALL BY NAME ".join(parts)
 
 
 @query("perm_importance",
-       "WITH raw AS (SELECT o_orderkey AS row_id, o_custkey AS cust, o_totalprice AS price, o_orderkey % 11 AS idle FROM orders), "
+       "WITH RECURSIVE raw AS (SELECT o_orderkey AS row_id, o_custkey AS cust, o_totalprice AS price, o_orderkey % 11 AS idle FROM orders), "
        f"ruled AS (SELECT *, {_RULE_SQL} AS guess FROM raw), "
        "rows_ AS (SELECT * EXCLUDE (guess), CASE WHEN row_id % 5 = 0 THEN (guess + 1) % 3 ELSE guess END AS y FROM ruled), "
-       f"moved AS ({_permuted_sql()}), "
+       "ranked AS (SELECT *, row_number() OVER (ORDER BY md5(row_id || '-42'), row_id) - 1 AS rn FROM rows_), "
+       f"{_walk_sql()}, moved AS ({_permuted_sql()}), "
        f"acc AS (SELECT feature, repeat, avg(({_RULE_SQL} = y)::INT) AS a FROM moved GROUP BY 1, 2), "
        f"base AS (SELECT avg(({_RULE_SQL} = y)::INT) AS baseline FROM rows_) "
        "SELECT feature, round(baseline - avg(a), 8) + 0.0 AS importance, round(baseline, 8) AS baseline FROM acc, base GROUP BY feature, baseline")
 def perm_importance(spark, sf_dir):
     found = selection.perm_importance(
-        _rule_rows(spark, sf_dir), "row_id", "y", _RULE_FEATURES, _rule, repeats=3, seed=42
+        _rule_rows(spark, sf_dir), "row_id", "y", _RULE_FEATURES, _rule, repeats=_REPEATS, seed=42
     )
     return found.select("feature", r("importance", 8).alias("importance"), r("baseline", 8).alias("baseline"))
 

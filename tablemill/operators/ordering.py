@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from tablemill.session import materialize
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, longer by underscores until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _with_offsets(rows: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with the offsets of its piece; a NULL group is a group like any other."""
     named = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
@@ -35,19 +42,16 @@ def hash_rank(
     counts are at most groups x 16**prefix rows.
     """
     group = group or []
-    keyed = df.withColumn("_hash", hash_text).withColumn(
-        "_piece", F.substring("_hash", 1, prefix)
-    )
-    counts = keyed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *group, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    local = Window.partitionBy(*group, "_piece").orderBy("_hash", *tie)
+    hashed, piece, within, offset = (free_name(df, c) for c in ("_hash", "_piece", "_local", "_offset"))
+    keyed = df.withColumn(hashed, hash_text).withColumn(piece, F.substring(hashed, 1, prefix))
+    counts = keyed.groupBy(*group, piece).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, piece, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(offset))
+    local = Window.partitionBy(*group, piece).orderBy(hashed, *tie)
     return (
-        _with_offsets(keyed.withColumn("_local", F.row_number().over(local)), offsets, [*group, "_piece"])
-        .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_hash", "_piece", "_local", "_offset")
+        _with_offsets(keyed.withColumn(within, F.row_number().over(local)), offsets, [*group, piece])
+        .withColumn(out, F.col(within) + F.col(offset))
+        .drop(hashed, piece, within, offset)
     )
 
 
@@ -69,27 +73,26 @@ def running_totals(
     grand = grand or {}
     spark = df.sparkSession
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(pieces, *group, *order).withColumn(
-        "_piece", F.spark_partition_id()
-    )
+    piece = free_name(df, "_piece")
+    ranged = df.repartitionByRange(pieces, *group, *order).withColumn(piece, F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
     needed = sorted(set(totals.values()) | set(grand.values()))
-    sums = ranged.groupBy(*group, "_piece").agg(*[F.sum(c).alias(f"_s_{c}") for c in needed])
+    sums = ranged.groupBy(*group, piece).agg(*[F.sum(c).alias(f"_s_{c}") for c in needed])
     by_group = Window.partitionBy(*group)
-    before = by_group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_group.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *group,
-        "_piece",
+        piece,
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in needed],
         *[F.sum(f"_s_{c}").over(by_group).alias(out) for out, c in grand.items()],
     )
     local = (
-        Window.partitionBy(*group, "_piece")
+        Window.partitionBy(*group, piece)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     summed = ranged.select("*", *[F.sum(c).over(local).alias(f"_l_{c}") for c in needed])
-    joined = _with_offsets(summed, offsets, [*group, "_piece"])
+    joined = _with_offsets(summed, offsets, [*group, piece])
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{c}") + F.col(f"_b_{c}")).alias(out) for out, c in totals.items()],

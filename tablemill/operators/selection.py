@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.operators.ordering import hash_rank
+from tablemill.operators.ordering import free_name, hash_rank
+from tablemill.operators.permutation import keys, permuted
 from tablemill.operators.quantiles import column_facts
 from tablemill.operators.quantiles import quoted as q
 from tablemill.session import materialize
 
 
-
 def pearson_pairs(df: DataFrame, columns: list[str], centre: list[float] | None = None) -> DataFrame:
     """Absolute Pearson r of every column pair i < j over the rows where both are present.
 
@@ -158,27 +158,45 @@ def correlated_columns(pairs: DataFrame, threshold: float) -> list[str]:
 def permuted_rows(df: DataFrame, row_id: str, features: list[str], repeats: int, seed: int) -> DataFrame:
     """Every row once per (feature, repeat) with that feature's values shuffled over all rows.
 
-    Rows are ranked by md5(id, seed), values by md5(id, seed, repeat, feature), and equal
-    ranks meet: each value is used exactly once, at every size. Only the value and its rank
-    travel for a feature.
+    Rows are ranked once by md5(id, seed). The value of the row at a rank goes to the rank that
+    an arithmetic permutation, keyed by seed, feature and repeat, names: each value is used
+    exactly once, at every size. One join by rank serves all features and repeats; the wide rows
+    are shuffled for it once, and a moved value travels as itself and three numbers. An empty
+    table gives no rows. Columns ``feature`` and ``repeat`` of the table are replaced.
     """
-    id_text = F.col(q(row_id)).cast("string")
-    ranked = hash_rank(df, F.md5(F.concat_ws("-", id_text, F.lit(str(seed)))), [row_id], out="_rank")
-    ranked = materialize(ranked, "ranked")
-
-    def moved(feature: str) -> DataFrame:
-        values = df.select(
-            row_id, F.col(q(feature)).alias("_value"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-        )
-        text = F.concat_ws("-", id_text, F.lit(str(seed)), F.col("repeat").cast("string"), F.lit(feature))
-        donors = hash_rank(values, F.md5(text), [row_id], ["repeat"], out="_rank").select("repeat", "_rank", "_value")
-        return ranked.join(donors, "_rank").select(
-            *[F.col("_value").alias(c) if c == feature else F.col(q(c)) for c in df.columns],
-            F.lit(feature).alias("feature"),
-            "repeat",
-        )
-
-    return reduce(DataFrame.unionByName, [moved(f) for f in features])
+    rank, which, turn = (free_name(df, c) for c in ("_rank", "_feature", "_repeat"))
+    hashed = F.md5(F.concat_ws("-", F.col(q(row_id)).cast("string"), F.lit(str(seed))))
+    ranked = materialize(hash_rank(df, hashed, [row_id], out=rank), "ranked")
+    n = ranked.count()
+    plan = [(i, rep, keys(seed, f, rep)) for i, f in enumerate(features) for rep in range(repeats)]
+    types = list(dict.fromkeys(df.schema[f].dataType.simpleString() for f in features))
+    slot = [types.index(df.schema[f].dataType.simpleString()) for f in features]
+
+    def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy() - 1
+            empty = {i: pa.nulls(len(at), batch.column(slot.index(i) + 1).type) for i in range(len(types))}
+            for i, rep, by in plan:
+                to = pa.array(permuted(at, n, by) + 1)
+                values = [batch.column(i + 1) if t == slot[i] else empty[t] for t in range(len(types))]
+                about = [pa.array(np.full(len(at), v, np.int32)) for v in (i, rep)]
+                yield pa.RecordBatch.from_arrays([to, *about, *values], ["to", "f", "rep", *[f"v{t}" for t in range(len(types))]])
+
+    schema = ", ".join(["to long, f int, rep int", *[f"v{i} {t}" for i, t in enumerate(types)]])
+    sent = ranked.select(F.col(rank).cast("long"), *[F.col(q(f)).alias(f"c{i}") for i, f in enumerate(features)]).mapInArrow(moves, schema)
+    sent = sent.select(
+        F.col("to").alias(rank), F.col("f").alias(which), F.col("rep").alias(turn), *[F.col(f"v{i}").alias(free_name(df, f"_value{i}")) for i in range(len(types))]
+    )
+    place = {f: i for i, f in enumerate(features)}
+
+    def cell(c: str) -> Column:
+        if c not in place:
+            return F.col(q(c))
+        return F.when(F.col(which) == place[c], F.col(free_name(df, f"_value{slot[place[c]]}"))).otherwise(F.col(q(c))).alias(c)
+
+    name = F.get(F.array(*[F.lit(f) for f in features]), F.col(which)).alias("feature")
+    kept = [cell(c) for c in df.columns if c not in ("feature", "repeat")]
+    return ranked.join(sent, rank).select(*kept, name, F.col(turn).alias("repeat"))
 
 
 def perm_importance(

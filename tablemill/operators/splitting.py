@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemill.operators.ordering import hash_rank, running_totals
+from tablemill.operators.ordering import free_name, hash_rank, running_totals
 
 
 def stratified_kfold(
@@ -17,8 +17,9 @@ def stratified_kfold(
     hash pieces, so a class holding a third of all rows is no single task.
     """
     key = F.md5(F.concat_ws("-", F.col(row_id).cast("string"), F.lit(str(seed))))
-    ranked = hash_rank(df, key, [row_id], [label], prefix=prefix, out="_rank")
-    return ranked.withColumn(out, (F.pmod(F.col("_rank") - 1, F.lit(k)) + 1).cast("int")).drop("_rank")
+    rank = free_name(df, "_rank")
+    ranked = hash_rank(df, key, [row_id], [label], prefix=prefix, out=rank)
+    return ranked.withColumn(out, (F.pmod(F.col(rank) - 1, F.lit(k)) + 1).cast("int")).drop(rank)
 
 
 def split_train_test(df: DataFrame, fold: int, column: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -56,8 +57,9 @@ def row_names(df: DataFrame, key: list[str], name: str = "composition") -> DataF
 
     Numbering follows the key, since a distributed table has no row order of its own.
     """
-    ones = df.withColumn("_one", F.lit(1).cast("long"))
-    numbered = running_totals(ones, [F.col(c) for c in key], {"_i": "_one"})
-    generated = F.concat(F.lit("row_"), F.col("_i").cast("string"))
+    one, i = free_name(df, "_one"), free_name(df, "_i")
+    ones = df.withColumn(one, F.lit(1).cast("long"))
+    numbered = running_totals(ones, [F.col(c) for c in key], {i: one})
+    generated = F.concat(F.lit("row_"), F.col(i).cast("string"))
     value = F.coalesce(F.col(name), generated) if name in df.columns else generated
-    return numbered.withColumn(name, value).drop("_one", "_i")
+    return numbered.withColumn(name, value).drop(one, i)

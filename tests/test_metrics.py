@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.operators import metrics, ranking, selection, tuning
+from tablemill.operators import metrics, permutation, ranking, selection, tuning
 
 # Published counts of a six-class ensemble: rows are true classes.
 COUNTS = [
@@ -181,6 +181,45 @@ def test_constant_pair_is_null(spark):
     assert selection.pearson_pairs(df, ["a", "b"]).first()["r"] is None
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 5000, 10001])
+def test_arithmetic_permutation(n):
+    places = [permutation.permuted(np.arange(n), n, permutation.keys(1, "f", rep)) for rep in range(3)]
+    assert all(sorted(p) == list(range(n)) for p in places)
+    if n >= 5000:
+        assert all(abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.05 for p in places)
+        assert abs(np.corrcoef(places[0], places[1])[0, 1]) < 0.05
+        assert all((p == np.arange(n)).sum() < 10 for p in places)
+        # neighbours part, and a tenth of the places receives from everywhere alike
+        assert all(np.abs(np.diff(p)).mean() == pytest.approx(n / 3, rel=0.05) for p in places)
+        assert all(np.bincount(p[: n // 10] * 10 // n, minlength=10) == pytest.approx(np.full(10, n / 100), rel=0.5) for p in places)
+
+
+def test_arithmetic_permutation_of_a_large_range():
+    n = 2**61 + 12345
+    x = np.random.default_rng(3).integers(0, n, 5000)
+    to = permutation.permuted(x, n, permutation.keys(5))
+    assert to.min() >= 0 and to.max() < n and len(set(to.tolist())) == len(set(x.tolist()))
+
+
+def test_moved_values_keep_their_types_and_all_columns(spark):
+    """One shuffle of the rows for all features; NULLs, clashing names and odd ones included."""
+    rows = [(i, i if i % 7 else None, f"s{i}", i / 2, i * 10, -1) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, `a.b` long, s string, x double, _rank int, _feature int")
+    moved = selection.permuted_rows(df, "id", ["a.b", "s", "x"], 3, 9)
+    assert {f.name: f.dataType for f in df.schema} == {f.name: f.dataType for f in moved.schema if f.name not in ("feature", "repeat")}
+    found = moved.collect()
+    assert len(found) == 400 * 9
+    for f, at in (("a.b", 1), ("s", 2), ("x", 3)):
+        for rep in range(3):
+            part = [r for r in found if (r["feature"], r["repeat"]) == (f, rep)]
+            assert sorted((r[f] for r in part), key=str) == sorted((r[at] for r in rows), key=str)
+            for r in part:
+                own = rows[r["id"]]
+                assert all(r[c] == own[i] for i, c in enumerate(df.columns) if c != f)
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert selection.permuted_rows(df.filter("false"), "id", ["x"], 2, 1).count() == 0
+
+
 def test_permutation_uses_each_value_once(spark):
     df = spark.createDataFrame([(i, float(i), float(-i), i % 2) for i in range(300)], "id long, a double, b double, y int")
     moved = selection.permuted_rows(df, "id", ["a"], 2, 7).collect()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.operators import prep, quantiles
+from tablemill.operators import prep, quantiles, splitting
 from tablemill.session import materialize
 
 
@@ -92,3 +92,16 @@ def test_looks_do_not_grow_with_splits(spark, wide):
         return n
 
     assert jobs([None, 1, 2, 3, 4, 5]) <= jobs([None]) + 2
+
+
+def test_helper_columns_leave_equal_names_alone(spark):
+    rows = [(i, i % 2, f"h{i}", -i, i * 2, i * 3, i * 5, i * 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y int, _hash string, _piece int, _rank int, _one int, _i int, _offset int")
+    dealt = splitting.stratified_kfold(df, "id", "y", 3, 1)
+    plain = splitting.stratified_kfold(df.select("id", "y"), "id", "y", 3, 1)
+    named = splitting.row_names(df, ["id"])
+    assert dealt.columns == [*df.columns, "fold"] and named.columns == [*df.columns, "composition"]
+    for found in (dealt, named):
+        assert sorted(tuple(r)[:-1] for r in found.collect()) == rows
+    assert {r["id"]: r["fold"] for r in dealt.collect()} == {r["id"]: r["fold"] for r in plain.collect()}
+    assert {r["composition"] for r in named.collect()} == {f"row_{i}" for i in range(1, 61)}
