@@ -33,6 +33,7 @@ ROUNDS = 5
 SLICES = 16
 CHUNK_BYTES = 1 << 18
 PACK_BYTES = 1 << 21
+RARE_BYTES = 1 << 19
 ANSWERS = 2_000_000
 """Answers about rare words that are summed by document at a time."""
 BATCH_TOKENS = 300_000
@@ -336,7 +337,10 @@ def full_pass(coded: DataFrame, model: Model, plain: np.ndarray) -> Model:
 
 # -- the jobs ------------------------------------------------------------------------------------
 def encode(docs: DataFrame, symbols) -> DataFrame:
-    """(doc_id, mark, train, n_tokens, known, own_log, share_log, symbols) of every document."""
+    """(doc_id, mark, train, n_tokens, known, own_log, share_log, symbols, rare) of every document.
+
+    ``rare``: names of the words without own symbol, sorted, eight bytes each.
+    """
 
     def work(batches):
         s, press = symbols.value, zstandard.ZstdCompressor(level=1).compress
@@ -350,38 +354,38 @@ def encode(docs: DataFrame, symbols) -> DataFrame:
             own_log = np.bincount(doc[own], s.heavy_log[symbol[own]], m) + math.log10(s.ends + 1)
             # of no words at all, bincount makes integers
             share_log = np.bincount(doc[~own], s.share[symbol[~own] - len(s.heavy)], m).astype(float)
+            rest = name[~own][np.lexsort((name[~own], doc[~own]))]
+            cuts = np.r_[0, np.cumsum(np.bincount(doc[~own], minlength=m))].tolist()
+            rare = [rest[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             starts = np.r_[0, np.cumsum(n)]
             coded = [
                 press(np.r_[symbol[a:b], end].astype("<u2").tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())
             ]
             yield pa.RecordBatch.from_arrays(
-                [*piece.columns[:3], *(pa.array(x) for x in (n + 1, known, own_log, share_log)), pa.array(coded, pa.binary())],
-                ["doc_id", "mark", "train", "n_tokens", "known", "own_log", "share_log", "symbols"],
+                [*piece.columns[:3], *(pa.array(x) for x in (n + 1, known, own_log, share_log)), *(pa.array(x, pa.binary()) for x in (coded, rare))],
+                ["doc_id", "mark", "train", "n_tokens", "known", "own_log", "share_log", "symbols", "rare"],
             )
 
     return docs.select("doc_id", "mark", "train", "text").mapInArrow(
         work,
-        "doc_id long, mark long, train boolean, n_tokens long, known long, own_log double, share_log double, symbols binary",
+        "doc_id long, mark long, train boolean, n_tokens long, known long, own_log double, share_log double, symbols binary, rare binary",
     )
 
 
-def rare_words(docs: DataFrame, counts: DataFrame, symbols, parts: int) -> DataFrame:
+def rare_words(coded: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
     """(doc_id, mark, rare_known, rare_log): training counts of the words without own symbol."""
 
     def ask(batches):
         held, size = [], 0
-        for piece, texts in _chunks(batches, 2):
-            doc, name = word_names(texts)
-            rare = ~symbols.value.of(name)[1]
-            doc, name = doc[rare], name[rare]
-            order = np.lexsort((name, doc))
-            doc, name = doc[order], name[order]
+        for piece, names in _chunks(batches, 2):
+            name = np.frombuffer(b"".join(names), "<u8").astype(np.uint64)
+            doc = np.repeat(np.arange(len(names)), [len(x) // 8 for x in names])
             at = _firsts(doc, name)
             times = np.diff(np.r_[at, len(doc)])
             ids = piece.column(0).to_numpy(zero_copy_only=False)
             held.append((name[at].view(np.int64), ids[doc[at]], piece.column(1).to_numpy()[doc[at]], times))
-            size += sum(map(len, texts))
-            if size >= PACK_BYTES:
+            size += 8 * len(name)
+            if size >= RARE_BYTES:
                 yield packed(held)
                 held, size = [], 0
         if held:
@@ -431,7 +435,7 @@ def rare_words(docs: DataFrame, counts: DataFrame, symbols, parts: int) -> DataF
                     ["doc_id", "mark", "rare_known", "rare_log"],
                 )
 
-    asked = docs.select("doc_id", "mark", "text").mapInArrow(ask, "part long, blob binary, kind int")
+    asked = coded.select("doc_id", "mark", "rare").mapInArrow(ask, "part long, blob binary, kind int")
     both = asked.unionByName(counts.select("part", "blob", F.lit(0).alias("kind")))
     return (
         both.repartition(parts, "part")
@@ -509,10 +513,10 @@ def score_documents(docs: DataFrame, train, states: int = STATES, rounds: int =
         model = trained
     # null ids meet as -1 does: the mark tells their texts apart
     key = F.coalesce("doc_id", F.lit(-1))
-    rare = rare_words(source.withColumn("doc_id", key), counts, symbols, parts).withColumnRenamed("doc_id", "key")
+    rare = rare_words(coded.withColumn("doc_id", key), counts, parts).withColumnRenamed("doc_id", "key")
     # equal rows ask twice, so each has its own share of the answers
-    rows = likelihoods(coded, model).withColumn("key", key)
-    twins = source.groupBy(key.alias("key"), "mark").agg(F.count("*").alias("twins"))
+    rows = likelihoods(coded.drop("rare"), model).withColumn("key", key)
+    twins = coded.groupBy(key.alias("key"), "mark").agg(F.count("*").alias("twins"))
     joined = rows.join(twins, ["key", "mark"]).join(rare, ["key", "mark"], "left")
     rare_log = F.coalesce(F.col("rare_log") / F.col("twins"), F.lit(0.0))
     rare_known = F.coalesce((F.col("rare_known") / F.col("twins")).cast("long"), F.lit(0))
