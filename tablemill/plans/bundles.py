@@ -1,7 +1,7 @@
 """Finished training runs as files: preprocessing, class names and all models.
 
 A store holds numbered versions side by side. Each version is a folder of its own: MLlib
-models and isotonic curves through their writers, random layers as a parquet table with a
+models through their writers, isotonic curves with a row per point, random layers as a parquet table with a
 row per hidden unit, networks with a row per unit, boosted trees with a row per node. The manifest, a row that says how the parts fit together, is appended
 last and alone makes a version visible, so a run that ends half way leaves nothing that
 could be read. All paths go through Spark, hence to any store its readers know.
@@ -19,12 +19,12 @@ from typing import Any
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel
-from pyspark.ml.regression import DecisionTreeRegressionModel, IsotonicRegressionModel
+from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.operators.boosting import Boosted, Tree
-from tablemill.operators.calibration import IsotonicCalibrated, SigmoidCalibrated
+from tablemill.operators.calibration import Curve, IsotonicCalibrated, SigmoidCalibrated
 from tablemill.operators.elm import ElmModel, Layer
 from tablemill.operators.models import (
     BoostingClassifier,
@@ -46,8 +46,7 @@ _BUILT_IN = {
     for c in (
         RandomForestClassificationModel,
         MultilayerPerceptronClassificationModel,
-            IsotonicRegressionModel,
-        DecisionTreeRegressionModel,
+            DecisionTreeRegressionModel,
     )
 }
 
@@ -94,6 +93,12 @@ class _Parts:
         self.spark.createDataFrame(rows, "layer int, unit int, weights array<double>, bias double").write.parquet(path)
         return {"activation": model.activation, "sizes": [len(b) for b in model.biases], "path": path.rsplit("/", 1)[-1]}
 
+    def curve(self, curve: Curve) -> dict:
+        path = self.path("curve")
+        rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(curve.scores, curve.values))]
+        self.spark.createDataFrame(rows, "point int, score double, value double").write.parquet(path)
+        return {"points": len(rows), "path": path.rsplit("/", 1)[-1]}
+
     def trees(self, model: Boosted) -> dict:
         path = self.path("trees")
         rows = [
@@ -122,7 +127,7 @@ class _Parts:
         elif isinstance(model, SigmoidCalibrated):
             about["folds"] = [[self.model(m), [[c, *ab] for c, ab in sorted(curves.items())]] for m, curves in model.folds]
         elif isinstance(model, IsotonicCalibrated):
-            about["folds"] = [[self.model(m), [[c, self.built_in(v)] for c, v in sorted(curves.items())]] for m, curves in model.folds]
+            about["folds"] = [[self.model(m), [[c, self.curve(v)] for c, v in sorted(curves.items())]] for m, curves in model.folds]
         elif isinstance(model, EnsembleClassifier):
             about["members"] = [self.model(m) for m in model.members]
         else:
@@ -152,6 +157,13 @@ def _network_of(spark: SparkSession, about: dict, folder: str) -> Network:
     )
 
 
+def _curve_of(spark: SparkSession, about: dict, folder: str) -> Curve:
+    rows = spark.read.parquet(f"{folder}/{about['path']}").orderBy("point").collect()
+    if len(rows) != about["points"]:
+        raise ValueError(f"{len(rows)} points for {about['points']} in {about['path']}")
+    return Curve(np.array([r["score"] for r in rows]), np.array([r["value"] for r in rows]))
+
+
 def _trees_of(spark: SparkSession, about: dict, folder: str) -> Boosted:
     rows = spark.read.schema(TREES).parquet(f"{folder}/{about['path']}").orderBy("round", "score", "node").collect()
     if len(rows) != sum(map(sum, about["sizes"])):
@@ -180,7 +192,7 @@ def _model_of(spark: SparkSession, about: dict, folder: str) -> Classifier:
     if kind == "SigmoidCalibrated":
         return SigmoidCalibrated(*base, [(again(m), {c: (a, b) for c, a, b in curves}) for m, curves in about["folds"]])
     if kind == "IsotonicCalibrated":
-        folds = [(again(m), {c: _load_built_in(v, folder) for c, v in curves}) for m, curves in about["folds"]]
+        folds = [(again(m), {c: _curve_of(spark, v, folder) for c, v in curves}) for m, curves in about["folds"]]
         return IsotonicCalibrated(*base, folds)
     if kind == "EnsembleClassifier":
         return EnsembleClassifier(*base, [again(m) for m in about["members"]])

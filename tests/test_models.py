@@ -272,3 +272,34 @@ def test_ensemble_of_equal_members_is_itself(spark):
     for r in both.collect():
         assert r["mean"] == pytest.approx(r["single"])
     assert json.dumps(one.params)
+
+
+def _direct_pooling(score, pos, n):
+    """Least squares under rising values, by the largest lower and smallest upper mean."""
+    order = np.argsort(score)
+    p, w = np.cumsum(np.r_[0, pos[order]]), np.cumsum(np.r_[0, n[order]])
+    fit = [
+        max(min((p[b + 1] - p[a]) / (w[b + 1] - w[a]) for b in range(i, len(order))) for a in range(i + 1))
+        for i in range(len(order))
+    ]
+    return score[order], np.array(fit)
+
+
+def test_isotonic_curves_equal_direct_pooling(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for fold, label, size in ((1, 0, 90), (1, 1, 1), (2, 0, 60), (2, 2, 40)):
+        score, n = rng.permutation(size) / 128, rng.integers(1, 5, size)
+        pos = rng.binomial(n, np.clip(score if label != 2 else 1 - score, 0, 1))
+        want[fold, label] = _direct_pooling(score, pos, n)
+        rows += [(fold, label, float(s), int(a), int(b)) for s, a, b in zip(score, pos, n)]
+    rows += [(3, 0, None, 1, 2)]
+    df = spark.createDataFrame(rows, "fold int, class int, score double, pos long, n long")
+    found = calibration.isotonic_curves(df.repartition(3))
+    assert set(found) == set(want)
+    for group, (score, fit) in want.items():
+        curve = found[group]
+        assert curve.at(score) == pytest.approx(fit)
+        assert curve.at(np.array([-5.0, 5.0])) == pytest.approx([fit[0], fit[-1]])
+        assert len(curve.scores) <= 2 * len(set(fit.round(12)))
+    assert calibration.isotonic_curves(df.filter("false")) == {}
