@@ -90,18 +90,21 @@ def _translated(column: str) -> str:
 
 
 @query("src_confusion_csv",
-       f"WITH {PRED_SQL}, {_CELLS_SQL}, named AS (SELECT ["
+       f"WITH {PRED_SQL}, {_CELLS_SQL}, named AS (SELECT model, ["
        + ", ".join(f"'{p}'" for p in PRIORITY) + "][y_true + 1] AS a, ["
        + ", ".join(f"'{p}'" for p in PRIORITY) + "][y_pred + 1] AS b, "
-       "round(coalesce(n / nullif(sum(n) OVER (PARTITION BY y_true), 0), 0), 8) AS value FROM cells WHERE model = 'MLP') "
-       f"SELECT {_translated('a')} AS class_name, {_translated('b')} AS predicted, value FROM named")
+       "round(coalesce(n / nullif(sum(n) OVER (PARTITION BY model, y_true), 0), 0), 8) AS value FROM cells) "
+       f"SELECT model, {_translated('a')} AS class_name, {_translated('b')} AS predicted, value FROM named")
 def src_confusion_csv(spark, sf_dir):
-    """A written matrix read back to long form with translated labels."""
-    cells = confusion_norm(spark, sf_dir).filter("model = 'MLP'")
-    wide = metrics.pivot_confusion(cells, PRIORITY, "share", [])
-    path = new_path(spark, "confusion")
-    sinks.write_metrics(wide, path)
-    return _rounded(tables.read_confusion_csv(spark, path, _NAMES), ["value"])
+    """The matrix of each model, written and read back to long form with translated labels."""
+    cells = materialize(confusion_norm(spark, sf_dir), "cells")
+    found = None
+    for (model,) in cells.select("model").distinct().orderBy("model").collect():
+        path = new_path(spark, "confusion")
+        sinks.write_metrics(metrics.pivot_confusion(cells.filter(F.col("model") == model), PRIORITY, "share", []), path)
+        part = tables.read_confusion_csv(spark, path, _NAMES).select(F.lit(model).alias("model"), "*")
+        found = part if found is None else found.unionByName(part)
+    return _rounded(found, ["value"])
 
 
 @query("sink_metrics", f"WITH {PRED_SQL}, {_class_sql('model')} {_summary_sql('model', 'n_samples_oof')}")
