@@ -380,14 +380,23 @@ def top2(spark, sf_dir):
     return _rounded(found, ["proba_top1", "proba_top2"], 12)
 
 
+_WIDE_MODELS = ["RandomForest", "Ensemble"]
+
+
+def _wide_sql(m: str) -> str:
+    return (
+        f"(SELECT row_id, ['F', 'O', 'P'][{_ARG_SQL} + 1] AS \"pred_{m}\", {_ARG_SQL} AS \"pred_{m}_idx\", "
+        f"round(greatest(p0, p1, p2), 12) AS \"pred_{m}_pmax\", round(p0, 12) AS \"proba_{m}_F\", "
+        f"round(p1, 12) AS \"proba_{m}_O\", round(p2, 12) AS \"proba_{m}_P\" FROM proba WHERE model = '{m}')"
+    )
+
+
 @query("sink_preds_columns",
-       f"WITH {PROBA_SQL} SELECT row_id, ['F', 'O', 'P'][{_ARG_SQL} + 1] AS \"pred_Ensemble\", {_ARG_SQL} AS \"pred_Ensemble_idx\", "
-       "round(greatest(p0, p1, p2), 12) AS \"pred_Ensemble_pmax\", round(p0, 12) AS \"proba_Ensemble_F\", round(p1, 12) AS \"proba_Ensemble_O\", "
-       "round(p2, 12) AS \"proba_Ensemble_P\" FROM proba WHERE model = 'Ensemble'")
+       f"WITH {PROBA_SQL} SELECT * FROM {_wide_sql('RandomForest')} JOIN {_wide_sql('Ensemble')} USING (row_id)")
 def sink_preds_columns(spark, sf_dir):
-    """The wide output form: label, index, largest probability and all probabilities per model."""
-    rows = probabilities(spark, sf_dir).filter("model = 'Ensemble'")
-    found = rows.select("row_id", *model_columns("Ensemble", F.col("proba"), STATUS, full=True))
+    """The wide output form: label, index, largest probability and all probabilities of every model."""
+    rows = probabilities(spark, sf_dir).groupBy("row_id").pivot("model", _WIDE_MODELS).agg(F.first("proba"))
+    found = rows.select("row_id", *[c for m in _WIDE_MODELS for c in model_columns(m, F.col(m), STATUS, full=True)])
     return _rounded(found, [c for c in found.columns if c.startswith("proba_") or c.endswith("pmax")], 12)
 
 
