@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.operators.ranking import rank_desc
+from tablemill.session import materialize
 
 # Beyond this many features the number of coalitions has to be stated.
 MOST_FEATURES = 20
@@ -160,46 +161,50 @@ def explain_scorer(
     n_samples: int | None = None,
     seed: int = 42,
     points_per_slice: int = 200,
+    rows_per_block: int = 4096,
 ) -> DataFrame:
     """Shapley values of anything that scores a DataFrame: ``row_id, class, feature, phi``.
 
     ``score`` gets the feature columns beside others and adds ``proba`` (an array of scores),
     keeping the others, so models, pipelines and their ensemble are explained alike.
-    ``background`` (:func:`background_points`) is taken in slices of about
-    ``points_per_slice`` points. In a slice each row is mixed with its points in every
-    coalition inside the row's own task, scored there, and summed to one value a coalition
-    before anything is shuffled. Rows need distinct ids; pass stored tables.
+    ``background`` comes from :func:`background_points`.
+
+    A coalition's value depends on what the row has inside it and the points have outside it.
+    So each coalition scores its distinct insides with its distinct, weighted outsides, and
+    rows look their values up: features of few values cost few mixed rows, and only where
+    everything is distinct is every row mixed with every point. Insides come in blocks of
+    about ``rows_per_block`` and outsides in slices of about ``points_per_slice``; a block and
+    a slice are mixed, scored and summed in one task before anything is shuffled. Rows need
+    distinct ids; pass stored tables.
     """
     m = len(features)
     masks, weights = coalitions(m, n_samples, seed)
     project = projector(masks, weights)
     quoted = [F.col(f"`{f}`").cast("double").alias(f) for f in features]
-    facts = background.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").cast("double").alias("total")).first()
-    points = background.select(*quoted, (F.col("weight") / F.lit(facts["total"])).alias("_share"))
+    total = background.agg(F.sum("weight").cast("double").alias("total")).first()["total"]
+    points = background.select(*quoted, (F.col("weight") / F.lit(total)).alias("_share"))
     means = score(points).agg(*[F.sum(F.col("_share") * F.get("proba", F.lit(c))).alias(f"b{c}") for c in range(n_classes)]).first()
     base = np.array([means[f"b{c}"] for c in range(n_classes)])
     rows = df.select(F.col(f"`{row_id}`").alias("_id"), *quoted)
     key_type = df.schema[row_id].dataType.simpleString()
-    n_slices = max(1, -(-facts["n"] // points_per_slice))
-    slot = F.pmod(F.xxhash64(*[F.col(f"`{f}`") for f in features]), F.lit(n_slices))
-    summed = None
-    for x in range(n_slices) if len(masks) else ():
-        at = points.where(slot == x).toPandas()
-        if len(at):
-            mixed = rows.mapInPandas(
-                _mixed(features, masks, at[features].to_numpy(dtype=float), at["_share"].to_numpy(dtype=float)),
-                f"_id {key_type}, _coalition int, _share double, " + ", ".join(f"`{f}` double" for f in features),
-            )
-            value = [F.sum(F.col("_share") * F.get("proba", F.lit(c))).alias(f"v{c}") for c in range(n_classes)]
-            part = score(mixed).groupBy("_id", "_coalition").agg(*value)
-            summed = part if summed is None else summed.unionByName(part)
     own = score(rows).select("_id", F.col("proba").alias("_own"))
-    if summed is None:
+    if not len(masks):
         per_row = own.withColumn("_values", F.array().cast("array<array<double>>"))
     else:
-        total = summed.groupBy("_id", "_coalition").agg(F.array(*[F.sum(f"v{c}") for c in range(n_classes)]).alias("v"))
+        inside = _parts_of(rows, features, masks, key_type).withColumnRenamed("_part", "_inside")
+        outside = _parts_of(points.withColumnRenamed("_share", "_id"), features, ~masks, "double")
+        outside = outside.groupBy("_coalition", F.col("_part").alias("_outside")).agg(F.sum("_id").alias("_share"))
+        mixed = _meeting(inside.select("_coalition", "_inside").distinct(), outside, rows_per_block, points_per_slice).select(
+            "_coalition", "_inside", "_share",
+            *[F.coalesce(F.get("_inside", F.lit(i)), F.get("_outside", F.lit(i))).alias(f) for i, f in enumerate(features)],
+        )
+        value = [F.sum(F.col("_share") * F.get("proba", F.lit(c))).alias(f"v{c}") for c in range(n_classes)]
+        values = score(mixed).groupBy("_coalition", "_inside").agg(*value)
+        # by row at once: what follows needs no other shuffle
+        found = inside.join(values, ["_coalition", "_inside"], "left").repartition("_id")
+        summed = found.groupBy("_id", "_coalition").agg(F.array(*[F.sum(f"v{c}") for c in range(n_classes)]).alias("v"))
         ordered = F.array_sort(F.collect_list(F.struct("_coalition", "v")))
-        per_row = total.groupBy("_id").agg(ordered.alias("_pairs")).join(own, "_id").select(
+        per_row = summed.groupBy("_id").agg(ordered.alias("_pairs")).join(own, "_id").select(
             "_id", "_own", F.transform("_pairs", lambda p: p["v"]).alias("_values")
         )
 
@@ -219,23 +224,53 @@ def explain_scorer(
 def _mixed(features: list[str], masks: np.ndarray, points: np.ndarray, shares: np.ndarray, most: int = 1 << 16):
     """Each row in every coalition with every point, in batches of at most about ``most`` rows."""
     step = max(1, most // len(points))
+    rows_at_once = max(1, step // max(1, len(masks)))
 
     def run(batches):
         for batch in batches:
             values = batch[features].to_numpy(dtype=float)
-            for i, row in zip(batch["_id"], values):
+            for x in range(0, len(values), rows_at_once):
+                own = values[x : x + rows_at_once]
                 for a in range(0, len(masks), step):
                     some = masks[a : a + step]
-                    mixed = np.where(some[:, None, :], row, points[None, :, :]).reshape(-1, len(features))
+                    each = len(some) * len(points)
+                    mixed = np.where(some[:, None, :], own[:, None, None, :], points).reshape(-1, len(features))
                     out = pd.DataFrame(mixed, columns=features)
-                    out.insert(0, "_share", np.tile(shares, len(some)))
-                    out.insert(0, "_coalition", np.repeat(np.arange(a, a + len(some), dtype=np.int32), len(points)))
-                    out.insert(0, "_id", i)
+                    out.insert(0, "_share", np.tile(shares, len(own) * len(some)))
+                    out.insert(0, "_coalition", np.tile(np.repeat(np.arange(a, a + len(some), dtype=np.int32), len(points)), len(own)))
+                    out.insert(0, "_id", batch["_id"].iloc[x : x + rows_at_once].repeat(each).array)
                     yield out
 
     return run
 
 
+def _parts_of(df: DataFrame, features: list[str], masks: np.ndarray, key_type: str) -> DataFrame:
+    """(_id, _coalition, _part): each row's features inside every coalition, NULL outside it."""
+    nowhere, one = np.full((1, len(features)), np.nan), np.ones(1)
+    schema = f"_id {key_type}, _coalition int, _share double, " + ", ".join(f"`{f}` double" for f in features)
+    held = df.mapInPandas(_mixed(features, masks, nowhere, one), schema)
+    return held.select("_id", "_coalition", F.array(*[F.col(f"`{f}`") for f in features]).alias("_part"))
+
+
+def _meeting(inside: DataFrame, outside: DataFrame, rows_per_block: int, points_per_slice: int) -> DataFrame:
+    """Every inside beside every outside of its coalition; a task joins a block of the one with a slice of the other."""
+    spark = inside.sparkSession
+    inside, outside = materialize(inside, "inside"), materialize(outside, "outside")
+    pieces = lambda most: F.ceil(F.count(F.lit(1)) / most)
+    sizes = inside.groupBy("_coalition").agg(pieces(rows_per_block).alias("_blocks")).join(
+        outside.groupBy("_coalition").agg(pieces(points_per_slice).alias("_slices")), "_coalition"
+    )
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    spread = lambda part, n: F.pmod(F.xxhash64(part), F.col(n))
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - one))
+    left = inside.join(sizes, "_coalition").withColumn("_block", spread("_inside", "_blocks")).withColumn("_slice", every("_slices"))
+    right = outside.join(sizes, "_coalition").withColumn("_slice", spread("_outside", "_slices")).withColumn("_block", every("_blocks"))
+    # a stated number of partitions: the few records that meet would be put into few tasks
+    on, n = ["_coalition", "_block", "_slice"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.select(*on, "_inside").repartition(n, *on), right.select(*on, "_outside", "_share").repartition(n, *on)
+    return left.join(right, on).drop("_block", "_slice")
+
+
 def _longs(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 

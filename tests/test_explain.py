@@ -71,3 +71,31 @@ def test_nothing_is_shuffled_before_it_is_summed(spark):
     assert mixed.count() == 10 * 2 * 3
     plan = mixed.groupBy("_id", "_coalition").agg(F.sum("a"))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInPandas") > plan.index("partial_sum") > plan.index("Exchange")
+
+
+def test_a_coalition_scores_its_distinct_halves_only(spark):
+    """300 rows with one feature of many values and two of few: far from 300 x 300 mixed rows a coalition."""
+    rows = [(i, i * 1.25, float(i % 2), float(i % 3) if i % 7 else None) for i in range(300)]
+    df = materialize(spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3), "rows")
+    points = materialize(explain.background_points(df, ["a", "b", "c"]), "points")
+    scored = spark.sparkContext.accumulator(0)
+
+    def score(frame):
+        def run(batches):
+            for batch in batches:
+                scored.add(len(batch))
+                a, b, c = (batch[n].astype(float) for n in "abc")
+                yield batch.assign(proba=[[x] for x in a * b - b * c.fillna(-2.0)])
+
+        schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in frame.schema)
+        return frame.mapInPandas(run, f"{schema}, proba array<double>")
+
+    def arrays(x):
+        return (x[:, :1] * x[:, 1:2]) - x[:, 1:2] * np.nan_to_num(x[:, 2:], nan=-2.0)
+
+    flat = lambda found: {(r.id, r["class"], r.feature): r.phi for r in found.collect()}
+    found = flat(explain.explain_scorer(df, "id", ["a", "b", "c"], points, score, 1, points_per_slice=50, rows_per_block=64))
+    # insides x outsides: 300x8, 2x300, 4x300, 300x4, 300x2, 8x300 at most; background and rows themselves once each
+    assert scored.value <= 300 * (8 + 2 + 4 + 4 + 2 + 8) + 2 * 300
+    assert len(found) == 900
+    assert found == pytest.approx(flat(explain.kernel_shap(df, "id", ["a", "b", "c"], points, arrays, 1)))
