@@ -123,3 +123,18 @@ def test_equation_terms_are_read_alone(spark):
     given = ["2 Ni + Fe2 + O2 -> NiFe2O4", "3O2", ""]
     df = parse_equations(spark.createDataFrame([(e,) for e in given], "equation string"), "equation")
     assert [tuple(r)[1:] for r in df.collect()] == [(2, 1, 1, 2, "NiFe2O4", 1), (0, 3, 0, 2, "", 1), (0, 0, 0, 0, "", 1)]
+
+
+def test_atoms_are_spread_before_any_partial_statistic(spark):
+    """One value is 8 bytes and its partial statistics 64: what is shuffled are the atoms."""
+    atoms = spark.createDataFrame(
+        [(1, 2.0, 5.0), (1, 4.0, None), (2, 7.0, 1.0), (None, 9.0, 9.0)], "k long, a double, b double"
+    )
+    every = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (None, 1)], "k long, y int")
+    found = compose.stat5(atoms, "k", ["a", "b"], every=every, carry=["y"])
+    plan = compose.stat5(atoms, "k", ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min") < plan.index("Exchange")
+    rows = {r.k: tuple(r) for r in found.collect()}
+    assert rows[1] == (1, 0, 2.0, 4.0, 6.0, 3.0, 1.0, 5.0, 5.0, 5.0, 5.0, 0.0)
+    assert rows[2] == (2, 1, 7.0, 7.0, 7.0, 7.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.0)
+    assert rows[3] == (3, 0, *[None] * 10) and rows[None] == (None, 1, *[None] * 10)
