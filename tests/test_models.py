@@ -303,3 +303,26 @@ def test_isotonic_curves_equal_direct_pooling(spark):
         assert curve.at(np.array([-5.0, 5.0])) == pytest.approx([fit[0], fit[-1]])
         assert len(curve.scores) <= 2 * len(set(fit.round(12)))
     assert calibration.isotonic_curves(df.filter("false")) == {}
+
+
+def test_boosting_rows_stay_arrow_columns(spark):
+    """Scores and what is left over come from matrices over Arrow's own memory, without an object per row."""
+    rows = [([float(i), float(-i)], i % 3, [0.1 * i, 0.0, -0.2]) for i in range(50)]
+    df = spark.createDataFrame(rows, "x array<double>, y int, s array<double>").repartition(3)
+    tree = lambda at, v: boosting.Tree(
+        np.array([0, 0, 0]), np.array([at, np.inf, np.inf]), np.array([1, 1, 2]), np.array([2, 1, 2]), np.array([0.0, v, -v])
+    )
+    trees = [tree(10.0, 1.0), tree(20.0, 2.0), tree(49.0, 3.0)]
+    stepped = boosting._stepped(df, trees)
+    assert "MapInArrow" in stepped._jdf.queryExecution().executedPlan().toString()
+    for r in stepped.collect():
+        i = int(r.x[0])
+        s = np.array([0.1 * i, 0.0, -0.2]) + [1.0 if i <= 10 else -1.0, 2.0 if i <= 20 else -2.0, 3.0]
+        p = np.exp(s) / np.exp(s).sum()
+        assert (r.x, r.y) == ([i, -i], i % 3)
+        assert r.s == pytest.approx(s) and r.r == pytest.approx(np.eye(3)[i % 3] - p)
+    sums, loss = boosting.leaf_sums(stepped, trees)
+    kept = stepped.collect()
+    assert loss == pytest.approx(-np.mean([np.log(np.exp(r.s) / np.exp(r.s).sum())[r.y] for r in kept]))
+    assert set(sums) == {(0, 1), (0, 2), (1, 1), (1, 2), (2, 1)}
+    assert sums[0, 1][0] == pytest.approx(sum(r.r[0] for r in kept if r.x[0] <= 10))
