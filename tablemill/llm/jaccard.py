@@ -9,7 +9,9 @@ the distinct shingle sets ("nodes"), so copies cost nothing.
    agree in a class, with sizes that allow a link, have the smallest of them as pivot. The
    region of a pivot holds all nodes that have it as a pivot, so a node near several pivots
    is replicated to each, and every linked pair meets in some region. That a class has
-   several shingles keeps common phrases from bringing strangers together.
+   several shingles keeps common phrases from bringing strangers together. Only the first
+   classes of a set are sent, as many as linked sets need to agree in several of them; a node
+   that agrees with others in fewer has no link. A region within another one is left out.
 2. Windows. A region that is small is joined at once. In a larger one the distances to the
    pivot are computed first, by parts of the region with the pivot in each. The ball of
    radius r is ring 0, and rings of width r lie around it. By the triangle inequality linked
@@ -142,16 +144,30 @@ def differences(size: np.ndarray, percent: int) -> np.ndarray:
     return (100 - percent) * size // percent
 
 
-def class_keys(doc: np.ndarray, name: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key): one key for each class of shingles of each text.
+def least_agreeing(top: np.ndarray, percent: int) -> np.ndarray:
+    """Keys that linked sets of a band with sizes up to ``top`` share, where they have them to spare."""
+    return 1 + differences(top, percent) // 16
+
+
+def class_keys(
+    doc: np.ndarray, name: np.ndarray, size: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key) for classes of shingles of each text; (keys that a link needs) of each text.
 
     Band b is for pairs whose smaller set has 2^b to 2^(b+1) - 1 shingles; a text is in its
     own band, and in the one below if a linked set may be there. If a text's shingles fall
-    into more classes than it can have differences, one of these classes is the same in any
+    into more classes than it can have differences, the surplus of them are the same in any
     linked set; else (rare, small sets) its empty classes get keys too, which meet those of
     other such sets, because a band has more classes than differences.
+
+    Say that k = ``least_agreeing`` and that the surplus of one of two linked sets is k or
+    more, so that k classes agree. After the k-th of these, in the order of class numbers,
+    either set has so many more agreeing classes that it is among the first (differences + k)
+    of the set's classes: only those get keys. A set with less than k to spare gives all its
+    keys. So a text that has k to spare in every band shares k keys with each linked set.
     """
     docs, keys = [], []
+    need = np.full(len(size), np.iinfo(np.int64).max)
     own = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
     for below in (0, 1):
         band = own - below
@@ -168,18 +184,23 @@ def class_keys(doc: np.ndarray, name: np.ndarray, size: np.ndarray, percent: int
         first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (number[1:] != number[:-1])])
         total = np.add.reduceat(mix(n), first)
         d, number = d[first], number[first]
-        docs.append(d)
-        keys.append(mix(total + mix((number * 64 + band[d]).astype(np.uint64))))
         filled = np.bincount(d, minlength=len(size))
-        short = np.flatnonzero(meets & (filled <= differences(size, percent)))
+        most, least = differences(np.minimum(size, top), percent), least_agreeing(top, percent)
+        spare = filled - most >= least
+        need = np.where(meets, np.minimum(need, np.where(spare, least, 1)), need)
+        rank = np.arange(len(d)) - (np.cumsum(filled) - filled)[d]
+        sent = rank < np.where(spare, most + least, filled)[d]
+        docs.append(d[sent])
+        keys.append(mix(total + mix((number * 64 + band[d]).astype(np.uint64)))[sent])
+        short = np.flatnonzero(meets & (filled <= most))
         for k in short.tolist():
             a, b = np.searchsorted(d, [k, k + 1])
             empty = np.setdiff1d(np.arange(classes[k]), number[a:b])
             docs.append(np.full(len(empty), k))
             keys.append(mix(mix((empty * 64 + band[k]).astype(np.uint64)) + ONE))
     if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), need
+    return np.concatenate(docs), np.concatenate(keys), need
 
 
 def _all_keys(batches, words: int, percent: int, parts: int):
@@ -187,11 +208,11 @@ def _all_keys(batches, words: int, percent: int, parts: int):
     for _, texts in _chunks(batches, 0):
         doc, name = shingle_sets(texts, words)
         size, node = _nodes(doc, name, len(texts))
-        doc, key = class_keys(doc, name, size, percent)
-        order = np.argsort(doc, kind="stable")  # text order packs best
+        doc, key, need = class_keys(doc, name, size, percent)
+        order = np.argsort(doc, kind="stable")  # a text's keys stand together
         doc, key = doc[order], key[order]
         # 48 bits of a key: a chance meeting costs a comparison, no more
-        held.append(((key >> np.uint64(16)).astype(np.int64), node[doc], size[doc]))
+        held.append(((key >> np.uint64(16)).astype(np.int64), node[doc], size[doc], need[doc]))
         bytes_held += sum(map(len, texts))
         if bytes_held >= 16 * CHUNK_BYTES:
             yield _pack_keys(held, parts)
@@ -201,10 +222,16 @@ def _all_keys(batches, words: int, percent: int, parts: int):
 
 
 def _pack_keys(held, parts: int) -> pa.RecordBatch:
-    key, node, size = (np.concatenate(x) for x in zip(*held))
+    """Per part the keys, node by node, and beside them each node once, with its number of keys."""
+    key, node, size, need = (np.concatenate(x) for x in zip(*held))
     one = np.sort(_distinct(key, node))  # copies in this chunk count once
-    key, node, size = key[one], node[one], size[one]
-    return pack(key % parts, [key, node, size])
+    one = one[np.argsort(key[one] % parts, kind="stable")]
+    key, node, size, need = key[one], node[one], size[one], need[one]
+    part = key % parts
+    at = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (node[1:] != node[:-1])][: len(part)])
+    keys = pack(part, [key // parts])  # its part says the rest
+    nodes = pack(part[at], [node[at], size[at], need[at], np.diff(np.r_[at, len(part)])])
+    return pa.RecordBatch.from_arrays([*keys.columns, nodes.column(1)], ["part", "blob", "nodes"])
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,13 +240,14 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]]
 
 
-def _to_pivots(columns, percent: int) -> pa.RecordBatch | None:
-    """(pivot, node, size) from the nodes that share each of a part's keys."""
-    name, node, size = columns
+def _to_pivots(name: np.ndarray, nodes: list[np.ndarray], percent: int) -> pa.RecordBatch:
+    """(pivot, node, shared keys, keys needed) from the nodes that share each of a part's keys."""
+    node, size, need, times = nodes
+    node, size, need = (np.repeat(x, times) for x in (node, size, need))
     one = _distinct(name, node)
-    name, node, size = name[one], node[one], size[one]
+    name, node, size, need = name[one], node[one], size[one], need[one]
     order = np.lexsort((node, size, name))
-    name, node, size = name[order], node[order], size[order]
+    name, node, size, need = name[order], node[order], size[order], need[order]
     # a gap in sizes that no link can bridge parts a group
     new = np.r_[True, (name[1:] != name[:-1]) | (100 * size[:-1] < percent * size[1:])][: len(name)]
     at = np.flatnonzero(new)
@@ -227,9 +255,42 @@ def _to_pivots(columns, percent: int) -> pa.RecordBatch | None:
     many = np.diff(np.r_[at, len(name)]) > 1
     pivot = np.minimum.reduceat(node, at)[group] if len(at) else node
     keep = many[group]
-    pivot, node, size = pivot[keep], node[keep], size[keep]
-    one = _distinct(pivot, node)
-    return pa.RecordBatch.from_arrays([pa.array(x[one]) for x in (pivot, node, size)], ["pivot", "node", "size"])
+    pivot, node, need = pivot[keep], node[keep], need[keep]
+    order = np.lexsort((node, pivot))
+    pivot, node, need = pivot[order], node[order], need[order]
+    at = np.flatnonzero(np.r_[True, (pivot[1:] != pivot[:-1]) | (node[1:] != node[:-1])][: len(pivot)])
+    columns = (pivot[at], node[at], np.diff(np.r_[at, len(pivot)]), need[at])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["pivot", "node", "shared", "need"])
+
+
+def _worth_joining(met: DataFrame) -> DataFrame:
+    """(pivot, node) of regions to join, from (pivot, node, shared, need).
+
+    Nodes that share fewer keys than any link of theirs needs are left out, the smallest node
+    that stays is the pivot, and regions of one pivot become one.
+    """
+    able = met.groupBy("node").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    left = met.select("pivot", "node").join(able.select("node"), "node")
+    pivots = left.groupBy("pivot").agg(F.min("node").alias("least"), F.count("*").alias("nodes")).where("nodes > 1")
+    return left.join(pivots, "pivot").select(F.col("least").alias("pivot"), "node").distinct()
+
+
+def _outermost(regions: DataFrame) -> DataFrame:
+    """The regions of (pivot, node) without those that lie within another one.
+
+    The pivot is a region's smallest node, so a region around another has a smaller pivot,
+    which all nodes of the inner one have too; the outermost of such a chain stays.
+    """
+    pivots = regions.groupBy("node").agg(F.collect_list("pivot").alias("pivots"))
+    around = (
+        pivots.select(F.explode("pivots").alias("pivot"), "pivots")
+        .select("pivot", F.explode(F.filter("pivots", lambda x: x < F.col("pivot"))).alias("outer"))
+        .groupBy("pivot", "outer")
+        .agg(F.count("*").alias("nodes"))
+    )
+    sizes = regions.groupBy("pivot").agg(F.count("*").alias("nodes"))
+    inner = around.join(sizes, ["pivot", "nodes"]).select("pivot").distinct()
+    return regions.join(inner, "pivot", "left_anti")
 
 
 # -- joining the nodes of one region ---------------------------------------------------------
@@ -420,20 +481,21 @@ def link_nodes(docs: DataFrame, words: int, percent: int, parts: int | None = No
         return _all_keys(batches, words, percent, parts)
 
     def pivots(batches):
-        for blobs, _ in each_part(batches):
-            yield _to_pivots(unpack(blobs, 3), percent)
+        for blobs, nodes in each_part(batches):
+            yield _to_pivots(unpack(blobs, 1)[0], unpack(nodes, 4), percent)
 
     # passed on without a name, so that its shuffle can be freed once it is stored
-    regions = stored(
+    met = stored(
         docs.select("text")
-        .mapInArrow(keys, "part long, blob binary")
+        .mapInArrow(keys, "part long, blob binary, nodes binary")
         .repartition(parts, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(pivots, "pivot long, node long, size long")
+        .mapInArrow(pivots, "pivot long, node long, shared long, need long")
         .groupBy("pivot", "node")
-        .agg(F.max("size").alias("size")),
-        "regions",
+        .agg(F.sum("shared").alias("shared"), F.max("need").alias("need")),
+        "met",
     )
+    regions = stored(_outermost(stored(_worth_joining(met), "reduced")), "regions")
     # one text for each node; equal texts under one id are equal rows
     chosen = members.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
     sizes = regions.groupBy("pivot").agg(F.count("*").alias("nodes"))

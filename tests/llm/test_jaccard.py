@@ -167,3 +167,61 @@ def test_overlaps_of_common_and_rare_elements():
     assert both.dense is not None and len(both.posting)
     for p in range(149):
         assert both.pop(p).tolist() == [len(np.intersect1d(lists[p], x)) for x in lists[p + 1 :]]
+
+
+def keys_of(sets, percent):
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    size = np.array([len(x) for x in sets])
+    doc, key, need = jaccard.class_keys(doc, np.concatenate(sets), size, percent)
+    return [key[doc == k] for k in range(len(sets))], need
+
+
+@pytest.mark.parametrize("percent", [60, 85, 100])
+def test_linked_sets_share_the_keys_they_need(percent):
+    """Sets with as many differences as a link allows, dropped or added, in any mixture."""
+    draw = np.random.default_rng(10)
+    for size in [1, 2, 3, 7, 8, 15, 16, 31, 40, 63, 64, 70, 100, 127, 128, 150, 255, 256, 500, 1100]:
+        for _ in range(6):
+            a = draw.choice(1 << 30, size, replace=False).astype(np.uint64)
+            most = int(jaccard.differences(np.array(size), percent))
+            gone = int(draw.integers(0, most + 1))
+            b = np.r_[a[gone:], draw.choice(1 << 30, most - gone, replace=False).astype(np.uint64) + np.uint64(1 << 30)]
+            while 100 * (size - gone) < percent * (len(b) + gone):
+                b = b[:-1] if len(b) > size - gone else np.r_[b, a[gone - 1]]
+                gone = size - len(np.intersect1d(a, b))
+            (x, y), need = keys_of([np.sort(a), np.sort(b)], percent)
+            assert len(np.unique(x)) == len(x)
+            assert len(np.intersect1d(x, y)) >= need.max() >= 1
+
+
+def test_keys_are_as_many_as_differences_and_what_a_link_needs():
+    draw = np.random.default_rng(11)
+    sets = [draw.choice(1 << 40, n, replace=False).astype(np.uint64) for n in (620, 700, 800, 1800)]  # in one band each
+    keys, need = keys_of(sets, 85)
+    assert need.tolist() == [12, 12, 12, 23]
+    assert [len(x) for x in keys] == [620 * 15 // 85 + 12, 700 * 15 // 85 + 12, 800 * 15 // 85 + 12, 1800 * 15 // 85 + 23]
+
+
+def test_only_texts_that_may_link_are_sent_and_once(spark, monkeypatch):
+    """Near copies form one region; texts that share a passage with each other form none."""
+    draw, tables = random.Random(12), {}
+    word = lambda: f"w{draw.randrange(10**6)}"
+    rows = []
+    for _ in range(4):
+        text = [word() for _ in range(320)]
+        for _ in range(12):
+            w = list(text)
+            for _ in range(2):
+                w[draw.randrange(320)] = word()
+            rows.append((len(rows), " ".join(w)))
+    passage = [word() for _ in range(30)]
+    rows += [(i, " ".join([*passage, *(word() for _ in range(290))])) for i in range(100, 130)]
+    kept = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, stem: tables.setdefault(stem, kept(df, stem)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    members, _, degrees = jaccard.link_nodes(docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "CAST(text AS binary) AS text"), 4, 85)
+    near = {r.node for r in members.where("doc_id < 48").collect()}
+    assert {r.node for r in degrees.collect()} == near and len(near) == 48
+    regions = collections.Counter(r.node for r in tables["regions"].select("node").collect())
+    assert set(regions) == near
+    assert max(regions.values()) == 1
