@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tablemill.catalog import models as model_queries
 from tablemill.catalog.base import feature_table
 from tablemill.operators.models import MODEL_NAMES
 from tablemill.plans import finalize, nested_cv, scoring
@@ -149,3 +150,32 @@ def test_bundle_round_trip(spark, wide):
     path = new_path(spark, "b")
     spark.createDataFrame([(pre.to_json(),)], "value string").coalesce(1).write.text(path)
     assert tables.bundle_of(tables.read_bundle(spark, path)) == pre
+
+
+def test_nested_query_runs_every_outer_fold(spark, tmp_path, monkeypatch):
+    """All five folds are worked off, and every order is predicted once by every model."""
+    ids = range(1, 41)
+    tables_ = {
+        "orders": ([(i, "F") for i in ids], "o_orderkey long, o_orderstatus string"),
+        "lineitem": ([(i, i % 3, 1.0 * i, 2.0 * i, 0.1, 0.2) for i in ids], "l_orderkey long, l_partkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"),
+        "part": ([(i, i, 1.0) for i in range(3)], "p_partkey long, p_size int, p_retailprice double"),
+    }
+    for name, (rows, schema) in tables_.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    worked = []
+
+    def finish(df, features, fold, s, fold_column, ledger, *more):
+        worked.append(fold)
+        names = (*MODEL_NAMES, "Ensemble")
+        rows = df.filter(F.col(fold_column) == fold).select(
+            F.lit(fold).alias("fold"), "row_id", F.col("y").alias("y_true"),
+            F.explode(F.array(*map(F.lit, names))).alias("model"), F.array(F.lit(1.0)).alias("proba"), F.col("y").alias("y_pred"),
+        )
+        for n in MODEL_NAMES:
+            ledger.put_choice(fold, n, {}, 1.0, [])
+        ledger.put_predictions(rows)
+
+    monkeypatch.setattr(nested_cv, "_finish_fold", finish)
+    found = model_queries.nested_cv_fold(spark, str(tmp_path)).collect()
+    assert sorted(worked) == [1, 2, 3, 4, 5] and {r.fold for r in found} == {1, 2, 3, 4, 5}
+    assert sorted((r.row_id, r.model) for r in found) == sorted((i, m) for i in ids for m in (*MODEL_NAMES, "Ensemble"))
