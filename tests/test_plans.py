@@ -179,3 +179,37 @@ def test_nested_query_runs_every_outer_fold(spark, tmp_path, monkeypatch):
     found = model_queries.nested_cv_fold(spark, str(tmp_path)).collect()
     assert sorted(worked) == [1, 2, 3, 4, 5] and {r.fold for r in found} == {1, 2, 3, 4, 5}
     assert sorted((r.row_id, r.model) for r in found) == sorted((i, m) for i in ids for m in (*MODEL_NAMES, "Ensemble"))
+
+
+def test_outer_folds_share_dealing_and_preprocessing(spark, wide, monkeypatch):
+    """One deal and one fit of the preprocessing serve all outer folds, and both are those of each fold alone."""
+    s = nested_cv.Settings(k=3, outer_splits=3, inner_splits=2, grids=GRIDS, threshold=0.8)
+    calls, given = [], {}
+
+    def counted(name):
+        real = getattr(nested_cv, name)
+        monkeypatch.setattr(nested_cv, name, lambda *a, **k: calls.append(name) or real(*a, **k))
+
+    counted("stratified_kfold"), counted("fit_preprocessing_splits")
+    monkeypatch.setattr(nested_cv, "run_outer_fold", lambda df, features, fold, s, ledger, inner: given.update({fold: (df.collect(), df.columns, inner)}))
+    nested_cv.run_nested_cv(wide, FEATURES, s)
+    assert sorted(calls) == ["fit_preprocessing_splits", "stratified_kfold"] and sorted(given) == [1, 2, 3]
+    monkeypatch.undo()
+
+    for fold, (rows, columns, inner) in given.items():
+        dealt = spark.createDataFrame([tuple(r) for r in rows], _schema(wide, columns))
+        train = materialize(dealt.filter(F.col("fold") != fold).withColumn("inner_fold", inner.column), "train")
+        alone = materialize(nested_cv.stratified_kfold(train.drop("inner_fold"), "row_id", "y", 2, 42, out="inner_fold"), "alone")
+        key = lambda df: sorted((r.row_id, r.inner_fold) for r in df.select("row_id", "inner_fold").collect())
+        assert key(train) == key(alone)
+        one = nested_cv.fit_preprocessing_splits(alone, FEATURES, "inner_fold", [None, 1, 2], 0.8)
+        assert one.keys() == inner.fitted.keys()
+        for split, pre in one.items():
+            other = inner.fitted[split]
+            assert (pre.medians, pre.final_features) == (other.medians, other.final_features)
+            assert pre.scaler_mean == pytest.approx(other.scaler_mean) and pre.scaler_scale == pytest.approx(other.scaler_scale)
+
+
+def _schema(wide, columns):
+    known = {**dict(wide.dtypes), "_rank": "long", "fold": "int"}
+    return ", ".join(f"{c} {known[c]}" for c in columns)

@@ -105,3 +105,16 @@ def test_helper_columns_leave_equal_names_alone(spark):
         assert sorted(tuple(r)[:-1] for r in found.collect()) == rows
     assert {r["id"]: r["fold"] for r in dealt.collect()} == {r["id"]: r["fold"] for r in plain.collect()}
     assert {r["composition"] for r in named.collect()} == {f"row_{i}" for i in range(1, 61)}
+
+
+def test_inner_folds_follow_from_the_outer_rank():
+    """Of ranks alone: what the outer deal says of an inner one, and which cells a split leaves out."""
+    for outer, k in ((2, 2), (5, 2), (5, 5), (3, 4)):
+        for f in range(1, outer + 1):
+            left = [r for r in range(1, 200) if (r - 1) % outer + 1 != f]
+            dealt = {r: i % k + 1 for i, r in enumerate(left)}
+            for r in range(1, 200):
+                cell = (r - 1) % (outer * k)
+                assert (cell in splitting.cells_left_out(outer, f, k, None)) == (r not in dealt)
+                for i in range(1, k + 1):
+                    assert (cell in splitting.cells_left_out(outer, f, k, i)) == (dealt.get(r, i) == i)
