@@ -4,9 +4,11 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tablemill.functions import vectors
 from tablemill.operators import prep, quantiles, splitting
 from tablemill.session import materialize
 
@@ -107,6 +109,15 @@ def test_helper_columns_leave_equal_names_alone(spark):
     assert {r["composition"] for r in named.collect()} == {f"row_{i}" for i in range(1, 61)}
 
 
+def test_lists_become_rows_of_a_matrix():
+    lists = pa.array([[1.0, 2.0], [3.0, None], [5.0, 6.0]])
+    assert np.array_equal(vectors.matrix_of_lists(lists), [[1, 2], [3, np.nan], [5, 6]], equal_nan=True)
+    assert vectors.lists_of_matrix(vectors.matrix_of_lists(lists.slice(2))).to_pylist() == [[5.0, 6.0]]
+    for uneven in ([[1.0], [2.0, 3.0, 4.0]], [[1.0, 2.0], None]):
+        with pytest.raises(ValueError, match="differ in length"):
+            vectors.matrix_of_lists(pa.array(uneven))
+
+
 def test_inner_folds_follow_from_the_outer_rank():
     """Of ranks alone: what the outer deal says of an inner one, and which cells a split leaves out."""
     for outer, k in ((2, 2), (5, 2), (5, 5), (3, 4)):
